@@ -50,9 +50,11 @@ def normalize_name(name: Column) -> Column:
     """Matching form of an employer name.
 
     A word group is removed where it does not share a blank with the match
-    before it, so ``A INC INC`` keeps one INC.
+    before it, so ``A INC INC`` keeps one INC. Letters are raised one by one: a
+    sharp s is no letter A-Z and goes, where ``upper`` alone would make it SS.
     """
-    bare = F.regexp_replace(_letters_and_digits(name), "^[0-9]+ ", "")
+    ascii_letters = F.regexp_replace(F.translate(F.trim(name), "\u0131\u017f", "IS"), "[^A-Za-z0-9 ]", "")
+    bare = F.regexp_replace(F.upper(ascii_letters), "^[0-9]+ ", "")
     return _tidy(reduce(_drop_words, LEGAL_WORD_GROUPS, bare))
 
 

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 # A gram of a word padded with two blanks before and one after. The look-ahead
 # makes neighbouring grams overlap; three blanks part the words, so none spans two.
@@ -30,37 +31,44 @@ def trigram_similarity(left: Column, right: Column) -> Column:
     return jaccard(trigrams(left), trigrams(right))
 
 
-def _jaro_winkler(a: str | None, b: str | None) -> float | None:
-    if a is None or b is None:
-        return None
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free = [True] * len(b)
-    matched_a = []
-    for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == ch:
-                free[j] = False
-                matched_a.append(ch)
-                break
-    if not matched_a:
-        return 0.0
-    matched_b = [ch for ch, unused in zip(b, free) if not unused]
-    swaps = sum(x != y for x, y in zip(matched_a, matched_b)) // 2
-    m = len(matched_a)
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    common = 0
-    for x, y in zip(a[:4], b[:4]):
-        if x != y:
-            break
-        common += 1
-    return jaro + common * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
-
-
-@pandas_udf("double")
-def jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Jaro-Winkler similarity; Spark has no built-in. Apply it to distinct pairs only."""
-    return pd.Series([_jaro_winkler(a, b) for a, b in zip(left, right)], dtype="float64")
+def jaro_winkler(left: Column, right: Column) -> Column:
+    """Jaro-Winkler similarity; Spark has no built-in. Apply it to distinct pairs only.
+
+    The functions are nested so that they travel to the executors by value.
+    """
+
+    def jaro(a: str, b: str) -> float:
+        reach = max(max(len(a), len(b)) // 2 - 1, 0)
+        free = [True] * len(b)
+        in_a = []
+        for i, ch in enumerate(a):
+            for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+                if free[j] and b[j] == ch:
+                    free[j] = False
+                    in_a.append(ch)
+                    break
+        if not in_a:
+            return 0.0
+        in_b = [ch for ch, unused in zip(b, free) if not unused]
+        swaps = sum(x != y for x, y in zip(in_a, in_b)) // 2
+        m = len(in_a)
+        return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+
+    def score(a: str | None, b: str | None) -> float | None:
+        if a is None or b is None:
+            return None
+        if a == b:
+            return 1.0
+        if not a or not b:
+            return 0.0
+        base = jaro(a, b)
+        common = 0
+        while common < min(4, len(a), len(b)) and a[common] == b[common]:
+            common += 1
+        return base + common * 0.1 * (1 - base) if base > 0.7 else base
+
+    @pandas_udf(DoubleType())
+    def scores(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([score(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return scores(left, right)

@@ -16,9 +16,12 @@ def prefix_matches(texts: DataFrame, patterns: DataFrame, text: str, pattern: st
     """
     wanted = patterns.filter(F.length(pattern) > 0)
     lengths = wanted.agg(F.collect_set(F.length(pattern))).scalar()
-    sized = F.explode(F.filter(lengths, lambda n: n <= F.length(text)))
-    prefixes = texts.select("*", sized.alias("_length")).withColumn(
-        "_prefix", F.left(F.col(text), F.col("_length"))
+    fitting = F.filter("_lengths", lambda n: n <= F.length(text))
+    prefixes = (
+        texts.withColumn("_lengths", lengths)
+        .withColumn("_length", F.explode(fitting))
+        .withColumn("_prefix", F.left(F.col(text), F.col("_length")))
+        .drop("_lengths")
     )
     return prefixes.join(wanted.withColumn("_prefix", F.col(pattern)), "_prefix").drop("_prefix", "_length")
 

@@ -1,6 +1,6 @@
 """Data-quality metrics and the publishing gate.
 
-Every check is a row ``(check, severity, passed, value, detail)``. Severity is
+Every check is a row ``(check_name, severity, passed, value)``. Severity is
 CRITICAL, WARNING or INFO; thresholds are parameters.
 """
 
@@ -45,7 +45,7 @@ class GateFailed(RuntimeError):
 
 def _row(check: str, severity: str, passed: Column, value: Column) -> Column:
     return F.struct(
-        F.lit(check).alias("check"),
+        F.lit(check).alias("check_name"),
         F.lit(severity).alias("severity"),
         F.coalesce(passed, F.lit(False)).alias("passed"),
         value.cast("double").alias("value"),
@@ -86,7 +86,7 @@ def minimum_rows(
     )
     unused = F.col("table").isin(optional) & (F.col("rows") == 0)
     return counts.select(
-        F.concat(F.lit("min_rows_"), F.col("table")).alias("check"),
+        F.concat(F.lit("min_rows_"), F.col("table")).alias("check_name"),
         severity.alias("severity"),
         (unused | (F.col("rows") > limit)).alias("passed"),
         F.col("rows").cast("double").alias("value"),
@@ -161,14 +161,14 @@ def tier_distribution(profile: DataFrame) -> DataFrame:
 
 
 def run_over_run(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Changes of tier counts and of the total between two metric sets ``(check, value)``."""
-    now = current.select("check", F.col("value").alias("now"))
-    before = previous.select("check", F.col("value").alias("before")).filter(F.col("before") > 0)
+    """Changes of tier counts and of the total between two metric sets ``(check_name, value)``."""
+    now = current.select("check_name", F.col("value").alias("now"))
+    before = previous.select("check_name", F.col("value").alias("before")).filter(F.col("before") > 0)
     change = (F.col("now") - F.col("before")) / F.col("before")
-    is_total = F.col("check") == "employer_profile_count"
-    compared = now.join(before, "check").filter(F.col("check").startswith("risk_tier_") | is_total)
+    is_total = F.col("check_name") == "employer_profile_count"
+    compared = now.join(before, "check_name").filter(F.col("check_name").startswith("risk_tier_") | is_total)
     return compared.select(
-        F.concat("check", F.lit("_change")).alias("check"),
+        F.concat("check_name", F.lit("_change")).alias("check_name"),
         F.when(is_total, "CRITICAL").otherwise("WARNING").alias("severity"),
         F.when(is_total, change > -MAX_TOTAL_DROP).otherwise(F.abs(change) < MAX_TIER_CHANGE).alias("passed"),
         change.alias("value"),
@@ -176,13 +176,13 @@ def run_over_run(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def profile_metrics(profile: DataFrame) -> DataFrame:
-    """(check, value) counts that the next run compares itself with."""
+    """(check_name, value) counts that the next run compares itself with."""
     counts = profile.agg(
         F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("risk_tier") == t).alias(t) for t in TIERS]
     )
     checks = [_row("employer_profile_count", "INFO", F.lit(True), F.col("total"))]
     checks += [_row(f"risk_tier_{t}", "INFO", F.lit(True), F.col(t)) for t in TIERS]
-    return _rows(counts, checks).select("check", "value")
+    return _rows(counts, checks).select("check_name", "value")
 
 
 def id_validity(profile: DataFrame) -> DataFrame:
@@ -255,4 +255,4 @@ def enforce_gate(checks: DataFrame) -> None:
     """Raise when a critical check failed. Reads back at most one row per critical check."""
     failed = gate_failures(checks).collect()
     if failed:
-        raise GateFailed("; ".join(f"{row['check']} = {row['value']}" for row in failed))
+        raise GateFailed("; ".join(f"{row['check_name']} = {row['value']}" for row in failed))

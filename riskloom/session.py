@@ -26,6 +26,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, **extra: str) ->
         **SETTINGS,
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **extra,
     }.items():
         builder = builder.config(key, value)

@@ -101,7 +101,7 @@ def read_previous_metrics(spark: SparkSession, path: str, as_of: dt.date | str)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
-    rows = spark.read.schema("check string, severity string, passed boolean, value double, day date").json(path)
+    rows = spark.read.schema("check_name string, severity string, passed boolean, value double, day date").json(path)
     earlier = rows.filter(F.col("day") < day(as_of))
     newest = earlier.agg(F.max("day")).first()[0]
     return None if newest is None else earlier.filter(F.col("day") == F.lit(newest)).drop("day")
