@@ -22,8 +22,9 @@ def trigrams(text: Column) -> Column:
 
 def jaccard(left: Column, right: Column) -> Column:
     """Shared elements over all elements of two duplicate-free arrays; 0 for two empty ones."""
-    shared = F.size(F.array_intersect(left, right))
-    return F.coalesce(F.try_divide(shared, F.size(left) + F.size(right) - shared), F.lit(0.0))
+    return F.coalesce(
+        F.try_divide(F.size(F.array_intersect(left, right)), F.size(F.array_union(left, right))), F.lit(0.0)
+    )
 
 
 def trigram_similarity(left: Column, right: Column) -> Column:

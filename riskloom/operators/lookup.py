@@ -228,34 +228,60 @@ def _ein_choices(newest: DataFrame) -> DataFrame:
     return keyed.groupBy("ein_key").agg(best.alias("employer_id"))
 
 
+def _place_blocks(state: Column, zip_code: Column, city: Column) -> Column:
+    """Every way to narrow by state and zip, each once for all cities and once per city."""
+    nothing = F.lit(None).cast("string")
+    narrowings = [(s, z) for s in (nothing, state) for z in (nothing, zip_code)]
+    return F.array(
+        *[
+            F.struct(_block(s, z, F.lit(with_city)).alias("block"), (city if with_city else nothing).alias("t_city"))
+            for s, z in narrowings
+            for with_city in (False, True)
+        ]
+    )
+
+
+def _block(state: Column, zip_code: Column, by_city: Column) -> Column:
+    return F.concat_ws("\u0001", _marked(state, zip_code), by_city.cast("string"))
+
+
 def _name_choices(queries: DataFrame, newest: DataFrame) -> DataFrame:
     """Most similar employer per distinct (name, state, zip, city) query.
 
-    A query pairs only within its block: the zip if it has one, else the state,
-    else everything. Targets are reduced to distinct names per place first, and to
-    the blocks that are asked for.
+    A query's state and zip form its block. Names are compared once per block,
+    however many employers and queries carry them; of the employers that share
+    name and block only the least id can win, so only that one is kept.
     """
-    block = F.coalesce(F.concat(F.lit("Z"), F.col("q_zip")), F.concat(F.lit("S"), F.col("q_state")), F.lit(""))
-    asked = queries.select("q_name", "q_state", "q_zip", "q_city").distinct().withColumn("block", block)
+    by_city = F.col("q_city").isNotNull()
+    asked = (
+        queries.select("q_name", "q_state", "q_zip", "q_city")
+        .distinct()
+        .withColumn("block", _block(F.col("q_state"), F.col("q_zip"), by_city))
+    )
     places = (
-        newest.groupBy(F.lower("employer_name").alias("t_name"), F.col("state").alias("t_state"), F.col("zip").alias("t_zip"), F.col("city").alias("t_city"))
-        .agg(F.min("employer_id").alias("employer_id"))
-        .withColumn(
-            "block",
-            F.explode(F.array(F.concat(F.lit("Z"), F.col("t_zip")), F.concat(F.lit("S"), F.col("t_state")), F.lit(""))),
+        newest.select(
+            F.lower("employer_name").alias("t_name"),
+            "employer_id",
+            F.explode(_place_blocks(F.col("state"), F.col("zip"), F.col("city"))).alias("p"),
         )
+        .select("t_name", "employer_id", "p.block", "p.t_city")
         .join(asked.select("block").distinct(), "block", "left_semi")
+        .groupBy("block", "t_name", "t_city")
+        .agg(F.min("employer_id").alias("employer_id"))
+    )
+    pairs = similar_pairs(
+        asked.select("block", "q_name").distinct(), places.select("block", "t_name").distinct(),
+        "q_name", "t_name", BULK_NAME_THRESHOLD, block="block",
     )
-    pairs = similar_pairs(asked, places, "q_name", "t_name", BULK_NAME_THRESHOLD, block="block")
-    in_state = F.col("q_state").isNull() | (F.col("q_state") == F.col("t_state"))
     in_city = F.col("q_city").isNull() | (
         trigram_similarity(F.col("t_city"), F.col("q_city")) > BULK_CITY_THRESHOLD
     )
     best = F.min_by(F.struct("employer_id", "similarity"), F.struct(-F.col("similarity"), F.col("employer_id")))
     return (
-        pairs.filter(in_state & in_city)
-        .withColumn("query_key", _query_key())
-        .groupBy("query_key")
+        pairs.join(asked, ["block", "q_name"])
+        .join(places, ["block", "t_name"])
+        .filter(in_city)
+        .groupBy(_query_key().alias("query_key"))
         .agg(best.alias("best"))
         .select("query_key", "best.employer_id", "best.similarity")
     )

@@ -8,26 +8,35 @@ the sets are compared. Nothing is dropped that could pass.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.similarity import trigrams
 
-# Grams are counted in this many buckets, which bounds the table that every task
-# reads: two grams in one bucket only make the order of rarity less sharp.
-FREQUENCY_BUCKETS = 1 << 16
+# Grams are counted in this many buckets, which bounds what the driver reads back.
+# Grams that share a bucket only make the order of rarity less sharp.
+FREQUENCY_BUCKETS = 1 << 14
+_STEPS = 8
 
 
 def _bucket(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(FREQUENCY_BUCKETS)).cast("int")
+    return F.pmod(gram, F.lit(FREQUENCY_BUCKETS)).cast("int")
 
 
-def gram_frequencies(grams: DataFrame) -> Column:
-    """Scalar subquery: map from gram bucket to its number of texts (at most FREQUENCY_BUCKETS entries)."""
+def frequency_classes(grams: DataFrame) -> Column:
+    """One byte per bucket: eighths of the binary logarithm of how many texts hold its grams."""
     counted = (
-        grams.select(F.explode("grams").alias("gram")).groupBy(_bucket(F.col("gram")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+        grams.select(F.explode("grams").alias("gram"))
+        .groupBy(_bucket(F.col("gram")).alias("bucket"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
     )
-    return counted.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n")))).scalar()
+    classes = bytearray(FREQUENCY_BUCKETS)
+    for row in counted:
+        classes[row["bucket"]] = min(255, 1 + math.floor(_STEPS * math.log2(row["n"])))
+    return F.lit(bytes(classes))
 
 
 def similar_pairs(
@@ -44,36 +53,35 @@ def similar_pairs(
     All columns of both sides are kept (names must differ, but for ``block``),
     plus ``similarity``. With ``block``, only rows with equal block values pair.
     Give distinct rows: repeated texts multiply work. A gram that many targets
-    share is split over as many salts as its count asks for.
+    share is split over as many salts as its frequency asks for. Grams are
+    compared by their 64-bit hashes.
     """
     if threshold <= 0:
         raise ValueError("threshold must be above 0")
     keys = [block] if block else []
-    q = queries.withColumn("grams", trigrams(F.col(query_text))).filter(F.size("grams") > 0)
-    t = targets.withColumn("grams", trigrams(F.col(target_text))).filter(F.size("grams") > 0)
-    frequencies = gram_frequencies(t)
+
+    def with_grams(rows: DataFrame, text: str) -> DataFrame:
+        hashes = F.transform(trigrams(F.col(text)), lambda g: F.xxhash64(g))
+        return rows.withColumn("grams", hashes).filter(F.size("grams") > 0)
+
+    q, t = with_grams(queries, query_text), with_grams(targets, target_text)
+    classes = frequency_classes(t.select("grams", target_text).distinct() if block else t)
 
     def probes(rows: DataFrame, side: str, replicate: bool) -> DataFrame:
         columns = [c for c in rows.columns if c not in keys and c != "grams"]
-        count = F.coalesce(F.try_element_at("freq", _bucket(F.col("g"))), F.lit(0))
-        rarest_first = F.array_sort(
-            F.transform(
-                "grams",
-                lambda g: F.struct(
-                    F.coalesce(F.try_element_at(F.col("freq"), _bucket(g)), F.lit(0)).alias("n"), g.alias("g")
-                ),
-            )
+        rarest_first = F.sort_array(
+            F.transform("grams", lambda g: F.struct(F.substring(classes, _bucket(g) + 1, 1).alias("c"), g.alias("g")))
         )
-        size = F.size("grams")
+        size = F.size("ranked")
         prefix = (size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
-        ranked = rows.withColumn("freq", frequencies).withColumn("ranked", rarest_first)
-        exploded = ranked.select(
+        exploded = rows.withColumn("ranked", rarest_first).select(
             *keys,
             F.struct(*columns).alias(side),
             F.transform("ranked", lambda x: x["g"]).alias(f"{side}_grams"),
             F.posexplode(F.slice("ranked", F.lit(1), prefix)).alias(f"{side}_at", "r"),
         )
-        salts = (F.col("r.n") / rows_per_salt).cast("int") + 1
+        count = F.pow(F.lit(2.0), F.conv(F.hex("r.c"), 16, 10).cast("int") / _STEPS)
+        salts = (count / rows_per_salt).cast("int") + 1
         salt = (
             F.explode(F.sequence(F.lit(0), salts - 1)) if replicate else F.pmod(F.xxhash64(side), salts).cast("int")
         )
@@ -89,11 +97,14 @@ def similar_pairs(
         F.slice("q_grams", F.lit(1), F.col("q_at")), F.slice("t_grams", F.lit(1), F.col("t_at"))
     )
     shared = F.size(F.array_intersect("q_grams", "t_grams"))
+    # A fixed partition count: AQE would merge these small but work-heavy partitions.
+    partitions = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = probes(t, "t", replicate=False).repartition(partitions, *keys, "gram", "salt")
     return (
         probes(q, "q", replicate=True)
-        .join(probes(t, "t", replicate=False), [*keys, "gram", "salt"])
-        .filter((size_t >= size_q * threshold - 1e-9) & (size_q >= size_t * threshold - 1e-9) & still_possible)
-        .filter(first_common)
+        .join(spread, [*keys, "gram", "salt"])
+        .filter(still_possible & (size_t >= size_q * threshold - 1e-9) & (size_q >= size_t * threshold - 1e-9))
+        .filter(first_common & (shared >= needed))
         .withColumn("similarity", shared / (size_q + size_t - shared))
         .filter(F.col("similarity") > threshold)
         .select(*keys, "q.*", "t.*", "similarity")
