@@ -17,7 +17,7 @@ from riskloom.functions import scoring
 from riskloom.functions.codes import MONEY, employer_key, naics4, uuid_from_text
 from riskloom.functions.dates import years_before
 from riskloom.functions.names import is_valid_name, is_valid_wage_name
-from riskloom.operators.prefixes import longest_prefix_match
+from riskloom.operators.prefixes import with_longest_prefix
 
 COUNT_COLUMNS = [
     "osha_inspections", "osha_violations", "osha_willful_count", "osha_repeat_count", "osha_serious_count",
@@ -152,36 +152,51 @@ def mine_totals(mine_violations: DataFrame) -> DataFrame:
     )
 
 
+def employer_places(keys: DataFrame) -> DataFrame:
+    """Employers per name and state."""
+    return keys.groupBy("name_normalized", "state").agg(F.count(F.lit(1)).alias("employers"))
+
+
+def with_parent(names: DataFrame, parents: DataFrame, honor_match_type: bool = False) -> DataFrame:
+    """Rows of distinct names with their parent: the longest pattern the name starts with, or null.
+
+    With ``honor_match_type``, patterns marked ``exact`` take whole names only, and take them first.
+    """
+    if not honor_match_type:
+        return with_longest_prefix(names, parents, "name_normalized", "name_pattern", "parent_name")
+    exact = F.col("match_type") == "exact"
+    whole = parents.filter(exact).groupBy(F.col("name_pattern").alias("name_normalized")).agg(
+        F.min("parent_name").alias("exact_parent")
+    )
+    prefixed = with_longest_prefix(names, parents.filter(~exact), "name_normalized", "name_pattern", "parent_name")
+    return (
+        prefixed.join(whole, "name_normalized", "left")
+        .withColumn("parent_name", F.coalesce("exact_parent", "parent_name"))
+        .drop("exact_parent")
+    )
+
+
 def parent_matches(keys: DataFrame, parents: DataFrame, honor_match_type: bool = False) -> DataFrame:
-    """Parent company per distinct name: the longest pattern the name starts with."""
-    names = keys.select("name_normalized").distinct()
-    if honor_match_type:
-        exact = F.col("match_type") == "exact"
-        whole = parents.filter(exact).groupBy(F.col("name_pattern").alias("name_normalized")).agg(
-            F.min("parent_name").alias("exact_parent")
-        )
-        prefix = longest_prefix_match(names, parents.filter(~exact), "name_normalized", "name_pattern", "parent_name")
-        return (
-            names.join(prefix, "name_normalized", "left")
-            .join(whole, "name_normalized", "left")
-            .select("name_normalized", F.coalesce("exact_parent", "parent_name").alias("parent_name"))
-            .filter(F.col("parent_name").isNotNull())
-        )
-    return longest_prefix_match(names, parents, "name_normalized", "name_pattern", "parent_name")
+    """(name_normalized, parent_name) of the distinct names that have a parent."""
+    matched = with_parent(keys.select("name_normalized").distinct(), parents, honor_match_type)
+    return matched.filter(F.col("parent_name").isNotNull())
 
 
-def company_sizes(keys: DataFrame, parents: DataFrame, honor_match_type: bool = False) -> DataFrame:
+def company_sizes(places: DataFrame, parents: DataFrame, honor_match_type: bool = False) -> DataFrame:
     """Per distinct name: parent and the number of employers under the parent (else under the name).
 
     Counts are summed per name first and per company second, so a company with a
     third of all employers is a sum of partial counts and never one window.
     """
-    per_name = keys.groupBy("name_normalized").agg(F.count(F.lit(1)).alias("employers"))
-    matched = per_name.join(parent_matches(keys, parents, honor_match_type), "name_normalized", "left").withColumn(
+    per_name = places.groupBy("name_normalized").agg(F.sum("employers").alias("name_employers"))
+    matched = with_parent(per_name, parents, honor_match_type).withColumn(
         "company", F.coalesce("parent_name", "name_normalized")
     )
-    sizes = matched.groupBy("company").agg(F.sum("employers").alias("location_count"))
-    return matched.join(sizes, "company").select("name_normalized", "parent_name", "location_count")
+    sizes = matched.groupBy("company").agg(F.sum("name_employers").alias("company_employers"))
+    # Both sides carry name_employers, so that Spark shuffles ``matched`` once for both.
+    return matched.join(sizes, "company", "left").select(
+        "name_normalized", "parent_name", F.coalesce("company_employers", "name_employers").alias("location_count")
+    )
 
 
 def _zero_filled(base: DataFrame) -> DataFrame:
@@ -250,12 +265,13 @@ def build_profile(
 ) -> DataFrame:
     """The employer profile from silver inputs. See the module text for the plan."""
     keys = employer_keys(inspections, wages)
-    places = keys.select("name_normalized", "state").distinct()
+    places = employer_places(keys)
     by_place = (
         places.join(mine_totals(mine_violations), ["name_normalized", "state"], "left")
-        .join(company_sizes(keys, parents, honor_match_type), "name_normalized", "left")
+        .join(company_sizes(places, parents, honor_match_type), "name_normalized", "left")
+        .withColumn("location_count", F.coalesce("location_count", "employers"))
         .withColumn("state_key", F.coalesce("state", F.lit("\0")))
-        .drop("state")
+        .drop("state", "employers")
     )
     titles = naics.groupBy("naics_code").agg(F.min("naics_title").alias("naics_description"))
     wide = (
@@ -264,6 +280,5 @@ def build_profile(
         .withColumn("state_key", F.coalesce("state", F.lit("\0")))
         .join(by_place, ["name_normalized", "state_key"], "left")
         .join(titles, "naics_code", "left")
-        .withColumn("location_count", F.coalesce("location_count", F.lit(1)))
     )
     return with_risk(_zero_filled(wide), as_of).select(*PROFILE_COLUMNS)

@@ -363,7 +363,7 @@ ON name_normalized LIKE name_pattern || '%'""",
 register(
     "location_counts", "employer_id:s parent_name:s location_count:i", "SELECT * FROM locations"
 )(
-    lambda i: i.keys.join(profile.company_sizes(i.keys, i.parents), "name_normalized")
+    lambda i: i.keys.join(profile.company_sizes(profile.employer_places(i.keys), i.parents), "name_normalized")
 )
 _RISK = {
     "risk_tier": "risk_tier:s", "risk_score": "risk_score:d", "trend_signal": "trend_signal:s",
