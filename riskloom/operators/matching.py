@@ -65,7 +65,7 @@ def similar_pairs(
         return rows.withColumn("grams", hashes).filter(F.size("grams") > 0)
 
     q, t = with_grams(queries, query_text), with_grams(targets, target_text)
-    classes = frequency_classes(t.select("grams", target_text).distinct() if block else t)
+    classes = frequency_classes(with_grams(targets.select(target_text).distinct(), target_text))
 
     def probes(rows: DataFrame, side: str, replicate: bool) -> DataFrame:
         columns = [c for c in rows.columns if c not in keys and c != "grams"]

@@ -230,6 +230,16 @@ def test_pairs_and_clusters_equal_brute_force(spark, seed, prior):
     assert {r.unique_id: r.cluster_id for r in linkage.cluster_records(df, evidence=evidence).collect()} == label
 
 
+def test_review_queue_takes_the_least_certain_below_the_cluster_threshold(spark):
+    pairs = spark.sql(
+        "SELECT * FROM VALUES ('a', 'b', 2L, 0.84D), ('a', 'c', 1L, 0.80D), ('b', 'c', 1L, 0.85D), ('c', 'd', 1L, 0.80D) "
+        "t(rep_l, rep_r, pairs, match_probability)"
+    )
+    got = [(r.record_id_left, r.record_id_right) for r in linkage.review_queue(pairs, k=2).collect()]
+    assert got == [("a", "c"), ("c", "d")]
+    assert linkage.review_queue(pairs).count() == 3
+
+
 def test_merge_same_names_moves_to_the_largest(spark):
     records = spark.createDataFrame([(str(k), n) for k, n in enumerate(["A", "A", "A", "B", "A", "B"])], "unique_id string, name_normalized string")
     clusters = spark.createDataFrame([("0", "x"), ("1", "x"), ("2", "y"), ("3", "y"), ("4", "z"), ("5", "w")], "unique_id string, cluster_id string")
