@@ -32,6 +32,17 @@ def trigram_similarity(left: Column, right: Column) -> Column:
     return jaccard(trigrams(left), trigrams(right))
 
 
+# --- Fixed values: agreement levels of names ---
+CLOSE_NAME = 0.92
+NEAR_NAME = 0.80
+# --- end of fixed values ---
+
+
+def name_agreement_level(similarity: Column) -> Column:
+    """Linkage level of a Jaro-Winkler similarity: 2 close, 1 near, 0 different; null when a name is missing."""
+    return F.when(similarity >= CLOSE_NAME, 2).when(similarity >= NEAR_NAME, 1).when(similarity.isNotNull(), 0)
+
+
 def jaro_winkler(left: Column, right: Column) -> Column:
     """Jaro-Winkler similarity; Spark has no built-in. Apply it to distinct pairs only.
 

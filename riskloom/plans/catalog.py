@@ -158,6 +158,17 @@ register(
     .select(F.upper("p_name").alias("a"), F.col("base").alias("b")).distinct()
     .withColumn("similarity", similarity.jaro_winkler(F.col("a"), F.col("b")))
 )
+register(
+    "name_agreement_levels", "level:i pairs:i",
+    """SELECT CASE WHEN s >= 0.92 THEN 2 WHEN s >= 0.80 THEN 1 ELSE 0 END AS level, count(*) AS pairs
+FROM (SELECT jaro_winkler_similarity(a, b) AS s FROM (SELECT DISTINCT coalesce(trade_nm, legal_name) AS a, legal_name AS b
+  FROM stg_wages WHERE legal_name IS NOT NULL) x) y GROUP BY 1""",
+)(
+    lambda i: i.stg_wages.filter("legal_name IS NOT NULL")
+    .select(F.coalesce("trade_nm", "legal_name").alias("a"), F.col("legal_name").alias("b")).distinct()
+    .select(similarity.name_agreement_level(similarity.jaro_winkler(F.col("a"), F.col("b"))).alias("level"))
+    .groupBy("level").agg(F.count(F.lit(1)).alias("pairs"))
+)
 register(
     "address_key", "activity_nr:s site_address:s address_key:s",
     f"""SELECT activity_nr, site_address, {o.address_key('site_address', o.zip5('site_zip'))} AS address_key
