@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=3, percent=85)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=3, percent=85).drop("text_hash")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +43,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -54,5 +59,6 @@ QUERIES: dict[str, Query] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_quality_nbsvm": op9_quality_nbsvm,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
