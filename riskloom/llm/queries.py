@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import minhash, packing, quality, secret_scan, token_files
+from riskloom.llm import itq, minhash, packing, quality, secret_scan, segment_search, token_files
 from riskloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,14 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=3, percent=85).drop("text_hash")
 
 
+def op3_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.link_vectors(table(spark, sf_dir, "embeddings"), least_cosine=0.93)
+
+
+def op4_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_search.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer, end_id=2)
@@ -55,6 +63,8 @@ def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_itq_near_dedup": op3_itq_near_dedup,
+    "op4_segment_top_k": op4_segment_top_k,
     "op5_token_files": op5_token_files,
     "op6_secret_scan": op6_secret_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
