@@ -11,7 +11,6 @@ components are compared among themselves.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,7 @@ from riskloom.operators.components import connected_components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _FEATURES = pa.schema([
-    ("doc_id", pa.int64()), ("pick", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary()),
+    ("doc_id", pa.int64()), ("pick", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())),
 ])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _VALUE_BITS = np.uint64(40)
@@ -97,12 +96,12 @@ def rows_per_band(percent: int, bands: int, miss: float = 1e-6) -> int:
 
 
 def document_features(docs: DataFrame, words_per_shingle: int, percent: int, bands: int) -> DataFrame:
-    """doc_id, hash of the text, n_shingles, digest of the set, one key per band, 16 bits of each slot; the last three null for an empty set."""
+    """doc_id, hash of the text, n_shingles, digest of the set, one key per band; the last two null for an empty set."""
     rows = rows_per_band(percent, bands)
 
     def features(batches: Batches) -> Batches:
         for batch in in_slices(batches):
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], []]
             for text in texts_of(batch.column(2)):
                 shingles = shingle_set(text, words_per_shingle)
                 out[0].append(len(shingles))
@@ -116,11 +115,10 @@ def document_features(docs: DataFrame, words_per_shingle: int, percent: int, ban
                     keys = mix(keys * np.uint64(0x100000001B3) + column)
                 out[1].append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
                 out[2].append(keys.view(np.int64))
-                out[3].append(mix(signature).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, f.type) for x, f in zip(out, list(_FEATURES)[2:]))], schema=_FEATURES)
 
     plain = _texts(docs).withColumnRenamed("id", "doc_id")
-    return plain.mapInArrow(features, "doc_id long, pick long, n_shingles long, digest binary, bands array<long>, signature binary")
+    return plain.mapInArrow(features, "doc_id long, pick long, n_shingles long, digest binary, bands array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -128,8 +126,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("pick"), text.alias("text"))
 
 
-def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, bands: int = 40) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of documents linked when 100 * |A & B| >= percent * |A | B|.
+def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, bands: int = 36) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, text_hash) of documents linked when 100 * |A & B| >= percent * |A | B|.
 
     Null and empty texts, or texts of white space only, have an empty set and link
     with nothing. Rows repeated with one doc_id count as one document, the one
@@ -143,7 +141,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     filled = single.filter("n_shingles > 0")
     classes = stored(filled.groupBy("digest", "n_shingles").agg(F.min(F.struct(F.col("doc_id").alias("id"), "pick")).alias("s")).select("digest", "s.*"), "minhash-classes")
     of_class = features.join(classes.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
-    of_class = stored(of_class.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "signature"), "minhash-of-class")
+    of_class = stored(of_class.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands"), "minhash-of-class")
 
     members = of_class.select("id", "n", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("pivot")).filter("size > 1")
@@ -166,7 +164,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     links = links.unionByName(stored(verified(star, texts, picks, words_per_shingle, percent), "minhash-links"))
     component = stored(_components(links), "minhash-components")
 
-    rest = stored(remaining_pairs(_mixed(buckets, component), of_class, percent), "minhash-rest")
+    rest = stored(remaining_pairs(_mixed(buckets, component), of_class, texts, picks, words_per_shingle, percent), "minhash-rest")
     links = links.unionByName(stored(verified(rest, texts, picks, words_per_shingle, percent), "minhash-links"))
     component = stored(_components(links), "minhash-components")
 
@@ -174,8 +172,8 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     labelled = labelled.select("digest", F.coalesce("component", "id").alias("component_id"))
     return (
         single.join(labelled, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("pick").alias("text_hash"))
+        .select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "text_hash")
     )
 
 
@@ -191,44 +189,79 @@ def _mixed(buckets: DataFrame, component: DataFrame) -> DataFrame:
     return labelled.join(spread.filter("low < high").select("key", "size"), "key")
 
 
-def remaining_pairs(mixed: DataFrame, of_class: DataFrame, percent: int, cell: int = 512) -> DataFrame:
-    """Pairs (a, b) of a bucket that are in different components and whose signatures do not rule the link out.
+def short_sets(ids: DataFrame, texts: DataFrame, picks: DataFrame, words_per_shingle: int) -> DataFrame:
+    """(id, short): the set of each id with its hashes cut to 32 bits."""
+
+    def short(batches: Batches) -> Batches:
+        for batch in in_slices(batches):
+            sets = [shingle_set(text, words_per_shingle).astype("<u4").tobytes() for text in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "short"])
+
+    asked = ids.join(picks, "id").join(texts, ["id", "pick"]).select("id", "text")
+    return asked.mapInArrow(short, "id long, short binary").dropDuplicates(["id"])
+
+
+def remaining_pairs(mixed: DataFrame, of_class: DataFrame, texts: DataFrame, picks: DataFrame, words_per_shingle: int, percent: int, cell: int = 256) -> DataFrame:
+    """Pairs (a, b) of a bucket that join different components, for a last check on the full sets.
 
     A bucket is cut into cells of about ``cell`` members and every two cells meet in
-    one group, so that no task holds a bucket. A pair is left out when the share of
-    equal slots lies seven standard deviations below the threshold.
+    one group, so that no task holds a bucket. Two members are compared in the first
+    of the bands they share only. Shortened hashes can but raise an intersection, so
+    no link is lost by them; where a link would stand even with three shingles less in
+    common, further links between the components that it joins are not returned.
     """
-    near = percent / 100
     cells = F.greatest(F.lit(1), F.ceil(F.col("size") / cell)).cast("int")
     dealt = mixed.withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
     meeting = F.transform(
         F.sequence(F.lit(0), F.col("cells") - 1),
         lambda other: F.struct(F.least("cell", other).alias("i"), F.greatest("cell", other).alias("j")),
     )
-    dealt = dealt.withColumn("at", F.explode(meeting)).select("key", "at.i", "at.j", "cell", "id", "n", "component")
-    dealt = dealt.join(of_class.select("id", "signature"), "id")
+    dealt = stored(dealt.withColumn("at", F.explode(meeting)).select("key", "at.i", "at.j", "cell", "id", "n", "component"), "minhash-dealt")
+    sets = short_sets(dealt.select("id").distinct(), texts, picks, words_per_shingle).join(of_class.select("id", "bands"), "id")
 
     def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        one, two = rows[rows.cell == i], rows[rows.cell == j]
-        right = np.stack([np.frombuffer(x, np.uint16) for x in two.signature]) if len(two) else None
-        found_a, found_b = [], []
-        if right is not None:
-            slots = right.shape[1]
-            least = slots * near - 7 * math.sqrt(slots * near * (1 - near))
-            ids, ns, component = two.id.to_numpy(), two.n.to_numpy(), two.component.to_numpy()
-            for own in one.itertuples(index=False):
-                ok = (component != own.component) & (np.minimum(ns, own.n) * 100 >= np.maximum(ns, own.n) * percent)
-                if i == j:
-                    ok &= ids > own.id
-                at = np.flatnonzero(ok)
-                same = (right[at] == np.frombuffer(own.signature, np.uint16)).sum(axis=1)
-                for other in ids[at[same >= least]]:
-                    found_a.append(min(own.id, other))
-                    found_b.append(max(own.id, other))
-        return pd.DataFrame({"a": np.array(found_a, "int64"), "b": np.array(found_b, "int64")})
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(pairs, "a long, b long").distinct()
+        band_key, i, j = key
+        shorts = [np.frombuffer(x, "<u4") for x in rows["short"]]
+        starts = np.cumsum([0, *map(len, shorts)])
+        known, codes = np.unique(np.concatenate(shorts), return_inverse=True)
+        flags = np.zeros(len(known), bool)
+        bands = np.stack(rows["bands"].to_list())
+        earlier = bands[:, : int(np.flatnonzero(bands[0] == band_key)[0])]
+        ids, sizes, component, cell_of = (rows[c].to_numpy() for c in ("id", "n", "component", "cell"))
+        root = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        found: list[tuple[int, int]] = []
+        for x in np.flatnonzero(cell_of == i):
+            near = (component != component[x]) & (cell_of == j) & (np.minimum(sizes, sizes[x]) * 100 >= np.maximum(sizes, sizes[x]) * percent)
+            if i == j:
+                near &= ids > ids[x]
+            at = np.flatnonzero(near)
+            at = at[~(earlier[at] == earlier[x]).any(axis=1)]
+            if not len(at):
+                continue
+            own = codes[starts[x] : starts[x + 1]]
+            flags[own] = True
+            both = np.add.reduceat(flags[codes], starts[:-1], dtype=np.int64)[at]
+            flags[own] = False
+            total = sizes[at] + sizes[x]
+            linked = 100 * both >= percent * (total - both)
+            sure = 100 * (both - 3) >= percent * (total - both + 3)
+            for y, certain in zip(at[linked].tolist(), sure[linked].tolist()):
+                if certain:
+                    one, two = find(int(component[x])), find(int(component[y]))
+                    if one == two:
+                        continue
+                    root[max(one, two)] = min(one, two)
+                found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.join(sets, "id").groupBy("key", "i", "j").applyInPandas(pairs, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, picks: DataFrame, words_per_shingle: int, percent: int, per_group: int = 500) -> DataFrame:
