@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import itq, minhash, packing, quality, secret_scan, segment_search, token_files
-from riskloom.llm.common import table
+from riskloom.llm import chat, itq, minhash, packing, piece_dropout, quality, secret_scan, segment_search, token_files
+from riskloom.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,28 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    rows = rows.unionByName(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
+    formatted = stored(chat.render(chat.fold_events(chat.turn_events(rows))), "chat-formatted")
+    return chat.conversation_digests(chat.read_back(formatted))
+
+
+def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its pieces under dropout, their checksum, and whether they decode to the very text."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = piece_dropout.decode_pieces(piece_dropout.encode_pieces(docs, model, dropout=0.1, seed=17), model)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -68,7 +90,9 @@ QUERIES: dict[str, Query] = {
     "op5_token_files": op5_token_files,
     "op6_secret_scan": op6_secret_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_chat_format": op8_chat_format,
     "op9_quality_nbsvm": op9_quality_nbsvm,
+    "op10_piece_dropout": op10_piece_dropout,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
