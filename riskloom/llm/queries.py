@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, itq, minhash, packing, piece_dropout, quality, secret_scan, segment_search, token_files
+from riskloom.llm import chat, html_text, itq, minhash, packing, piece_dropout, quality, secret_scan, segment_search, token_files
 from riskloom.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=3, percent=85).drop("text_hash")
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.main_texts(pages, html_text.learn_nodes(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op3_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.link_vectors(table(spark, sf_dir, "embeddings"), least_cosine=0.93)
 
@@ -85,6 +90,7 @@ def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_html_main_text": op2_html_main_text,
     "op3_itq_near_dedup": op3_itq_near_dedup,
     "op4_segment_top_k": op4_segment_top_k,
     "op5_token_files": op5_token_files,
