@@ -125,7 +125,8 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, good) of the documents to learn from; of an id labelled twice the lower quality counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good"))
     known = known.filter(F.col("good").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("good").alias("good"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id")
+    # One plan at every size: labels grow with the documents, so they are never broadcast.
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known.hint("merge"), "doc_id")
 
 
 def gram_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
