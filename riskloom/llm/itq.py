@@ -24,12 +24,15 @@ _CODED = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("vector", p
 _FOUND = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("n_links", pa.int64())])
 
 
-def learn_rotations(sample: np.ndarray, bits: int, rotations: int, rounds: int = 40, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) of unit vectors: per rotation, principal directions turned so that signs lose least."""
-    mean = sample.mean(axis=0)
-    _, vectors = np.linalg.eigh(np.cov(sample - mean, rowvar=False).reshape(sample.shape[1], -1))
+def learn_rotations(sample: np.ndarray, bits: int, rotations: int, rounds: int = 40, seed: int = 5) -> np.ndarray:
+    """Projection of unit vectors: per rotation, principal directions turned so that signs lose least.
+
+    The planes pass through the origin, not the mean: what decides whether two vectors
+    share bits is then the angle between them, however alike all vectors are.
+    """
+    _, vectors = np.linalg.eigh(sample.T @ sample)
     top = vectors[:, ::-1][:, :bits]
-    plane = (sample - mean) @ top
+    plane = sample @ top
     random = np.random.default_rng(seed)
     parts = []
     for _ in range(rotations):
@@ -39,12 +42,12 @@ def learn_rotations(sample: np.ndarray, bits: int, rotations: int, rounds: int =
             left, _, right = np.linalg.svd(codes.T @ plane)
             turn = (left @ right).T
         parts.append(top @ turn)
-    return mean, np.concatenate(parts, axis=1)
+    return np.concatenate(parts, axis=1)
 
 
-def substrings(units: np.ndarray, mean: np.ndarray, projection: np.ndarray, width: int) -> np.ndarray:
+def substrings(units: np.ndarray, projection: np.ndarray, width: int) -> np.ndarray:
     """Each vector's code as one integer per substring of ``width`` bits."""
-    signs = (units - mean) @ projection >= 0
+    signs = units @ projection >= 0
     tables = max(1, signs.shape[1] // width)
     signs = signs[:, : tables * width]
     weights = 1 << np.arange(min(width, signs.shape[1]), dtype=np.int64)
@@ -86,7 +89,7 @@ def link_vectors(vectors: DataFrame, least_cosine: float = 0.93, width: int = 12
             padded = np.zeros((len(lists), longest))
             for i, vector in enumerate(lists):
                 padded[i, : len(vector)] = vector
-            codes = substrings(_units(padded), *model, width) if model else np.zeros((len(lists), 1), np.int64)
+            codes = substrings(_units(padded), model, width) if model is not None else np.zeros((len(lists), 1), np.int64)
             binary = [np.array(vector, "<f8").tobytes() for vector in lists]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(binary, pa.binary()), pa.array([c.astype("<i4").tobytes() for c in codes], pa.binary())], schema=_CODED)
 
