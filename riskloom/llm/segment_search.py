@@ -104,7 +104,8 @@ def top_inner_products(vectors: DataFrame, is_query: F.Column, k: int = 5, level
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), value.alias("embedding")).filter(F.col("vec_id").isNotNull())
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = plain.filter(finite & (F.size("embedding") > 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    whole = F.transform("embedding", lambda x: F.floor(x * 256).cast("double"))
+    # From 2 ** 52 on a double is whole already, and floor() would end at the range of long.
+    whole = F.transform("embedding", lambda x: F.when(F.abs(x * 256) < 2.0**52, F.floor(x * 256).cast("double")).otherwise(x * 256))
     usable = usable.select("vec_id", F.size("embedding").alias("dim"), whole.alias("row"))
     usable = stored(usable, "segment-rows")
 
