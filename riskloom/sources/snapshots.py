@@ -49,7 +49,7 @@ def write_snapshot(
 
     Spark's commit protocol publishes the files of a finished job only.
     """
-    wanted = fields if fields is not None else RAW_FIELDS[source].split()
+    wanted = fields if fields is not None else RAW_FIELDS[source]
     kept = [f for f in wanted if f in rows.columns] or rows.columns
     path = f"{root}/{source}/{day}"
     rows.select(*kept).write.mode("overwrite").parquet(path)
