@@ -17,16 +17,13 @@ WATCHED_COMPANIES = [
 SAMPLED_COMPANIES = [
     "WALMART", "AMAZON", "TARGET", "HOME DEPOT", "MCDONALDS", "FEDEX", "TYSON", "TESLA", "COSTCO", "DOLLAR GENERAL",
 ]
-LARGEST_CLUSTERS = 20
 MAX_FIRST_WORDS = 3
 MAX_CLUSTERS_PER_NAME = 5
-UNDER_MERGED_ROWS = 30
-# --- end of fixed values ---
-
 SAMPLE_COLUMNS = [
     "employer_id", "employer_name", "name_normalized", "state", "zip5", "naics_code", "osha_inspections",
     "osha_violations", "osha_total_penalties", "risk_tier", "risk_score", "osha_last_inspection_date",
 ]
+# --- end of fixed values ---
 
 
 def cluster_sizes(clusters: DataFrame) -> DataFrame:
@@ -44,10 +41,12 @@ def cluster_histogram(clusters: DataFrame) -> DataFrame:
     )
 
 
-def over_merged(clusters: DataFrame, inspections: DataFrame, largest: int = LARGEST_CLUSTERS) -> DataFrame:
-    """Of the largest clusters, those whose names begin with more than three different words."""
-    top = cluster_sizes(clusters).orderBy(F.desc("members"), "cluster_id").limit(largest)
-    members = clusters.join(F.broadcast(top), "cluster_id")
+def over_merged(clusters: DataFrame, inspections: DataFrame, largest: int | None = None) -> DataFrame:
+    """Clusters whose names begin with more than three different words; ``largest`` looks at so many of the largest only."""
+    sizes = cluster_sizes(clusters)
+    if largest is not None:
+        sizes = sizes.orderBy(F.desc("members"), "cluster_id").limit(largest)
+    members = clusters.join(sizes, "cluster_id")
     named = members.join(
         inspections.select(F.col("activity_nr").alias("unique_id"), "estab_name", "site_state"), "unique_id"
     )
@@ -59,8 +58,8 @@ def over_merged(clusters: DataFrame, inspections: DataFrame, largest: int = LARG
     return flags.filter(F.col("first_words") > MAX_FIRST_WORDS)
 
 
-def under_merged(clusters: DataFrame, inspections: DataFrame, k: int = UNDER_MERGED_ROWS) -> DataFrame:
-    """Names spread over more than five clusters, the most spread first."""
+def under_merged(clusters: DataFrame, inspections: DataFrame, k: int | None = None) -> DataFrame:
+    """Names spread over more than five clusters; with ``k``, that many of the most spread, in their order."""
     named = inspections.filter(F.length("name_normalized") > 3).select(
         F.col("activity_nr").alias("unique_id"), "name_normalized"
     )
@@ -69,9 +68,8 @@ def under_merged(clusters: DataFrame, inspections: DataFrame, k: int = UNDER_MER
         .groupBy("name_normalized")
         .agg(F.count_distinct("cluster_id").alias("cluster_count"), F.count_distinct("unique_id").alias("record_count"))
     )
-    return spread.filter(F.col("cluster_count") > MAX_CLUSTERS_PER_NAME).orderBy(
-        F.desc("cluster_count"), "name_normalized"
-    ).limit(k)
+    spread = spread.filter(F.col("cluster_count") > MAX_CLUSTERS_PER_NAME)
+    return spread if k is None else spread.orderBy(F.desc("cluster_count"), "name_normalized").limit(k)
 
 
 def watch_list(clusters: DataFrame, inspections: DataFrame, companies: list[str] = WATCHED_COMPANIES) -> DataFrame:

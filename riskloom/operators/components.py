@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component): each node of ``edges`` with the least node it is connected to.
 
     A node's neighbours are never gathered: each step takes their minimum, which
@@ -19,14 +19,12 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     a, b = F.col(left), F.col(right)
     current = cut_lineage(edges.filter(a != b).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).distinct())
     print_before = None
-    for _ in range(max_rounds):
+    while True:  # a round that changes nothing comes: minima only fall
         current = cut_lineage(_small_star(_large_star(current)))
         print_now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if print_now == print_before:
             break
         print_before = print_now
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     roots = current.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct()
     return current.select(F.col("v").alias("node"), F.col("m").alias("component")).unionByName(roots)
 

@@ -16,12 +16,12 @@ HISTORY_COLUMNS = ["employer_id", "snapshot_date", "risk_tier", "risk_score", "c
 def risk_history(
     history: DataFrame,
     profile: DataFrame,
-    limit: int = 90,
+    limit: int | None = None,
     employer_id: str | None = None,
     from_date: str | None = None,
     to_date: str | None = None,
 ) -> DataFrame:
-    """Newest snapshots per employer; employers without history show their profile snapshots."""
+    """Snapshots per employer, with ``limit`` the newest so many; employers without history show their profile snapshots."""
     if employer_id:
         history = history.filter(F.col("employer_id") == employer_id)
         profile = profile.filter(F.col("employer_id") == employer_id)
@@ -31,7 +31,7 @@ def risk_history(
         rows = rows.filter(F.col("snapshot_date") >= day(from_date))
     if to_date:
         rows = rows.filter(F.col("snapshot_date") <= day(to_date))
-    return top_per_group(rows, "employer_id", [F.desc("snapshot_date")], limit).drop("rank")
+    return rows if limit is None else top_per_group(rows, "employer_id", [F.desc("snapshot_date")], limit).drop("rank")
 
 
 def new_history_rows(profile: DataFrame, history: DataFrame | None) -> DataFrame:
@@ -40,6 +40,8 @@ def new_history_rows(profile: DataFrame, history: DataFrame | None) -> DataFrame
     rows = newest.select(*HISTORY_COLUMNS, *[c for c in ["pipeline_run_id"] if c in profile.columns])
     if history is None:
         return rows
+    date = newest.agg(F.max("snapshot_date")).first()[0]  # a literal, so that one partition of the history is read
+    history = history.filter(F.col("snapshot_date") == F.lit(date))
     return rows.join(history.select("employer_id", "snapshot_date"), ["employer_id", "snapshot_date"], "left_anti")
 
 

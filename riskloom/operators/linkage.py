@@ -73,14 +73,18 @@ def chance_agreement(records: DataFrame) -> DataFrame:
 
 
 class Evidence:
-    """Log-odds per field. A field that agrees by chance as often as not says nothing, whichever way it falls."""
+    """Log-odds per field.
 
-    def __init__(self, u: dict[str, float], m: float = AGREEMENT_IF_SAME, prior: float = PRIOR):
+    A field that agrees by chance in a share of ``silent_from`` pairs or more says
+    nothing. The default is ``m``: from there on agreement would count against a match.
+    """
+
+    def __init__(self, u: dict[str, float], m: float = AGREEMENT_IF_SAME, prior: float = PRIOR, silent_from: float | None = None):
         self.prior = math.log2(prior / (1 - prior))
         self.agree, self.differ = {"name_prefix": 0.0}, {"name_prefix": 0.0}
         for field in FIELDS:
             chance = max(u.get(field, 0.0), 1e-12)
-            silent = chance >= m
+            silent = chance >= (m if silent_from is None else silent_from)
             self.agree[field] = 0.0 if silent else math.log2(m / chance)
             self.differ[field] = 0.0 if silent else math.log2((1 - m) / (1 - chance))
 

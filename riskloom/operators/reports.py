@@ -65,13 +65,12 @@ def nested_inspections(
     from_date: str | None = None,
     to_date: str | None = None,
     agency: str = "OSHA",
-    rows_per_part: int = 1000,
+    page_size: int = 1000,
 ) -> DataFrame:
-    """Inspections with their violations as an array.
+    """Inspections with their violations as arrays: one row per inspection and page of ``page_size`` distinct violations.
 
-    Equal violations are counted rather than repeated, and an inspection with
-    more distinct ones than ``rows_per_part`` continues on further rows
-    (``part`` 0, 1, ...), so no array grows with the data.
+    Equal violations are counted rather than repeated. Pages number the violations
+    in the order of their fields, nulls first; an inspection without any has page 0.
     """
     kept = detail
     if from_date:
@@ -80,17 +79,16 @@ def nested_inspections(
         kept = kept.filter(F.col("open_date") <= day(to_date))
     fields = ["citation_id", "viol_type", "current_penalty", "issuance_date"]
     counted = violations.groupBy("activity_nr", *fields).agg(F.count(F.lit(1)).alias("times"))
-    parts = counted.groupBy("activity_nr").agg(F.ceil(F.count(F.lit(1)) / rows_per_part).alias("parts"))
+    place = F.row_number().over(Window.partitionBy("activity_nr").orderBy(*fields))
     nested = (
-        counted.join(parts, "activity_nr")
-        .withColumn("part", F.pmod(F.xxhash64(*fields), F.col("parts")))
-        .groupBy("activity_nr", "part")
+        counted.withColumn("page", ((place - 1) / page_size).cast("int"))
+        .groupBy("activity_nr", "page")
         .agg(F.array_sort(F.collect_list(F.struct(*fields, "times"))).alias("violations"))
     )
     return kept.join(nested, "activity_nr", "left").select(
         "employer_id", "activity_nr", F.lit(agency).alias("agency"), F.col("open_date").alias("inspection_date"),
         inspection_label(F.col("insp_type")).alias("insp_type_label"),
-        F.coalesce("part", F.lit(0)).alias("part"), "violations",
+        F.coalesce("page", F.lit(0)).alias("page"), "violations",
     )
 
 
@@ -160,7 +158,7 @@ def monthly_usage(usage: DataFrame, keys: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("requests"), F.sum("lookup_count").alias("lookups")
     )
     limit = F.col("monthly_limit")
-    return used.join(keys, "key_hash").select(
+    return used.join(keys, "key_hash", "left").select(  # a key without a limit shows its usage all the same
         "key_hash", "month", "requests", "lookups", "monthly_limit",
         F.greatest(F.lit(0), limit - F.col("requests")).alias("remaining"),
         F.greatest(F.lit(0), limit - F.col("lookups")).alias("remaining_by_lookups"),

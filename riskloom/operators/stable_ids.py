@@ -9,9 +9,7 @@ from riskloom.functions.codes import uuid_from_text
 from riskloom.session import cut_lineage
 
 
-def assign_stable_ids(
-    previous_ids: DataFrame, previous_clusters: DataFrame, clusters: DataFrame, max_rounds: int = 100
-) -> DataFrame:
+def assign_stable_ids(previous_ids: DataFrame, previous_clusters: DataFrame, clusters: DataFrame) -> DataFrame:
     """(employer_id, cluster_id) for every cluster of the new run.
 
     Larger clusters choose first (ties: least cluster id): the id their cluster_id
@@ -36,7 +34,7 @@ def assign_stable_ids(
         .select("cluster_id", "members", "first_member", wishes.alias("wishes"), F.lit(0).alias("at"))
     )
     wish = F.try_element_at("wishes", F.col("at") + 1)
-    for _ in range(max_rounds):
+    while True:  # every refusal moves a cluster on along its wishes, so refusals end
         proposing = state.withColumn("wish", wish)
         kept = proposing.filter(F.col("wish").isNotNull()).groupBy("wish").agg(
             F.min_by("cluster_id", F.struct(-F.col("members"), F.col("cluster_id"))).alias("keeper")
@@ -52,8 +50,6 @@ def assign_stable_ids(
         )
         if state.filter("refused").isEmpty():
             break
-    else:
-        raise RuntimeError(f"ids did not settle within {max_rounds} rounds")
     fresh = uuid_from_text(F.concat(F.lit("cluster|"), F.col("first_member")))
     return state.select(F.coalesce(wish, fresh).alias("employer_id"), "cluster_id")
 

@@ -5,6 +5,9 @@ All of it is one narrow projection per source, so filters and columns reach the
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,8 +117,11 @@ def drop_repeats(staged: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key for sources that repeat records after a resumed download.
 
     The greatest row in column order is kept: ``max`` over a struct combines
-    map-side, so a key repeated millions of times stays cheap.
+    map-side, so a key repeated millions of times stays cheap. A row whose key
+    holds a null names no record, so it repeats none: all such rows stay.
     """
     rest = [c for c in staged.columns if c not in keys]
-    kept = staged.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("kept"))
-    return kept.select(*keys, *[F.col(f"kept.{c}").alias(c) for c in rest]).select(*staged.columns)
+    whole = reduce(and_, [F.col(key).isNotNull() for key in keys])
+    kept = staged.filter(whole).groupBy(*keys).agg(F.max(F.struct(*rest)).alias("kept"))
+    single = kept.select(*keys, *[F.col(f"kept.{c}").alias(c) for c in rest]).select(*staged.columns)
+    return single.unionByName(staged.filter(~whole))

@@ -320,14 +320,14 @@ def test_change_events_skip_paused_and_uninterested(spark):
     assert [r.subscription_id for r in history.change_events(changes, subscriptions).collect()] == ["s1"]
 
 
-def test_nested_inspections_split_large_arrays_and_keep_all(spark):
+def test_nested_inspections_page_their_violations_and_keep_all(spark):
     detail = spark.sql("SELECT 'e' AS employer_id, 'a' AS activity_nr, 'A' AS insp_type, DATE'2024-01-01' AS open_date")
     violations = spark.range(100).selectExpr(
         "'a' AS activity_nr", "cast(id % 50 as string) AS citation_id", "'S' AS viol_type", "cast(1 as decimal(18,3)) AS current_penalty",
         "DATE'2024-01-01' AS issuance_date",
     )
-    got = reports.nested_inspections(detail, violations, rows_per_part=10)
-    assert got.count() > 1
+    got = reports.nested_inspections(detail, violations, page_size=10)
+    assert sorted(r.page for r in got.collect()) == [0, 1, 2, 3, 4]
     assert got.selectExpr("explode(violations) v").selectExpr("sum(v.times)").first()[0] == 100
 
 
