@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 # A gram of a word padded with two blanks before and one after. The look-ahead
 # makes neighbouring grams overlap; three blanks part the words, so none spans two.
@@ -44,43 +41,44 @@ def name_agreement_level(similarity: Column) -> Column:
 
 
 def jaro_winkler(left: Column, right: Column) -> Column:
-    """Jaro-Winkler similarity; Spark has no built-in. Apply it to distinct pairs only.
+    """Jaro-Winkler similarity from array functions; null when a text is null, 0 when one is empty and the other not.
 
-    The functions are nested so that they travel to the executors by value.
+    Letters of ``right`` that are taken become blanks in ``open``, so that each
+    letter of ``left`` finds the first free equal one within reach.
     """
+    a, b = _letters(left), _letters(right)
+    reach = F.greatest(F.floor(F.greatest(F.size(a), F.size(b)) / 2).cast("int") - 1, F.lit(0))
+    indexed = F.transform(a, lambda x, i: F.struct(x.alias("letter"), i.alias("i")))
+
+    def step(state: Column, x: Column) -> Column:
+        low = F.greatest(x["i"] - reach, F.lit(0))
+        width = F.greatest(F.least(x["i"] + reach, F.size(b) - 1) - low + 1, F.lit(0))
+        found = F.array_position(F.slice(state["open"], low + 1, width), x["letter"]).cast("int")
+        taken = F.transform(state["open"], lambda y, k: F.when(k == low + found - 1, F.lit("")).otherwise(y))
+        return F.when(found == 0, state).otherwise(
+            F.struct(taken.alias("open"), F.array_append(state["matched"], x["letter"]).alias("matched"))
+        )
+
+    def judged(state: Column) -> Column:
+        in_b = F.array_compact(F.transform(b, lambda y, k: F.when(F.get(state["open"], k) == "", y)))
+        m = F.size(state["matched"])
+        swaps = F.floor(F.size(F.filter(F.arrays_zip(state["matched"].alias("x"), in_b.alias("y")), lambda z: z["x"] != z["y"])) / 2)
+        jaro = (m / F.size(a) + m / F.size(b) + (m - swaps) / m) / 3
+        return F.when(m == 0, F.lit(0.0)).otherwise(jaro)
+
+    start = F.struct(b.alias("open"), F.array().cast("array<string>").alias("matched"))
+    jaro = F.aggregate(indexed, start, step, judged)
+    heads = F.transform(F.lit([1, 2, 3, 4]), lambda n: F.when((n <= F.least(F.length(left), F.length(right))) & (F.left(left, n) == F.left(right, n)), 1).otherwise(0))
+    common = F.aggregate(heads, F.lit(0), lambda x, y: x + y)
+    lifted = F.when(jaro > 0.7, jaro + common * 0.1 * (1 - jaro)).otherwise(jaro)
+    return (
+        F.when(left.isNull() | right.isNull(), F.lit(None).cast("double"))
+        .when(left == right, F.lit(1.0))
+        .when((left == "") | (right == ""), F.lit(0.0))
+        .otherwise(lifted)
+    )
+
 
-    def jaro(a: str, b: str) -> float:
-        reach = max(max(len(a), len(b)) // 2 - 1, 0)
-        free = [True] * len(b)
-        in_a = []
-        for i, ch in enumerate(a):
-            for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-                if free[j] and b[j] == ch:
-                    free[j] = False
-                    in_a.append(ch)
-                    break
-        if not in_a:
-            return 0.0
-        in_b = [ch for ch, unused in zip(b, free) if not unused]
-        swaps = sum(x != y for x, y in zip(in_a, in_b)) // 2
-        m = len(in_a)
-        return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-
-    def score(a: str | None, b: str | None) -> float | None:
-        if a is None or b is None:
-            return None
-        if a == b:
-            return 1.0
-        if not a or not b:
-            return 0.0
-        base = jaro(a, b)
-        common = 0
-        while common < min(4, len(a), len(b)) and a[common] == b[common]:
-            common += 1
-        return base + common * 0.1 * (1 - base) if base > 0.7 else base
-
-    @pandas_udf(DoubleType())
-    def scores(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([score(x, y) for x, y in zip(a, b)], dtype="float64")
-
-    return scores(left, right)
+def _letters(text: Column) -> Column:
+    """The text's letters, one array element each."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
