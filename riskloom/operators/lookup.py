@@ -109,7 +109,9 @@ def employers_of_parent(profile: DataFrame, parent: str, state: str | None = Non
     exact_hits = at_latest_snapshot(profile)
     exact_hits = _place_filter(exact_hits, state, None).filter(equal).agg(F.count(F.lit(1))).scalar()
     alike = trigram_similarity(F.col("parent_name"), F.lit(parent)) > PARENT_THRESHOLD
-    return latest_per_employer(placed.filter(equal | (alike & (exact_hits == 0))))
+    # Two branches: the equality reaches the scan, and the similarity runs only where no name is equal.
+    fuzzy = placed.filter(exact_hits == 0).filter(alike & ~equal)
+    return latest_per_employer(placed.filter(equal).unionByName(fuzzy))
 
 
 def _rollup_measures() -> list[Column]:

@@ -52,9 +52,9 @@ def similar_pairs(
 
     All columns of both sides are kept (names must differ, but for ``block``),
     plus ``similarity``. With ``block``, only rows with equal block values pair.
-    Give distinct rows: repeated texts multiply work. A gram that many targets
-    share is split over as many salts as its frequency asks for. Grams are
-    compared by their 64-bit hashes.
+    Give distinct rows: repeated texts multiply work. A gram that many rows of
+    either side share is split over as many salts as its frequencies ask for.
+    Grams are compared by their 64-bit hashes.
     """
     if threshold <= 0:
         raise ValueError("threshold must be above 0")
@@ -66,8 +66,13 @@ def similar_pairs(
 
     q, t = with_grams(queries, query_text), with_grams(targets, target_text)
     classes = frequency_classes(with_grams(targets.select(target_text).distinct(), target_text))
+    asked = frequency_classes(with_grams(queries.select(query_text).distinct(), query_text))
 
-    def probes(rows: DataFrame, side: str, replicate: bool) -> DataFrame:
+    def salts(frequencies: Column) -> Column:
+        found = F.conv(F.hex(F.substring(frequencies, _bucket(F.col("r.g")) + 1, 1)), 16, 10).cast("int")
+        return (F.pow(F.lit(2.0), found / _STEPS) / rows_per_salt).cast("int") + 1
+
+    def probes(rows: DataFrame, side: str, own: Column, other: Column) -> DataFrame:
         columns = [c for c in rows.columns if c not in keys and c != "grams"]
         rarest_first = F.sort_array(
             F.transform("grams", lambda g: F.struct(F.substring(classes, _bucket(g) + 1, 1).alias("c"), g.alias("g")))
@@ -80,14 +85,9 @@ def similar_pairs(
             F.transform("ranked", lambda x: x["g"]).alias(f"{side}_grams"),
             F.posexplode(F.slice("ranked", F.lit(1), prefix)).alias(f"{side}_at", "r"),
         )
-        count = F.pow(F.lit(2.0), F.conv(F.hex("r.c"), 16, 10).cast("int") / _STEPS)
-        salts = (count / rows_per_salt).cast("int") + 1
-        salt = (
-            F.explode(F.sequence(F.lit(0), salts - 1)) if replicate else F.pmod(F.xxhash64(side), salts).cast("int")
-        )
-        return exploded.select(
-            *keys, F.col("r.g").alias("gram"), salt.alias("salt"), side, f"{side}_grams", f"{side}_at"
-        )
+        mine = F.pmod(F.xxhash64(side), salts(own)).cast("int").alias(f"{side}_salt")
+        every = F.explode(F.sequence(F.lit(0), salts(other) - 1)).alias("q_salt" if side == "t" else "t_salt")
+        return exploded.select(*keys, F.col("r.g").alias("gram"), mine, every, side, f"{side}_grams", f"{side}_at")
 
     size_q, size_t = F.size("q_grams"), F.size("t_grams")
     needed = F.ceil((size_q + size_t) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
@@ -97,12 +97,10 @@ def similar_pairs(
         F.slice("q_grams", F.lit(1), F.col("q_at")), F.slice("t_grams", F.lit(1), F.col("t_at"))
     )
     shared = F.size(F.array_intersect("q_grams", "t_grams"))
-    # A fixed partition count: AQE would merge these small but work-heavy partitions.
-    partitions = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = probes(t, "t", replicate=False).repartition(partitions, *keys, "gram", "salt")
+    # No partitioning is asked for here, so that AQE may split what is skewed all the same.
     return (
-        probes(q, "q", replicate=True)
-        .join(spread, [*keys, "gram", "salt"])
+        probes(q, "q", asked, classes)
+        .join(probes(t, "t", classes, asked), [*keys, "gram", "q_salt", "t_salt"])
         .filter(still_possible & (size_t >= size_q * threshold - 1e-9) & (size_q >= size_t * threshold - 1e-9))
         .filter(first_common & (shared >= needed))
         .withColumn("similarity", shared / (size_q + size_t - shared))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.session import cut_lineage
+
 
 def greatest_row(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` per key; remaining columns break ties, so the pick is total."""
@@ -28,7 +30,11 @@ def at_latest_snapshot(profile: DataFrame) -> DataFrame:
 
 
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """One page of ``rows`` with the total number of rows. ``order`` must end in a unique key."""
+    """One page of ``rows`` with the total number of rows. ``order`` must end in a unique key.
+
+    The rows are computed once, into the shared folder, for the count and the page.
+    """
+    rows = cut_lineage(rows)
     total = rows.agg(F.count(F.lit(1))).scalar()
     ordered = rows.orderBy(*order)
     return (ordered.offset(offset) if offset else ordered).limit(limit).withColumn("total_count", total)
