@@ -185,6 +185,12 @@ def profile_metrics(profile: DataFrame) -> DataFrame:
     return _rows(counts, checks).select("check_name", "value")
 
 
+def with_profile_metrics(checks: DataFrame, profile: DataFrame) -> DataFrame:
+    """The checks and those metrics of the profile that are not among them, each name once."""
+    more = profile_metrics(profile).join(checks.select("check_name"), "check_name", "left_anti")
+    return checks.unionByName(more, allowMissingColumns=True)
+
+
 def id_validity(profile: DataFrame) -> DataFrame:
     bad = profile.agg(F.count_if(~is_uuid(F.col("employer_id"))).alias("bad"))
     return _rows(bad, [_row("invalid_employer_ids", "CRITICAL", F.col("bad") == 0, F.col("bad"))])

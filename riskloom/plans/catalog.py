@@ -290,6 +290,18 @@ register(
     PARTITION BY activity_nr, citation_id ORDER BY viol_type DESC, gravity DESC, nr_instances DESC, initial_penalty DESC,
     current_penalty DESC NULLS LAST, issuance_date DESC NULLS LAST) AS rn FROM stg_violations) x WHERE rn = 1""",
 )(lambda i: staging.drop_repeats(i.stg_violations, ["activity_nr", "citation_id"]))
+register(
+    "drop_repeats_null_keys", "activity_nr:s citation_id:s viol_type:s initial_penalty:d",
+    """SELECT activity_nr, NULL AS citation_id, viol_type, initial_penalty FROM stg_violations WHERE viol_type = 'S'
+UNION ALL SELECT activity_nr, citation_id, viol_type, initial_penalty FROM (SELECT *, row_number() OVER (
+    PARTITION BY activity_nr, citation_id ORDER BY viol_type DESC, gravity DESC, nr_instances DESC, initial_penalty DESC,
+    current_penalty DESC NULLS LAST, issuance_date DESC NULLS LAST) AS rn FROM stg_violations WHERE viol_type <> 'S') x WHERE rn = 1
+UNION ALL SELECT activity_nr, citation_id, viol_type, initial_penalty FROM stg_violations WHERE viol_type IS NULL""",
+)(
+    lambda i: staging.drop_repeats(
+        i.stg_violations.withColumn("citation_id", F.when(F.col("viol_type") != "S", F.col("citation_id"))), ["activity_nr", "citation_id"]
+    )
+)
 register(
     "labelled_violations",
     "activity_nr:s citation_id:s viol_type:s viol_type_label:s severity:s issuance_date:t current_penalty:d initial_penalty:d",
@@ -634,17 +646,18 @@ FROM viol_detail WHERE activity_nr = (SELECT max(activity_nr) FROM viol_detail)"
 )
 register(
     "nested_inspections",
-    "employer_id:s activity_nr:s agency:s inspection_date:t insp_type_label:s citation_id:s viol_type:s current_penalty:d issuance_date:t times:i",
-    f"""SELECT employer_id, i.activity_nr, 'OSHA' AS agency, open_date AS inspection_date, label AS insp_type_label, citation_id, viol_type,
-  current_penalty, issuance_date, times
+    "employer_id:s activity_nr:s agency:s inspection_date:t insp_type_label:s page:i citation_id:s viol_type:s current_penalty:d issuance_date:t times:i",
+    f"""SELECT employer_id, i.activity_nr, 'OSHA' AS agency, open_date AS inspection_date, label AS insp_type_label, coalesce(page, 0) AS page, citation_id,
+  viol_type, current_penalty, issuance_date, times
 FROM insp_detail i LEFT JOIN (VALUES {_INSPECTION_VALUES}) t (code, label) ON insp_type = code
-LEFT JOIN (SELECT activity_nr, citation_id, viol_type, current_penalty, issuance_date, count(*) AS times FROM viol_detail
-  GROUP BY ALL) v ON i.activity_nr = v.activity_nr
+LEFT JOIN (SELECT *, (row_number() OVER (PARTITION BY activity_nr ORDER BY citation_id NULLS FIRST, viol_type NULLS FIRST,
+    current_penalty NULLS FIRST, issuance_date NULLS FIRST) - 1) // 2 AS page FROM (SELECT activity_nr, citation_id, viol_type,
+    current_penalty, issuance_date, count(*) AS times FROM viol_detail GROUP BY ALL) c) v ON i.activity_nr = v.activity_nr
 WHERE open_date BETWEEN DATE '1998-01-01' AND DATE '2000-12-31'""",
 )(
     lambda i: reports.nested_inspections(
         reports.inspection_detail(i.osha, AS_OF), reports.violation_detail(i.stg_violations, i.osha, AS_OF),
-        "1998-01-01", "2000-12-31",
+        "1998-01-01", "2000-12-31", page_size=2,
     ).select("*", F.explode_outer("violations").alias("v")).select("*", "v.*")
 )
 _HISTORY = "employer_id:s snapshot_date:t risk_tier:s risk_score:d confidence_tier:s trend_signal:s"
@@ -879,14 +892,14 @@ register(
     "over_merged", "cluster_id:s members:i first_words:i names:i states:i",
     """SELECT * FROM (SELECT cluster_id, members, count(DISTINCT nullif(split_part(trim(upper(estab_name)), ' ', 1), '')) AS first_words,
   count(DISTINCT estab_name) AS names, count(DISTINCT site_state) AS states
-FROM (SELECT site_city AS cluster_id, count(*) AS members FROM osha GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) t
+FROM (SELECT site_city AS cluster_id, count(*) AS members FROM osha GROUP BY 1) t
 JOIN osha ON site_city = cluster_id GROUP BY 1, 2) f WHERE first_words > 3""",
 )(lambda i: audit.over_merged(i.osha.select(F.col("activity_nr").alias("unique_id"), F.col("site_city").alias("cluster_id")), i.osha))
 register(
     "under_merged", "name_normalized:s cluster_count:i record_count:i",
     """SELECT name_normalized, count(DISTINCT cluster_id) AS cluster_count, count(DISTINCT activity_nr) AS record_count
 FROM clusters JOIN osha ON unique_id = activity_nr WHERE length(name_normalized) > 3 GROUP BY 1
-HAVING count(DISTINCT cluster_id) > 5 ORDER BY 2 DESC, 1 LIMIT 30""",
+HAVING count(DISTINCT cluster_id) > 5""",
 )(lambda i: audit.under_merged(i.clusters, i.osha))
 _WATCHED = ["COLD", "WIDGET", "RED BOLT", "NEW", "FURNITURE"]
 _WATCHED_SQL = ", ".join(f"('{w}')" for w in _WATCHED)
@@ -1005,7 +1018,26 @@ register(
   FROM stg_violations GROUP BY 1 HAVING count(*) > 1) x UNION ALL SELECT 'repeated_activity_nr_rows', 'INFO', true,
   count(*) - count(DISTINCT activity_nr) FROM stg_violations""",
 )(lambda i: quality.repeated_keys(i.stg_violations, "activity_nr"))
-register("dq_gate_failures", _CHECKS)(
+_GATED = [
+    "dq_minimum_rows", "dq_gate_freshness", "dq_gate_join_rate", "dq_profile_ratio", "dq_null_rates", "dq_tier_distribution",
+    "dq_id_validity", "dq_parent_match_rate",
+]
+register(
+    "dq_gate_freshness", _CHECKS,
+    f"""SELECT 'latest_inspection_age_days' AS check_name, 'WARNING' AS severity, n < 180 AS passed, n AS value
+FROM (SELECT DATE '{AS_OF}' - max(CAST(open_date AS DATE)) AS n FROM raw_osha_inspections) x""",
+)(lambda i: quality.freshness(i.raw("raw_osha_inspections"), AS_OF))
+register(
+    "dq_gate_join_rate", _CHECKS,
+    """SELECT 'violation_join_rate' AS check_name, 'CRITICAL' AS severity, r > 0.95 AS passed, r AS value FROM (
+  SELECT (SELECT count(*) FROM raw_osha_violations v JOIN raw_osha_inspections i ON v.activity_nr = i.activity_nr) / CAST(count(*) AS DOUBLE) AS r
+  FROM raw_osha_violations) x
+UNION ALL SELECT 'violation_match_rate', 'INFO', true, r FROM (SELECT (SELECT count(*) FROM raw_osha_violations WHERE activity_nr IN (
+  SELECT activity_nr FROM raw_osha_inspections)) / CAST(count(*) AS DOUBLE) AS r FROM raw_osha_violations) y""",
+)(lambda i: quality.join_rate(i.raw("raw_osha_violations"), i.raw("raw_osha_inspections")))
+_ALL_CHECKS = " UNION ALL ".join(f"SELECT * FROM ({ORACLES[name]}) c{n}" for n, name in enumerate(_GATED))
+register("dq_gate_checks", _CHECKS, _ALL_CHECKS)(lambda i: quality.gate_checks(_raw_tables(i), i.profile, AS_OF, limits=_SMALL_LIMITS))
+register("dq_gate_failures", _CHECKS, f"SELECT * FROM ({_ALL_CHECKS}) checks WHERE severity = 'CRITICAL' AND NOT passed")(
     lambda i: quality.gate_failures(quality.gate_checks(_raw_tables(i), i.profile, AS_OF, limits=_SMALL_LIMITS))
 )
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.operators import quality, silver, staging
+from riskloom.operators import quality, reports, silver, staging
 from riskloom.operators.profile import build_profile
 from riskloom.sources.publishing import (
     append_history, materialize, publish, read_previous_metrics, read_published, serving_rows, write_metrics,
@@ -28,6 +28,7 @@ class Layout:
 
 
 REQUIRED = ["osha_inspections", "osha_violations", "whd_actions", "msha_mines", "msha_violations"]
+OPTIONAL = ["ofccp_evaluations", "oflc_disclosure"]
 
 
 def build_silver(spark: SparkSession, layout: Layout, dedupe: bool = True) -> dict[str, DataFrame]:
@@ -36,18 +37,27 @@ def build_silver(spark: SparkSession, layout: Layout, dedupe: bool = True) -> di
     missing = [source for source, rows in raw.items() if rows is None]
     if missing:
         raise FileNotFoundError(f"no snapshot of: {', '.join(missing)}")
-    inspections = staging.stage_inspections(raw["osha_inspections"])
-    if dedupe:
-        inspections = staging.drop_repeats(inspections, ["activity_nr"])
-    violations = staging.stage_violations(raw["osha_violations"])
-    wages = staging.stage_wage_actions(raw["whd_actions"])
-    mines = staging.stage_mines(raw["msha_mines"])
-    mine_violations = staging.stage_mine_violations(raw["msha_violations"])
+    staged = {
+        "inspections": (staging.stage_inspections(raw["osha_inspections"]), ["activity_nr"]),
+        "violations": (staging.stage_violations(raw["osha_violations"]), ["activity_nr", "citation_id"]),
+        "wages": (staging.stage_wage_actions(raw["whd_actions"]), ["case_id"]),
+        "mines": (staging.stage_mines(raw["msha_mines"]), ["mine_id"]),
+        "mine_violations": (staging.stage_mine_violations(raw["msha_violations"]), ["event_no", "violation_no"]),
+    }
+    if dedupe:  # a resumed download repeats records of any source
+        staged = {name: (staging.drop_repeats(rows, keys), keys) for name, (rows, keys) in staged.items()}
+    inspections, violations, wages, mines, mine_violations = (rows for rows, _ in staged.values())
     tables = {
         "inspections": silver.normalize_inspections(inspections, silver.violation_rollup(violations)),
         "wages": silver.normalize_wage_actions(wages),
         "mine_violations": silver.normalize_mine_violations(mine_violations, mines),
+        "violations": violations,
     }
+    contractors, disclosures = (read_latest(spark, layout.bronze, source) for source in OPTIONAL)
+    if contractors is not None:
+        tables["contractors"] = silver.normalize_contractor_evaluations(staging.stage_contractor_evaluations(contractors))
+    if disclosures is not None:
+        tables["disclosures"] = silver.normalize_disclosures(staging.stage_disclosures(disclosures))
     return {name: materialize(rows, f"{layout.silver}/{name}") for name, rows in tables.items()}
 
 
@@ -71,12 +81,13 @@ def run_nightly(
         quality.gate_checks(raw, profile, as_of, read_previous_metrics(spark, layout.metrics, as_of), limits),
         f"{layout.gold}/gate_checks",
     )
-    metrics = quality.profile_metrics(profile)
-    write_metrics(checks.unionByName(metrics, allowMissingColumns=True), layout.metrics, as_of)
+    write_metrics(quality.with_profile_metrics(checks, profile), layout.metrics, as_of)
     quality.enforce_gate(checks)
     served = serving_rows(profile, as_of, run_id)
     publish(served, layout.serving, run_id, as_of)
     published = read_published(spark, layout.serving)
     append_history(published, layout.history)
+    materialize(reports.inspection_detail(tables["inspections"], as_of), f"{layout.serving}_details/inspections")
+    materialize(reports.violation_detail(tables["violations"], tables["inspections"], as_of), f"{layout.serving}_details/violations")
     quality.enforce_gate(quality.publish_drift(profile, published))
     return published

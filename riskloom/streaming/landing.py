@@ -35,9 +35,10 @@ def land_json_lines(
         incomplete = F.lit(False)
         for name in required:
             incomplete = incomplete | F.col(name).isNull()
-        marked = batch.withColumn("_bad", F.col("_malformed").isNotNull() | incomplete)
+        marked = batch.withColumn("_bad", F.col("_malformed").isNotNull() | incomplete).persist()  # read once for both writes
         marked.filter(~F.col("_bad")).drop("_bad", "_malformed").write.mode("overwrite").parquet(f"{bronze}/batch={batch_id}")
         marked.filter("_bad").drop("_bad").write.mode("overwrite").json(f"{quarantine}/batch={batch_id}")
+        marked.unpersist()
 
     return (
         rows.writeStream.foreachBatch(write)
