@@ -24,9 +24,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows with one doc_id a single one stays; rows without a doc_id all stay.
     """
-    kept = minhash.near_duplicates(docs, words_per_shingle=5, percent=80).filter("kept").select("doc_id", "text_hash")
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    stays = hashed.join(kept, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    kept = minhash.near_duplicates(docs, words_per_shingle=5, percent=80).filter("kept").select("doc_id", F.col("text_hash").alias("_text_hash"))
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    stays = hashed.join(kept, ["doc_id", "_text_hash"], "left_semi").dropDuplicates(["doc_id", "_text_hash"])
     return stays.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 

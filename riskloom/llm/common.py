@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
+_HELD: dict[str, dict] = {}
+
+
+def held(owner: str, cache: dict) -> dict:
+    """Register what the tasks of one operator keep in a worker between batches and tasks."""
+    _HELD[owner] = cache
+    return cache
+
+
+def begin(owner: str) -> None:
+    """At the start of a task: forget what other operators have left in this worker, which lives through all of them."""
+    others = [cache for name, cache in _HELD.items() if name != owner and cache]
+    for cache in others:
+        cache.clear()
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)  # give the pages back to the system
+        except (OSError, AttributeError):
+            pass
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and still there when an executor is lost."""
     path = scratch_path(df.sparkSession, label)

@@ -20,6 +20,8 @@ import numpy as np
 import regex
 import tiktoken
 
+from riskloom.llm.common import begin, held
+
 _LATIN = re.compile("[\n\x20-\x7e\xa1-ɏ]*")
 _BYTE_LEVEL_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _MOST_CHUNKS, _LONGEST_CHUNK = 600_000, 48
@@ -132,11 +134,12 @@ def _kind(settings: dict) -> str:
     return "other"
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = held("encoding", {})
 
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder for ``path``."""
+    begin("encoding")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

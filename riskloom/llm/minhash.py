@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import GOLDEN, MASK, Batches, in_slices, mix, stored, texts_of
+from riskloom.llm.common import GOLDEN, MASK, Batches, begin, held, in_slices, mix, stored, texts_of
 from riskloom.operators.components import connected_components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -36,13 +36,13 @@ class WordHashes(dict):
     """64-bit hash of each word, remembered up to a fixed number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-_HASHES = WordHashes()
+_HASHES = held("minhash", WordHashes())
 
 
 def shingle_set(text: str, words_per_shingle: int) -> np.ndarray:
@@ -100,6 +100,7 @@ def document_features(docs: DataFrame, words_per_shingle: int, percent: int, ban
     rows = rows_per_band(percent, bands)
 
     def features(batches: Batches) -> Batches:
+        begin("minhash")
         for batch in in_slices(batches):
             out: list[list] = [[], [], []]
             for text in texts_of(batch.column(2)):
@@ -193,6 +194,7 @@ def short_sets(ids: DataFrame, texts: DataFrame, picks: DataFrame, words_per_shi
     """(id, short): the set of each id with its hashes cut to 32 bits."""
 
     def short(batches: Batches) -> Batches:
+        begin("minhash")
         for batch in in_slices(batches):
             sets = [shingle_set(text, words_per_shingle).astype("<u4").tobytes() for text in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "short"])
@@ -280,6 +282,7 @@ def verified(pairs: DataFrame, texts: DataFrame, picks: DataFrame, words_per_shi
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "later").select("a", "b", "text")
 
     def judged(batches: Batches) -> Batches:
+        begin("minhash")
         first, base = None, np.empty(0, np.uint64)
         for batch in in_slices(batches):
             out: list[list] = [[], []]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Batches, in_slices, mix, stored, texts_of
+from riskloom.llm.common import Batches, begin, held, in_slices, mix, stored, texts_of
 
 BUCKETS = 1 << 18  # hashed n-grams; bounds everything that is learnt
 _SHAPES = [(re.compile(p), r) for p, r in ((r"[A-ZÀ-ÖØ-Þ]+", "A"), (r"[^\W\dA-Z_]+", "a"), (r"[0-9]+", "0"))]
@@ -35,13 +35,13 @@ class WordCodes(dict):
     """Two 32-bit hashes of each word in one integer: of its lower-cased letters above, of its shape below."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 250_000:
             self.clear()
         code = self[word] = xxhash.xxh32_intdigest(word.lower()) << 32 | xxhash.xxh32_intdigest(word_shape(word))
         return code
 
 
-_CODES = WordCodes()
+_CODES = held("quality", WordCodes())
 _LAST_SEEN = np.zeros(BUCKETS, np.int64)
 
 
@@ -133,6 +133,7 @@ def gram_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Of every bucket, in how many good and bad rows it occurs; all rows are counted, BUCKETS sums come back."""
 
     def count(batches: Batches) -> Batches:
+        begin("quality")
         sums = np.zeros((2, BUCKETS), np.int64)
         for batch in in_slices(batches):
             for text, good in zip(texts_of(batch.column(1)), batch.column(2).to_pylist()):
@@ -164,6 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, cost: float
     sample = _labelled(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), labels)  # sample_rows ids at most
 
     def featured(batches: Batches) -> Batches:
+        begin("quality")
         for batch in in_slices(batches):
             rows = [indicators(text).astype("<i4").tobytes() for text in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["doc_id", "good", "grams"])
@@ -200,6 +202,7 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     schema = kept.withColumn("score", F.lit(0.0)).schema
 
     def scored(batches: Batches) -> Batches:
+        begin("quality")
         for batch in in_slices(batches):
             if "constant" in model:
                 scores = [model["constant"]] * batch.num_rows

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Batches, in_slices, texts_of
+from riskloom.llm.common import Batches, begin, held, in_slices, texts_of
 
 # The base patterns and the least lengths.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -38,8 +38,6 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 class Vocabulary:
     """A rank file, read once per worker."""
 
-    _read: dict[str, Vocabulary] = {}
-
     def __init__(self, path: str):
         import tiktoken
 
@@ -49,14 +47,18 @@ class Vocabulary:
 
     @classmethod
     def of(cls, path: str) -> Vocabulary:
-        if path not in cls._read:
-            cls._read[path] = cls(path)
-        return cls._read[path]
+        begin("secrets")
+        if path not in _VOCABULARIES:
+            _VOCABULARIES[path] = cls(path)
+        return _VOCABULARIES[path]
 
     def letters_per_token(self, run: str) -> float:
         return len(run) / max(1, len(self.encoding.encode_ordinary(run)))
 
 
+_VOCABULARIES: dict[str, Vocabulary] = held("secrets", {})
+
+
 def looks_random(run: str, vocabulary: Vocabulary, most_letters_per_token: float) -> bool:
     if len(_CHANGE.findall(run)) < 4 or _KNOWN.fullmatch(run):
         return False
