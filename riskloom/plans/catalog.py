@@ -681,6 +681,26 @@ register(
 register(
     "history_retention", _HISTORY, "SELECT * FROM history WHERE snapshot_date >= DATE '1998-08-01'"
 )(lambda i: history.retained_history(i.history, AS_OF))
+
+
+def _aged_history(i: Inputs, read_all: bool) -> DataFrame:
+    """The newest snapshot's history at many ages: days, Sundays and firsts of a month, of which retention drops some."""
+    ages = F.explode(F.array(*[F.lit(n) for n in (0, 30, 45, 92, 100, 123, 200, 350, 400, 730, 1096, 1127, 1200)])).alias("age")
+    newest = i.history.filter("snapshot_date = DATE '2001-08-01'").select("employer_id", "snapshot_date", ages)
+    rows = newest.select("employer_id", F.expr("date_sub(snapshot_date, age)").alias("snapshot_date"))
+    if not read_all:
+        return history.retained_history(rows, AS_OF)
+    path = scratch_path(i.spark, "aged-history")
+    rows.write.partitionBy("snapshot_date").parquet(path)
+    publishing.apply_retention(i.spark, path, AS_OF)
+    return i.spark.read.schema("employer_id string, snapshot_date date").parquet(path)
+
+
+_AGED = """SELECT employer_id, d AS snapshot_date FROM (SELECT employer_id, CAST(snapshot_date - to_days(CAST(age AS INTEGER)) AS DATE) AS d FROM history,
+  (VALUES (0), (30), (45), (92), (100), (123), (200), (350), (400), (730), (1096), (1127), (1200)) a (age) WHERE snapshot_date = DATE '2001-08-01') x
+WHERE CASE WHEN day(d) = 1 THEN d >= DATE '1998-08-01' WHEN dayofweek(d) = 0 THEN d >= DATE '2000-08-01' ELSE d >= DATE '2001-05-03' END"""
+register("history_retention_ages", "employer_id:s snapshot_date:t", _AGED)(lambda i: _aged_history(i, False))
+register("history_retention_applied", "employer_id:s snapshot_date:t", _AGED)(lambda i: _aged_history(i, True))
 register(
     "tier_changes", "employer_id:s employer_name:s new_tier:s old_tier:s snapshot_date:t",
     """SELECT s.employer_id, s.employer_name, s.risk_tier AS new_tier, p.risk_tier AS old_tier, s.snapshot_date

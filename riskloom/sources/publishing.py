@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.dates import day
-from riskloom.operators.history import new_history_rows
+from riskloom.operators.history import kept_by_retention, new_history_rows
 from riskloom.operators.picks import greatest_row
 from riskloom.types import SERVING_COLUMNS, SERVING_COUNTS, SERVING_RENAMES
 
@@ -91,6 +91,26 @@ def append_history(served: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("snapshot_date").parquet(path)
 
 
+def apply_retention(spark: SparkSession, path: str, as_of: dt.date | str) -> int:
+    """Drop the date partitions of the history that retention no longer keeps; the number dropped.
+
+    A date is kept or dropped whole, so no partition is rewritten: the dates are read
+    from folder names, and folders that must go are deleted.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return 0
+    folders = {s.getPath().getName().removeprefix("snapshot_date="): s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith("snapshot_date=")}
+    if not folders:
+        return 0
+    dates = spark.createDataFrame([(name,) for name in folders], "name string").withColumn("day", F.try_to_date("name"))
+    gone = [r["name"] for r in dates.filter(F.col("day").isNotNull() & ~kept_by_retention(F.col("day"), as_of)).collect()]
+    for name in gone:
+        files.delete(folders[name], True)
+    return len(gone)
+
+
 def write_metrics(checks: DataFrame, path: str, as_of: dt.date | str) -> None:
     """One JSON folder of metric rows per day; the same day is replaced."""
     checks.write.mode("overwrite").json(f"{path}/day={as_of}")
