@@ -1134,13 +1134,10 @@ def _delimited_scan(i: Inputs) -> DataFrame:
             "|", F.col("o_orderkey").cast("string"), F.col("o_orderpriority"),
             F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")),
             F.when(F.col("o_orderstatus") == "P", F.lit("one too many")),
-        ).alias("value")
+        ).alias("KEY|PRIORITY|STATUS")
     )
-    header = i.spark.range(1).select(F.lit("KEY|PRIORITY|STATUS").alias("value"))
-    lines.coalesce(1).write.text(f"{path}/lines")
-    header.write.text(f"{path}/header")
-    merged = i.spark.read.text(f"{path}/header").unionByName(i.spark.read.text(f"{path}/lines"))
-    merged.orderBy(F.col("value") != "KEY|PRIORITY|STATUS").coalesce(1).write.text(f"{path}/file")
+    # One column under a separator that no line holds: each file gets the header line, and files are written side by side.
+    lines.write.options(header="true", sep="\u0001").csv(f"{path}/file")
     return delimited.read_delimited(i.spark, f"{path}/file", ["KEY", "PRIORITY", "STATUS", "NOT_THERE"])
 
 
@@ -1259,11 +1256,12 @@ _SERVED = (
 register("serving_rows", _SERVED, "SELECT * FROM served")(lambda i: i.build_served(AS_OF))
 
 
-def _landed(i: Inputs) -> DataFrame:
+def _landed(i: Inputs, dated: bool = False) -> DataFrame:
     """Event records through the stream in two runs over one checkpoint; records without a user are set aside."""
     from riskloom.streaming.landing import land_json_lines
 
     root = scratch_path(i.spark, "landing")
+    bronze = f"{root}/bronze/events/2001-08-01" if dated else f"{root}/bronze"
     events = i.table("events").select(
         "event_id", F.when(F.col("event_type") != "error", F.col("user_id")).alias("user_id"), "event_type"
     )
@@ -1271,13 +1269,19 @@ def _landed(i: Inputs) -> DataFrame:
         part = events.filter((F.col("event_type") == "click") == late)
         part.write.mode("append").json(f"{root}/inbox")
         land_json_lines(
-            i.spark, f"{root}/inbox", f"{root}/bronze", f"{root}/quarantine", f"{root}/checkpoint",
+            i.spark, f"{root}/inbox", bronze, f"{root}/quarantine", f"{root}/checkpoint",
             "event_id long, user_id long, event_type string", ["event_id", "user_id"],
         ).awaitTermination()
-    return i.spark.read.option("recursiveFileLookup", True).parquet(f"{root}/bronze")
+    if dated:
+        return snapshots.read_latest(i.spark, f"{root}/bronze", "events")
+    return i.spark.read.option("recursiveFileLookup", True).parquet(bronze)
 
 
 register(
     "streamed_landing", "event_id:i user_id:i event_type:s",
     "SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error'",
 )(_landed)
+register(
+    "landed_then_read", "event_id:i user_id:i event_type:s",
+    "SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error'",
+)(lambda i: _landed(i, dated=True))

@@ -24,11 +24,19 @@ def _children(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
     return [(s.getPath().getName(), s.getPath().toString()) for s in files.listStatus(path)]
 
 
+def _holds_rows(spark: SparkSession, folder: str) -> bool:
+    """Whether Parquet files stand in the folder or in the batches that a stream landed in it."""
+    inside = _children(spark, folder)
+    return any(name.endswith(".parquet") for name, _ in inside) or any(
+        name.startswith("batch=") and _holds_rows(spark, path) for name, path in inside
+    )
+
+
 def latest_snapshot_path(spark: SparkSession, root: str, source: str) -> str | None:
     """Newest date folder that holds a Parquet file. Only folder names are listed, no data is read."""
     days = sorted((c for c in _children(spark, f"{root}/{source}") if _DAY.match(c[0])), reverse=True)
     for _, path in days:
-        if any(name.endswith(".parquet") for name, _ in _children(spark, path)):
+        if _holds_rows(spark, path):
             return path
     return None
 
@@ -39,7 +47,9 @@ def read_latest(spark: SparkSession, root: str, source: str) -> DataFrame | None
     if path is None:
         log.warning("no snapshot of %s below %s", source, root)
         return None
-    return spark.read.parquet(path)
+    landed = any(name.startswith("batch=") for name, _ in _children(spark, path))
+    rows = spark.read.parquet(path)
+    return rows.drop("batch") if landed else rows
 
 
 def write_snapshot(

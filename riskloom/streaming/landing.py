@@ -21,7 +21,8 @@ def land_json_lines(
 
     Progress is in the checkpoint: after a crash the next run goes on where this
     one stopped. Each micro-batch overwrites its own folder, so a batch that is
-    repeated leaves no second copy.
+    repeated leaves no second copy. With a date folder ``{root}/{source}/{YYYY-MM-DD}``
+    as ``bronze``, ``read_latest`` reads what has landed.
     """
     rows = (
         spark.readStream.schema(f"{schema}, _malformed string")
