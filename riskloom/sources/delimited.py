@@ -37,6 +37,10 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def read_lookups(spark: SparkSession, path: str) -> DataFrame:
-    """An uploaded CSV, all strings; a byte-order mark in the first header is dropped."""
-    rows = spark.read.option("header", True).csv(path)
+    """An uploaded CSV, all strings; a byte-order mark in the first header is dropped.
+
+    Files that are no valid UTF-8 are read as Latin-1, all of them or none.
+    """
+    valid = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value"))).first()[0]
+    rows = spark.read.options(header="true", encoding="ISO-8859-1" if valid is False else "UTF-8").csv(path)
     return rows.toDF(*[c.lstrip("﻿") for c in rows.columns])

@@ -8,6 +8,7 @@ from riskloom.operators import history, linkage, lookup, picks, prefixes, profil
 from riskloom.operators.components import connected_components
 from riskloom.operators.matching import similar_pairs
 from riskloom.operators.quantiles import exact_percentiles
+from riskloom.sources import delimited
 from test_functions import grams
 
 
@@ -337,3 +338,38 @@ def test_gate(spark):
     with pytest.raises(quality.GateFailed):
         quality.enforce_gate(checks.withColumn("passed", F.lit(False)))
     quality.enforce_gate(checks.withColumn("passed", F.lit(False)).withColumn("severity", F.lit("WARNING")))
+
+
+@pytest.mark.parametrize("encoding", ["utf-8-sig", "latin-1"])
+def test_uploads_in_either_encoding(spark, tmp_path, encoding):
+    (tmp_path / "upload.csv").write_bytes("Name,City\nCafé Müller,Zürich\n".encode(encoding))
+    rows = delimited.read_lookups(spark, str(tmp_path / "upload.csv"))
+    assert rows.columns == ["Name", "City"] and tuple(rows.first()) == ("Café Müller", "Zürich")
+
+
+def test_rows_without_key_are_no_repeats(spark, frame):
+    rows = frame([(None, "A", 1), (None, "B", 1), ("1", "A", 1), ("1", "B", 2), (None, "B", 1)], "activity_nr string, estab_name string, n int")
+    kept = staging.drop_repeats(rows, ["activity_nr"]).collect()
+    assert sorted((r.activity_nr or "", r.estab_name) for r in kept) == [("", "A"), ("", "B"), ("", "B"), ("1", "B")]
+
+
+def test_a_chain_of_displaced_clusters_settles(spark, frame):
+    """The largest cluster takes the first id, its holder then the second, and so on: a round for each."""
+    count = 12
+    ids = frame([(f"c{i:02d}", f"e{i:02d}") for i in range(count + 1)], "cluster_id string, employer_id string")
+    before, after = [], []
+    for i in range(-1, count):  # cluster c_i shares its members with the former c_(i+1)
+        for k in range(2 * (count - i)):
+            before.append((f"u{i}_{k}", f"c{i + 1:02d}"))
+            after.append((f"u{i}_{k}", f"c{i:02d}" if i >= 0 else "new"))
+    clusters = "unique_id string, cluster_id string"
+    got = {r.cluster_id: r.employer_id for r in stable_ids.assign_stable_ids(ids, frame(before, clusters), frame(after, clusters)).collect()}
+    assert got == {"new": "e00"} | {f"c{i:02d}": f"e{i + 1:02d}" for i in range(count)}
+
+
+def test_sums_of_a_two_day_run_are_compared_once(spark, frame):
+    profile = frame([("HIGH", None), ("LOW", "p")], "risk_tier string, parent_name string")
+    checks = quality.tier_distribution(profile)
+    written = quality.with_profile_metrics(checks, profile)
+    names = [r.check_name for r in quality.run_over_run(quality.profile_metrics(profile), written).collect()]
+    assert len(names) == len(set(names)) and "risk_tier_HIGH_change" in names
