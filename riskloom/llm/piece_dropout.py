@@ -18,10 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import MASK, Batches, in_slices, texts_of
+from riskloom.llm.common import MASK, Batches, begin, held, in_slices, texts_of
 
 SPACE = "▁"  # fixed: how the models write a space
-_MOST_CHUNKS, _LONGEST_CHUNK = 800_000, 48
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
+_MOST_CHUNKS, _LONGEST_CHUNK = 300_000, 48
 _LITERAL = "\n" + SPACE  # no chunk is like that
 _NONE = 1 << 24  # no merge
 _NEVER = float("inf")
@@ -49,7 +50,9 @@ class Pieces:
         self.coded_bytes = [np.array([i], self.dtype).tobytes() for i in bytes_of]
         # Chunks end where no piece of the vocabulary reaches across.
         across = [piece for piece in self.rank if SPACE in piece.lstrip(SPACE) or "\n" in piece and len(piece) > 1]
-        self.chunk = re.compile(r"(?s).+") if across else re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+        mixed = [piece for piece in self.rank if any(a.isalpha() != b.isalpha() and SPACE not in (a, b) for a, b in zip(piece, piece[1:]) if _LATIN.match(a) or _LATIN.match(b))]
+        word = "" if mixed else f"{SPACE}*{_LATIN.pattern}+(?=[.,;:!?{SPACE}\n]|\\Z)|"
+        self.chunk = re.compile(r"(?s).+") if across else re.compile(f"\n|{word}{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.known: dict[int, dict[str, bytes]] = {}
         scores = sorted(set(self.rank.values()))
         order = {score: i for i, score in enumerate(scores)}
@@ -70,6 +73,7 @@ class Pieces:
         keys = keys or [0] * len(texts)
         split = [self._split(text) for text in texts]
         own: dict[int, dict[str, bytes]] = {}
+        long: list[tuple[int, str]] = []
         for key in set(keys):
             known = self.known.setdefault(key, {})
             wanted = set().union(*(chunks for chunks, k in zip(split, keys) if k == key))
@@ -79,11 +83,11 @@ class Pieces:
                 missing = wanted
             asked = list(missing)
             known.update(zip(asked, self._segment_many(asked, key, skip)))
+            long += [(key, chunk) for chunk in asked if len(chunk) > _LONGEST_CHUNK]
             own[key] = known
         encoded = [b"".join(map(own[key].__getitem__, chunks)) for chunks, key in zip(split, keys)]
-        for known in own.values():  # what is too long to be remembered
-            for chunk in [c for c in known if len(c) > _LONGEST_CHUNK]:
-                del known[chunk]
+        for key, chunk in long:  # too long to be remembered
+            del own[key][chunk]
         if len(self.known) > 8:
             self.known.clear()
         return encoded
@@ -269,35 +273,42 @@ def _skipped(keyed: int, start: int, middle: int, end: int, skip: int) -> bool:
     return (x ^ (x >> 29)) >> 32 < skip
 
 
-_PIECES: dict[str, Pieces] = {}
+_PIECES: dict[str, Pieces] = held("pieces", {})
 
 
 def _pieces(path: str) -> Pieces:
+    begin("pieces")
     if path not in _PIECES:
         _PIECES[path] = Pieces(path)
     return _PIECES[path]
 
 
-def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, variants: int = 4) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, decode: bool = False) -> DataFrame:
     """``docs`` with a column ids: each text's pieces, one of ``variants`` segmentations, chosen by seed and doc_id.
 
-    Null and empty texts have no ids. Every row stays; a null doc_id takes the first
-    variant. A column of ``docs`` that is named ids is replaced.
+    With ``decode``, a column decoded holds what the ids stand for, made in the same
+    pass. Null and empty texts have no ids. Every row stays; a null doc_id takes the
+    first variant. Columns of ``docs`` that are named ids or decoded are replaced.
     """
-    kept = docs.drop("ids")
+    kept = docs.drop("ids", "decoded")
     text_at, id_at = kept.columns.index("text"), kept.columns.index("doc_id")
     skip = int(dropout * 2**32)
-    schema = kept.withColumn("ids", F.lit(None).cast("array<int>")).schema
+    made = kept.withColumn("ids", F.lit(None).cast("array<int>"))
+    schema = (made.withColumn("decoded", F.lit("")) if decode else made).schema
 
     def encoded(batches: Batches) -> Batches:
         own = _pieces(model)
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, 2 << 20):  # every word of a slice is an object for a while
             keys = [seed * variants + (0 if i is None else xxhash.xxh64_intdigest(str(i), seed) % variants) for i in batch.column(id_at).to_pylist()]
             rows = own.encode(texts_of(batch.column(text_at)), [key & MASK for key in keys], skip)
             offsets = np.cumsum([0, *(len(row) // own.dtype.itemsize for row in rows)], dtype="<i4")
             flat = np.frombuffer(b"".join(rows), own.dtype).astype("<i4")
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
+            columns, names = [*batch.columns, ids], [*batch.schema.names, "ids"]
+            if decode:
+                columns.append(pa.array([own.decode(np.frombuffer(row, own.dtype).tolist()) for row in rows], pa.string()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return kept.mapInArrow(encoded, schema)
 

@@ -68,7 +68,7 @@ def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its pieces under dropout, their checksum, and whether they decode to the very text."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = piece_dropout.decode_pieces(piece_dropout.encode_pieces(docs, model, dropout=0.1, seed=17), model)
+    back = piece_dropout.encode_pieces(docs, model, dropout=0.1, seed=17, decode=True)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
