@@ -66,6 +66,8 @@ def link_vectors(vectors: DataFrame, least_cosine: float = 0.93, width: int = 12
     just at 0.93 are found in about 98 of 100 cases with 16 tables of 12 bits, closer
     ones almost always.
     """
+    # Vectors travel to their buckets as they are stored.
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     value = F.col("embedding").cast("array<double>")
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), value.alias("embedding"))
     plain = plain.filter(F.col("vec_id").isNotNull())
@@ -90,7 +92,7 @@ def link_vectors(vectors: DataFrame, least_cosine: float = 0.93, width: int = 12
             for i, vector in enumerate(lists):
                 padded[i, : len(vector)] = vector
             codes = substrings(_units(padded), model, width) if model is not None else np.zeros((len(lists), 1), np.int64)
-            binary = [np.array(vector, "<f8").tobytes() for vector in lists]
+            binary = [np.array(vector, kind).tobytes() for vector in lists]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(binary, pa.binary()), pa.array([c.astype("<i4").tobytes() for c in codes], pa.binary())], schema=_CODED)
 
     coded_rows = usable.mapInArrow(coded, "vec_id long, label string, vector binary, code binary")
@@ -99,7 +101,7 @@ def link_vectors(vectors: DataFrame, least_cosine: float = 0.93, width: int = 12
     classes = single.groupBy("label", "vector", "code").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes, "itq-classes")
 
-    found = stored(_bucket_links(classes, least_cosine, cell), "itq-links")
+    found = stored(_bucket_links(classes, least_cosine, cell, kind), "itq-links")
     counts = found.filter("other IS NULL").groupBy("id").agg(F.sum("n_links").alias("n_links"))
     edges = found.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     component = connected_components(edges, "a", "b").withColumnRenamed("node", "id")
@@ -117,11 +119,12 @@ def link_vectors(vectors: DataFrame, least_cosine: float = 0.93, width: int = 12
 
 
 def _units(rows: np.ndarray) -> np.ndarray:
+    rows = rows.astype(float)
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # squares of huge or tiny components stay finite
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _bucket_links(classes: DataFrame, least_cosine: float, cell: int) -> DataFrame:
+def _bucket_links(classes: DataFrame, least_cosine: float, cell: int, kind: str) -> DataFrame:
     """Rows (id, null, links found) and (id, other, null) of a spanning forest of the links, from all buckets."""
     position = F.posexplode(F.expr("transform(sequence(1, length(code), 4), p -> substr(code, p, 4))")).alias("place", "sub")
     members = classes.select("id", "copies", "label", "vector", "code", position)
@@ -141,7 +144,7 @@ def _bucket_links(classes: DataFrame, least_cosine: float, cell: int) -> DataFra
 
     def compared(batches: Batches) -> Batches:
         for group in _groups(batches):
-            yield from _compare(group, least_cosine)
+            yield from _compare(group, least_cosine, kind)
 
     return dealt.mapInArrow(compared, "id long, other long, n_links long")
 
@@ -168,12 +171,12 @@ def _groups(batches: Batches) -> Iterator[pa.Table]:
         yield rest
 
 
-def _compare(group: pa.Table, least_cosine: float) -> Iterator[pa.RecordBatch]:
+def _compare(group: pa.Table, least_cosine: float, kind: str) -> Iterator[pa.RecordBatch]:
     if group.num_rows < 2:
         return
     columns = {name: group.column(name).to_numpy() for name in ("id", "copies", "cell")}
     i, j, place = (group.column(name)[0].as_py() for name in ("i", "j", "place"))
-    units = _units(np.stack([np.frombuffer(x, "<f8") for x in group.column("vector").to_pylist()]))
+    units = _units(np.stack([np.frombuffer(x, kind) for x in group.column("vector").to_pylist()]))
     earlier = np.stack([np.frombuffer(x, "<i4") for x in group.column("code").to_pylist()])[:, :place]
     left, right = np.flatnonzero(columns["cell"] == i), np.flatnonzero(columns["cell"] == j)
     linked = units[left] @ units[right].T >= least_cosine
