@@ -223,13 +223,25 @@ def remaining_pairs(mixed: DataFrame, of_class: DataFrame, texts: DataFrame, pic
 
     def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         band_key, i, j = key
+        bands = np.stack(rows["bands"].to_list())
+        earlier = bands[:, : int(np.flatnonzero(bands[0] == band_key)[0])]
+        ids, sizes, component, cell_of = (rows[c].to_numpy() for c in ("id", "n", "component", "cell"))
+        asked = []
+        for x in np.flatnonzero(cell_of == i):
+            near = (component != component[x]) & (cell_of == j) & (np.minimum(sizes, sizes[x]) * 100 >= np.maximum(sizes, sizes[x]) * percent)
+            if i == j:
+                near &= ids > ids[x]
+            at = np.flatnonzero(near)
+            at = at[~(earlier[at] == earlier[x]).any(axis=1)]
+            if len(at):
+                asked.append((x, at))
+        found: list[tuple[int, int]] = []
+        if not asked:
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
         shorts = [np.frombuffer(x, "<u4") for x in rows["short"]]
         starts = np.cumsum([0, *map(len, shorts)])
         known, codes = np.unique(np.concatenate(shorts), return_inverse=True)
         flags = np.zeros(len(known), bool)
-        bands = np.stack(rows["bands"].to_list())
-        earlier = bands[:, : int(np.flatnonzero(bands[0] == band_key)[0])]
-        ids, sizes, component, cell_of = (rows[c].to_numpy() for c in ("id", "n", "component", "cell"))
         root = {c: c for c in component.tolist()}
 
         def find(c: int) -> int:
@@ -238,15 +250,7 @@ def remaining_pairs(mixed: DataFrame, of_class: DataFrame, texts: DataFrame, pic
                 c = root[c]
             return c
 
-        found: list[tuple[int, int]] = []
-        for x in np.flatnonzero(cell_of == i):
-            near = (component != component[x]) & (cell_of == j) & (np.minimum(sizes, sizes[x]) * 100 >= np.maximum(sizes, sizes[x]) * percent)
-            if i == j:
-                near &= ids > ids[x]
-            at = np.flatnonzero(near)
-            at = at[~(earlier[at] == earlier[x]).any(axis=1)]
-            if not len(at):
-                continue
+        for x, at in asked:
             own = codes[starts[x] : starts[x + 1]]
             flags[own] = True
             both = np.add.reduceat(flags[codes], starts[:-1], dtype=np.int64)[at]
