@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import minhash, packing, quality, secret_scan
-from riskloom.llm.common import stored, table
+from riskloom.llm.common import importable, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model accepts (a score of 0.7 or more)."""
+    importable(spark)
     model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return quality.score_documents(docs, model).filter(F.col("score") >= 0.7).select(docs.columns)
 
@@ -24,6 +25,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows with one doc_id a single one stays; rows without a doc_id all stay.
     """
+    importable(spark)
     kept = minhash.near_duplicates(docs, words_per_shingle=5, percent=80).filter("kept").select("doc_id", F.col("text_hash").alias("_text_hash"))
     hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
     stays = hashed.join(kept, ["doc_id", "_text_hash"], "left_semi").dropDuplicates(["doc_id", "_text_hash"])
@@ -32,12 +34,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced by a mark and their lengths counted anew."""
+    importable(spark)
     cleaned = secret_scan.redact_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in sequences of 1024 tokens."""
+    importable(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
