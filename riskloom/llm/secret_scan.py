@@ -1,14 +1,16 @@
 """Secrets in texts: assignments, access keys, hex runs, and strings that a vocabulary cannot shorten.
 
 Natural words take few tokens for their length; random strings take nearly one for
-every other letter. A run of letters and digits with fewer letters per token than a
-bound is reported, unless it has the form of a digest or a common identifier.
+every other letter. A string of letters and digits with no more letters per token
+than a bound is reported, in whatever case, unless it has the form of a digest, a UUID or a date.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,14 +24,15 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "random"]
 
-_RUN = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{20,}(?![\w+/=-])")
-# Digests in hex and base64, UUIDs, dates and times, dotted or dashed words, paths of words.
+LEAST = 16  # shorter natural words often have no more letters per token than random ones
+_RUN = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{%d,}(?![\w+/=-])" % LEAST)
+_PART = re.compile(r"[A-Za-z0-9]+")
+_DATE = r"(?:[0-9]{4}([-/_]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?:[T_-]?[0-2][0-9][-_]?[0-5][0-9](?:[-_]?[0-6][0-9])?(?:[-+_]?[0-9]{1,9})?Z?)?)"
+# Digests in hex and base64, UUIDs, dates with times.
 _KNOWN = re.compile(
-    r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
-    r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|sha(?:1|256|384|512)-[A-Za-z0-9+/]+=*|[0-9TZ+:-]+"
-    r"|(?:[A-Za-z]*[a-z]{3,}[0-9]{0,4}|[A-Z]{2,}|[0-9]{1,8})(?:[-_/+=](?:[A-Za-z]*[a-z]{3,}[0-9]{0,4}|[A-Z]{2,}|[0-9]{1,8}|[a-z]{1,2}))*[-_/+=]*)"
+    r"(?<![A-Za-z0-9])(?:" + "|".join(f"[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in (32, 40, 56, 64, 96, 128)) + r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+    r"|sha(?:1-[A-Za-z0-9+/]{27}=|256-[A-Za-z0-9+/]{43}=|384-[A-Za-z0-9+/]{64}|512-[A-Za-z0-9+/]{86}==)|" + _DATE + r")(?![A-Za-z0-9])"
 )
-_CHANGE = re.compile(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 SPANS = "array<struct<kind: string, start: long, end: long>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -59,10 +62,23 @@ class Vocabulary:
 _VOCABULARIES: dict[str, Vocabulary] = held("secrets", {})
 
 
-def looks_random(run: str, vocabulary: Vocabulary, most_letters_per_token: float) -> bool:
-    if len(_CHANGE.findall(run)) < 4 or _KNOWN.fullmatch(run):
-        return False
-    return vocabulary.letters_per_token(run) <= most_letters_per_token
+def random_spans(run: str, vocabulary: Vocabulary, most_letters_per_token: float) -> list[tuple[int, int]]:
+    """Where a run of letters, digits and separators has random strings: all of it but known forms."""
+    spans, last = [], 0
+    for known in [*_KNOWN.finditer(run), None]:
+        end = known.start() if known else len(run)
+        spans += [(last + low, last + high) for low, high in _random_within(run[last:end], vocabulary, most_letters_per_token)]
+        last = known.end() if known else end
+    return spans
+
+
+def _random_within(run: str, vocabulary: Vocabulary, most: float) -> list[tuple[int, int]]:
+    """All of a run if it is long enough, has few letters per token, and half of its letters stand in no word."""
+    parts = [(m[0], vocabulary.letters_per_token(m[0])) for m in _PART.finditer(run)]
+    unlike = sum(len(part) for part, ratio in parts if ratio <= most and ratio < len(part))
+    if len(run) < LEAST or not parts or 2 * unlike < sum(len(part) for part, _ in parts) or vocabulary.letters_per_token(run) > most:
+        return []
+    return [(0, len(run))]
 
 
 def secret_spans(text: str, vocabulary: Vocabulary, most_letters_per_token: float) -> list[dict]:
@@ -70,7 +86,11 @@ def secret_spans(text: str, vocabulary: Vocabulary, most_letters_per_token: floa
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    found += [(m.start(), 3, m.end()) for m in _RUN.finditer(text) if looks_random(m[0], vocabulary, most_letters_per_token)]
+    exact = sorted((start, end) for start, kind, end in found if kind)  # not told once more as random
+    starts, ends = [start for start, _ in exact], list(accumulate((end for _, end in exact), max))
+    for m in _RUN.finditer(text):
+        spans = [(m.start() + low, m.start() + high) for low, high in random_spans(m[0], vocabulary, most_letters_per_token)]
+        found += [(low, 3, high) for low, high in spans if not (at := bisect_right(starts, low)) or ends[at - 1] < high]
     return [{"kind": KINDS[kind], "start": start, "end": end} for start, kind, end in sorted(found)]
 
 

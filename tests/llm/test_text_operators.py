@@ -170,6 +170,21 @@ def test_secret_spans():
         assert spans(f"see {clean} there") == []
 
 
+def random_found(text):
+    return [text[s["start"] : s["end"]] for s in secret_scan.secret_spans(text, secret_scan.Vocabulary.of(RANKS), 2.0) if s["kind"] == "random"]
+
+
+def test_random_strings_of_every_case():
+    random.seed(21)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters in (lower, upper, lower + upper, lower + upper + digits, upper + "234567", lower + "234567"):
+        for size in (16, 20, 32):
+            tokens = ["".join(random.choices(letters, k=size)) for _ in range(200)]
+            assert sum(random_found(f"see {token} there") == [token] for token in tokens) >= 190, (letters, size)
+    for clean in ("INTERNATIONALIZATION", "CONFIGURATION_MANAGEMENT", "up_to_the_end_of_it", "it-is-up-to-us-to-go", "src/main/java/org/apache/spark", "2024/01/02-2024/02/03", "sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU="):
+        assert random_found(f"see {clean} there") == []
+
+
 def test_scan_and_redaction_of_odd_documents(spark, frame):
     rows = [*odd_documents(), (50, "é token: 0123456789abcdef0123456789abcdef end", "x", 1, "k", "s", "p", "i", 2)]
     docs = frame(rows, SCHEMA)
