@@ -2,7 +2,8 @@
 
 Natural words take few tokens for their length; random strings take nearly one for
 every other letter. A string of letters and digits with no more letters per token
-than a bound is reported, in whatever case, unless it has the form of a digest, a UUID or a date.
+than a bound is reported, in whatever case, and also between ordinary words of a path
+or a dashed name, unless it has the form of a digest, a UUID or a date.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "random"]
 
 LEAST = 16  # shorter natural words often have no more letters per token than random ones
-_RUN = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{%d,}(?![\w+/=-])" % LEAST)
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 _PART = re.compile(r"[A-Za-z0-9]+")
 _DATE = r"(?:[0-9]{4}([-/_]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?:[T_-]?[0-2][0-9][-_]?[0-5][0-9](?:[-_]?[0-6][0-9])?(?:[-+_]?[0-9]{1,9})?Z?)?)"
 # Digests in hex and base64, UUIDs, dates with times.
@@ -63,7 +64,7 @@ _VOCABULARIES: dict[str, Vocabulary] = held("secrets", {})
 
 
 def random_spans(run: str, vocabulary: Vocabulary, most_letters_per_token: float) -> list[tuple[int, int]]:
-    """Where a run of letters, digits and separators has random strings: all of it but known forms."""
+    """Where a run of letters, digits and separators has random strings: stretches without words, or else all of it."""
     spans, last = [], 0
     for known in [*_KNOWN.finditer(run), None]:
         end = known.start() if known else len(run)
@@ -73,12 +74,40 @@ def random_spans(run: str, vocabulary: Vocabulary, most_letters_per_token: float
 
 
 def _random_within(run: str, vocabulary: Vocabulary, most: float) -> list[tuple[int, int]]:
-    """All of a run if it is long enough, has few letters per token, and half of its letters stand in no word."""
-    parts = [(m[0], vocabulary.letters_per_token(m[0])) for m in _PART.finditer(run)]
-    unlike = sum(len(part) for part, ratio in parts if ratio <= most and ratio < len(part))
-    if len(run) < LEAST or not parts or 2 * unlike < sum(len(part) for part, _ in parts) or vocabulary.letters_per_token(run) > most:
+    if len(run) < LEAST:
         return []
-    return [(0, len(run))]
+    stretches: list[list[tuple[int, int, bool, bool]]] = [[]]
+    parts = []
+    for m in _PART.finditer(run):
+        ratio = vocabulary.letters_per_token(m[0])
+        size = len(m[0])
+        # A part is no word if it takes several tokens and is not shortened by them; one below four letters tells nothing.
+        part = (m.start(), m.end(), ratio <= most and ratio < size, ratio == size >= 3)
+        parts.append(part)
+        if stretches[-1] and "=" in run[stretches[-1][-1][1] : m.start()]:
+            stretches.append([])
+        if size >= 4 and ratio > most:
+            stretches.append([])
+        else:
+            stretches[-1].append(part)
+    found = []
+    for stretch in stretches:
+        while stretch and stretch[0][3]:
+            del stretch[0]
+        while stretch and stretch[-1][3]:
+            del stretch[-1]
+        if stretch:
+            found += _measured(run, stretch[0][0], stretch[-1][1], stretch, vocabulary, most)
+    return found or _measured(run, 0, len(run), parts, vocabulary, most)
+
+
+def _measured(run: str, start: int, end: int, parts: list[tuple[int, int, bool, bool]], vocabulary: Vocabulary, most: float) -> list[tuple[int, int]]:
+    """The span around the parts, if it is long enough, has few letters per token, and half of its letters stand in no word."""
+    letters, unlike = sum(p[1] - p[0] for p in parts), sum(p[1] - p[0] for p in parts if p[2])
+    if end - start < LEAST or not parts or 2 * unlike < letters or vocabulary.letters_per_token(run[start:end]) > most:
+        return []
+    padding = re.compile("={1,2}(?![A-Za-z0-9=])").match(run, end)
+    return [(start, padding.end() if padding else end)]
 
 
 def secret_spans(text: str, vocabulary: Vocabulary, most_letters_per_token: float) -> list[dict]:

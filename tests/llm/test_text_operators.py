@@ -185,6 +185,16 @@ def test_random_strings_of_every_case():
         assert random_found(f"see {clean} there") == []
 
 
+def test_random_strings_between_words():
+    random.seed(22)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for before, after in (("/settings/notifications/unsubscribe/confirmation/", ""), ("/account/password/reset/", "/confirm"), ("session=", ""), ("deploy-preview-", "-main"), ("ключ", "ключ"), ("é", "")):
+        for size in (16, 20, 24, 32):
+            tokens = ["".join(random.choices(letters, k=size)) for _ in range(100)]
+            assert sum(random_found(f"see {before}{token}{after} there") == [token] for token in tokens) >= 97, (before, size)
+    assert random_found("see q7Rk9ZpX2/mVt8LwJ4sNd== there") == ["q7Rk9ZpX2/mVt8LwJ4sNd=="]
+
+
 def test_scan_and_redaction_of_odd_documents(spark, frame):
     rows = [*odd_documents(), (50, "é token: 0123456789abcdef0123456789abcdef end", "x", 1, "k", "s", "p", "i", 2)]
     docs = frame(rows, SCHEMA)
