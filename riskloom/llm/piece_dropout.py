@@ -1,16 +1,19 @@
 """SentencePiece merges with seeded dropout, and decoding that gives every text back.
 
 The vocabulary is a BPE model with byte fallback. Merges are taken from an agenda by
-score, leftmost first; when one is taken, a keyed hash of the seed, the document's
-variant, the chunk and the merge's borders decides whether it is skipped. The same
-call thus gives the same segmentation on any machine, and chunks can be remembered.
-Without dropout the ids are those of the library.
+score, leftmost first; when one is taken, a keyed hash of the seed, the document, the
+chunk's position in the text and the number of the decision tells whether it is
+skipped. Every occurrence of a word thus has a segmentation of its own, and the same
+call gives the same on any machine. What is remembered are chunks with the decisions
+made on them: equal decisions give equal pieces, wherever they were made. Without
+dropout the ids are those of the library.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import MASK, Batches, begin, held, in_slices, texts_of
+from riskloom.llm.common import GOLDEN, MASK, Batches, begin, held, in_slices, mix, texts_of
 
 SPACE = "▁"  # fixed: how the models write a space
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
-_MOST_CHUNKS, _LONGEST_CHUNK = 300_000, 48
+_MOST_CHUNKS, _MOST_NODES, _LONGEST_CHUNK = 300_000, 4_000_000, 48
 _LITERAL = "\n" + SPACE  # no chunk is like that
 _NONE = 1 << 24  # no merge
 _NEVER = float("inf")
@@ -53,7 +56,7 @@ class Pieces:
         mixed = [piece for piece in self.rank if any(a.isalpha() != b.isalpha() and SPACE not in (a, b) for a, b in zip(piece, piece[1:]) if _LATIN.match(a) or _LATIN.match(b))]
         word = "" if mixed else f"{SPACE}*{_LATIN.pattern}+(?=[.,;:!?{SPACE}\n]|\\Z)|"
         self.chunk = re.compile(r"(?s).+") if across else re.compile(f"\n|{word}{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.known: dict[int, dict[str, bytes]] = {}
+        self.known = Decisions(self.dtype)
         scores = sorted(set(self.rank.values()))
         order = {score: i for i, score in enumerate(scores)}
         self.rank = {piece: order[score] for piece, score in self.rank.items()}
@@ -66,31 +69,39 @@ class Pieces:
         self.merges = Merges(np.array(splits, np.int64).reshape(-1, 4))
 
     def encode(self, texts: list[str], keys: list[int] | None = None, skip: int = 0) -> list[bytes]:
-        """Ids of each text; its key picks the segmentation, ``skip`` / 2**32 is the chance of a merge to be skipped.
+        """Ids of each text; its key and a chunk's position pick the segmentation, ``skip`` / 2**32 is the chance of a merge to be skipped.
 
         A SPACE that the text itself holds is written as bytes, to be told from a space.
         """
-        keys = keys or [0] * len(texts)
         split = [self._split(text) for text in texts]
-        own: dict[int, dict[str, bytes]] = {}
-        long: list[tuple[int, str]] = []
-        for key in set(keys):
-            known = self.known.setdefault(key, {})
-            wanted = set().union(*(chunks for chunks, k in zip(split, keys) if k == key))
-            missing = wanted - known.keys()
-            if len(known) + len(missing) > _MOST_CHUNKS // min(8, len(self.known)):
-                known.clear()
-                missing = wanted
-            asked = list(missing)
-            known.update(zip(asked, self._segment_many(asked, key, skip)))
-            long += [(key, chunk) for chunk in asked if len(chunk) > _LONGEST_CHUNK]
-            own[key] = known
-        encoded = [b"".join(map(own[key].__getitem__, chunks)) for chunks, key in zip(split, keys)]
-        for key, chunk in long:  # too long to be remembered
-            del own[key][chunk]
-        if len(self.known) > 8:
-            self.known.clear()
-        return encoded
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        first = np.cumsum(counts) - counts
+        chunks = list(chain.from_iterable(split))
+        position = np.arange(len(chunks)) - np.repeat(first, counts)
+        keyed = mix(np.repeat(np.array(keys or [0] * len(texts), np.uint64), counts) + position.astype(np.uint64) * np.uint64(GOLDEN))
+        if len(self.known.roots) > _MOST_CHUNKS or self.known.nodes > _MOST_NODES:
+            self.known = Decisions(self.dtype)
+        known = self.known
+        new = [chunk for chunk in set(chunks) - known.roots.keys() if len(chunk) <= _LONGEST_CHUNK]
+        if new:
+            rows, used = self._traced(new, np.zeros(len(new), np.uint64), 0)
+            known.learn(known.plant(new), used, np.zeros(len(new), np.uint64), 0, known.keep(rows))
+        root = np.fromiter(map(known.roots.get, chunks, repeat(-1)), np.int64, len(chunks))
+        result = known.walk(root, keyed, skip)
+        missing = np.flatnonzero(result < 0)
+        rows, used = self._traced([chunks[i] for i in missing.tolist()], keyed[missing], skip)
+        forgotten = root[missing] < 0  # too long to be remembered
+        stays, leaves = np.flatnonzero(~forgotten), np.flatnonzero(forgotten)
+        result[missing[stays]] = known.keep([rows[i] for i in stays.tolist()])
+        known.learn(root[missing[stays]], used[stays], keyed[missing[stays]], skip, result[missing[stays]])
+        kept = known.kept
+        result[missing[leaves]] = known.keep([rows[i] for i in leaves.tolist()])
+        flat, sizes = known.ids_of(result)
+        known.kept = kept
+        ends = np.append(0, np.cumsum(sizes))
+        low, high = ends[first] * self.dtype.itemsize, ends[first + counts] * self.dtype.itemsize
+        data = flat.tobytes()
+        return [data[i:j] for i, j in zip(low.tolist(), high.tolist())]
 
     def _split(self, text: str) -> list[str]:
         """Chunks that are segmented on their own; _LITERAL stands for a SPACE of the text's own."""
@@ -106,38 +117,42 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.decoded.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
-    def _segment_many(self, chunks: list[str], key: int, skip: int, at_once: int = 8192) -> list[bytes]:
-        """Ids of many chunks, short ones side by side in slices that fit the processor's cache."""
-        out = dict.fromkeys(chunks, b"")
-        short = [chunk for chunk in chunks if len(chunk) <= 64 and chunk != _LITERAL]
+    def _segment_many(self, chunks: list[str], key: int, skip: int) -> list[bytes]:
+        return self._traced(chunks, np.full(len(chunks), key, np.uint64), skip)[0]
+
+    def _traced(self, chunks: list[str], keyed: np.ndarray, skip: int, at_once: int = 8192) -> tuple[list[bytes], np.ndarray]:
+        """Ids of many chunks and how many decisions each took, short ones side by side in slices that fit the processor's cache."""
+        out, used = [b""] * len(chunks), np.zeros(len(chunks), np.int64)
+        alone = [i for i, chunk in enumerate(chunks) if len(chunk) > 64]
+        short = [i for i, chunk in enumerate(chunks) if len(chunk) <= 64 and chunk != _LITERAL]
         for low in range(0, len(short), at_once):
-            words = short[low : low + at_once]
+            at = np.array(short[low : low + at_once])
+            words = [chunks[i] for i in at.tolist()]
             lengths = np.fromiter(map(len, words), np.int32, len(words))
             symbol = self.of_letter[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")]
             known = np.minimum.reduceat(symbol, np.cumsum(lengths) - lengths) >= 0
-            for i in np.flatnonzero(~known).tolist():
-                out[words[i]] = self._segment(words[i], key, skip)
+            alone += at[~known].tolist()
             if known.any():
-                symbol = symbol[np.repeat(known, lengths)]
-                words = [word for word, ok in zip(words, known.tolist()) if ok]
-                out.update(zip(words, self._side_by_side(words, symbol, lengths[known], key, skip)))
-        for chunk in chunks:
-            if len(chunk) > 64:
-                out[chunk] = self._segment(chunk, key, skip)
-            elif chunk == _LITERAL:
-                out[chunk] = self._as_bytes(SPACE)
-        return list(out.values())
-
-    def _side_by_side(self, words: list[str], symbol: np.ndarray, lengths: np.ndarray, key: int, skip: int) -> list[bytes]:
+                rows, used[at[known]] = self._side_by_side(symbol[np.repeat(known, lengths)], lengths[known], keyed[at[known]], skip)
+                for i, row in zip(at[known].tolist(), rows):
+                    out[i] = row
+        for i in alone:
+            out[i], used[i] = self._alone(chunks[i], int(keyed[i]), skip)
+        if len(short) + sum(len(chunk) > 64 for chunk in chunks) < len(chunks):
+            literal = self._as_bytes(SPACE)
+            out = [literal if chunk == _LITERAL else row for chunk, row in zip(chunks, out)]
+        return out, used
+
+    def _side_by_side(self, symbol: np.ndarray, lengths: np.ndarray, keyed: np.ndarray, skip: int) -> tuple[list[bytes], np.ndarray]:
         """The agendas of many words of known letters: each round takes the best merge that each of them has left."""
-        keyed = np.array([xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), key) for word in words], np.uint64) if skip else None
-        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        word = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         start = np.arange(len(word), dtype=np.int32) - np.repeat(np.cumsum(lengths, dtype=np.int32) - lengths, lengths)
         end = start + 1
         rank, merged = self.merges.look_up(symbol, np.append(symbol[1:], -1))
         rank[np.append(word[1:] != word[:-1], True)] = _NONE
-        done = []
+        done, used, turn = [], np.zeros(len(lengths), np.int64), -1
         while len(word):
+            turn += 1
             first = np.append(True, word[1:] != word[:-1])
             border = np.flatnonzero(first)
             order = rank.astype(np.int64) * 64 + start
@@ -147,12 +162,13 @@ class Pieces:
             if closed.any():
                 shut = np.repeat(closed, sizes)
                 done.append((word[shut], symbol[shut]))
+                used[word[border[closed]]] = turn
                 stays = ~shut
                 word, start, end, symbol, rank, merged, order = (x[stays] for x in (word, start, end, symbol, rank, merged, order))
                 best, sizes = best[~closed], sizes[~closed]
             at = np.flatnonzero(order == np.repeat(best, sizes))
             if skip and len(at):
-                left_out = _skipped_many(keyed[word[at]], start[at], end[at], end[at + 1], skip)
+                left_out = _skipped_many(keyed[word[at]], turn, skip)
                 rank[at[left_out]] = _NONE
                 at = at[~left_out]
             if not len(at):
@@ -169,8 +185,8 @@ class Pieces:
         word, symbol = (np.concatenate(x) for x in zip(*done))
         ordered = np.argsort(word, kind="stable")  # a word closes in one round, its pieces in order
         flat = symbol[ordered].astype(self.dtype).tobytes()
-        ends = (np.cumsum(np.bincount(word, minlength=len(words))) * self.dtype.itemsize).tolist()
-        return [flat[low:high] for low, high in zip([0, *ends], ends)]
+        ends = (np.cumsum(np.bincount(word, minlength=len(lengths))) * self.dtype.itemsize).tolist()
+        return [flat[low:high] for low, high in zip([0, *ends], ends)], used
 
     def _as_bytes(self, letter: str) -> bytes:
         return b"".join(map(self.coded_bytes.__getitem__, letter.encode("utf-8", "surrogatepass")))
@@ -179,28 +195,33 @@ class Pieces:
         return self.coded.get(part) or self._as_bytes(part)
 
     def _segment(self, chunk: str, key: int, skip: int) -> bytes:
-        keyed = xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), key) if skip else 0
+        return self._alone(chunk, key, skip)[0]
+
+    def _alone(self, chunk: str, keyed: int, skip: int) -> tuple[bytes, int]:
         if len(chunk) > 200:
-            return b"".join(map(self._coded, self._merged_long(chunk, keyed, skip)))
-        rank, parts, starts = self.rank, list(chunk), list(range(len(chunk) + 1))
+            parts, turn = self._merged_long(chunk, keyed, skip)
+            return b"".join(map(self._coded, parts)), turn
+        turn = 0
+        rank, parts = self.rank, list(chunk)
         agenda = [rank.get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
         while agenda:
             best = min(agenda)
             if best == _NEVER:
                 break
             i = agenda.index(best)
-            if skip and _skipped(keyed, starts[i], starts[i + 1], starts[i + 2], skip):
+            turn += 1
+            if skip and _skipped(keyed, turn - 1, skip):
                 agenda[i] = _NEVER
                 continue
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del starts[i + 1], agenda[i]
+            del agenda[i]
             if i:
                 agenda[i - 1] = rank.get(parts[i - 1] + parts[i], _NEVER)
             if i < len(agenda):
                 agenda[i] = rank.get(parts[i] + parts[i + 1], _NEVER)
-        return b"".join(map(self._coded, parts))
+        return b"".join(map(self._coded, parts)), turn
 
-    def _merged_long(self, chunk: str, keyed: int, skip: int) -> list[str]:
+    def _merged_long(self, chunk: str, keyed: int, skip: int) -> tuple[list[str], int]:
         """The same from a heap, for chunks of any length: (rank, start, middle, end) of living neighbours."""
         end_of, start_of = list(range(1, len(chunk) + 1)), list(range(len(chunk)))  # by a part's start and by its end - 1
         heap: list[tuple[float, int, int, int]] = []
@@ -213,9 +234,13 @@ class Pieces:
 
         for i in range(len(chunk) - 1):
             offer(i, i + 1)
+        turn = 0
         while heap:
             _, start, middle, end = heapq.heappop(heap)
-            if end_of[start] != middle or start_of[middle - 1] != start or end_of[middle] != end or start_of[end - 1] != middle or skip and _skipped(keyed, start, middle, end, skip):
+            if end_of[start] != middle or start_of[middle - 1] != start or end_of[middle] != end or start_of[end - 1] != middle:
+                continue
+            turn += 1
+            if skip and _skipped(keyed, turn - 1, skip):
                 continue
             end_of[start], start_of[end - 1] = end, start
             if start:
@@ -226,7 +251,76 @@ class Pieces:
         while at < len(chunk):
             parts.append(chunk[at : end_of[at]])
             at = end_of[at]
-        return parts
+        return parts, turn
+
+
+class Decisions:
+    """Chunks with the decisions made on them, as binary trees (1 is a skipped merge) whose leaves number their ids."""
+
+    def __init__(self, dtype: np.dtype):
+        self.roots: dict[str, int] = {}
+        self.nodes, self.kept = 0, 0
+        self.child, self.result = np.full(2 << 16, -1, np.int32), np.full(1 << 16, -1, np.int32)
+        self.ends, self.flat = np.zeros((1 << 16) + 1, np.int64), np.zeros(1 << 18, dtype)
+
+    def _more(self, count: int) -> np.ndarray:
+        new = np.arange(self.nodes, self.nodes + count)
+        self.nodes += count
+        while self.nodes > len(self.result):
+            self.child = np.concatenate([self.child, np.full_like(self.child, -1)])
+            self.result = np.concatenate([self.result, np.full_like(self.result, -1)])
+        return new
+
+    def plant(self, chunks: list[str]) -> np.ndarray:
+        new = self._more(len(chunks))
+        self.roots.update(zip(chunks, new.tolist()))
+        return new
+
+    def keep(self, rows: list[bytes]) -> np.ndarray:
+        """Numbers by which ``ids_of`` finds the rows."""
+        added = np.frombuffer(b"".join(rows), self.flat.dtype)
+        low, start = self.kept, self.ends[self.kept]
+        self.kept += len(rows)
+        while self.kept >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while start + len(added) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[start : start + len(added)] = added
+        self.ends[low + 1 : self.kept + 1] = start + np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows))) // self.flat.dtype.itemsize
+        return np.arange(low, self.kept)
+
+    def learn(self, root: np.ndarray, used: np.ndarray, keyed: np.ndarray, skip: int, result: np.ndarray) -> None:
+        node, turn, at = root.copy(), 0, np.flatnonzero(used > 0)
+        while len(at):
+            way = 2 * node[at] + (_skipped_many(keyed[at], turn, skip) if skip else 0)
+            new = np.unique(way[self.child[way] < 0])
+            made = self._more(len(new))
+            self.child[new] = made
+            node[at] = self.child[way]
+            turn += 1
+            at = at[used[at] > turn]
+        self.result[node] = result
+
+    def walk(self, root: np.ndarray, keyed: np.ndarray, skip: int) -> np.ndarray:
+        """What the decisions by ``keyed`` lead to, -1 where they were not met before."""
+        out, turn = np.full(len(root), -1, np.int64), 0
+        at = np.flatnonzero(root >= 0)
+        node = root[at]
+        while len(at):
+            found = self.result[node]
+            over = found >= 0
+            out[at[over]] = found[over]
+            at, node = at[~over], node[~over]
+            node = self.child[2 * node + (_skipped_many(keyed[at], turn, skip) if skip else 0)]
+            at, node = at[node >= 0], node[node >= 0]
+            turn += 1
+        return out
+
+    def ids_of(self, result: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = self.ends[result]
+        sizes = self.ends[result + 1] - low
+        before = np.cumsum(sizes) - sizes
+        return self.flat[np.repeat(low - before, sizes) + np.arange(int(sizes.sum()))], sizes
 
 
 class Merges:
@@ -260,15 +354,15 @@ class Merges:
         return rank, merged
 
 
-def _skipped_many(keyed: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, skip: int) -> np.ndarray:
+def _skipped_many(keyed: np.ndarray, turn: int, skip: int) -> np.ndarray:
     """``_skipped`` for arrays."""
-    x = keyed + start.astype("u8") * np.uint64(0x9E3779B97F4A7C15) + middle.astype("u8") * np.uint64(0xC2B2AE3D27D4EB4F) + end.astype("u8") * np.uint64(0x165667B19E3779F9)
+    x = keyed + np.uint64((turn + 1) * GOLDEN & MASK)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return (x ^ (x >> np.uint64(29))) >> np.uint64(32) < np.uint64(skip)
 
 
-def _skipped(keyed: int, start: int, middle: int, end: int, skip: int) -> bool:
-    x = (keyed + start * 0x9E3779B97F4A7C15 + middle * 0xC2B2AE3D27D4EB4F + end * 0x165667B19E3779F9) & MASK
+def _skipped(keyed: int, turn: int, skip: int) -> bool:
+    x = (keyed + (turn + 1) * GOLDEN) & MASK
     x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & MASK
     return (x ^ (x >> 29)) >> 32 < skip
 
@@ -283,12 +377,18 @@ def _pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, decode: bool = False) -> DataFrame:
-    """``docs`` with a column ids: each text's pieces, one of ``variants`` segmentations, chosen by seed and doc_id.
+def _document_key(doc_id: object, text: str, seed: int) -> int:
+    if doc_id is None:
+        return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), (seed + 1) & MASK)
+    return xxhash.xxh64_intdigest(str(doc_id), seed & MASK)
+
+
+def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, decode: bool = False) -> DataFrame:
+    """``docs`` with a column ids: each text's pieces, every chunk segmented by seed, doc_id and its position in the text.
 
     With ``decode``, a column decoded holds what the ids stand for, made in the same
-    pass. Null and empty texts have no ids. Every row stays; a null doc_id takes the
-    first variant. Columns of ``docs`` that are named ids or decoded are replaced.
+    pass. Null and empty texts have no ids. Every row stays; the text stands in for a
+    null doc_id. Columns of ``docs`` that are named ids or decoded are replaced.
     """
     kept = docs.drop("ids", "decoded")
     text_at, id_at = kept.columns.index("text"), kept.columns.index("doc_id")
@@ -299,8 +399,9 @@ def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
     def encoded(batches: Batches) -> Batches:
         own = _pieces(model)
         for batch in in_slices(batches, 2 << 20):  # every word of a slice is an object for a while
-            keys = [seed * variants + (0 if i is None else xxhash.xxh64_intdigest(str(i), seed) % variants) for i in batch.column(id_at).to_pylist()]
-            rows = own.encode(texts_of(batch.column(text_at)), [key & MASK for key in keys], skip)
+            texts = texts_of(batch.column(text_at))
+            keys = [_document_key(i, text, seed) for i, text in zip(batch.column(id_at).to_pylist(), texts)]
+            rows = own.encode(texts, keys, skip)
             offsets = np.cumsum([0, *(len(row) // own.dtype.itemsize for row in rows)], dtype="<i4")
             flat = np.frombuffer(b"".join(rows), own.dtype).astype("<i4")
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))

@@ -222,6 +222,29 @@ def test_pieces_without_dropout_are_those_of_the_library_and_decode_with_it():
     assert own._segment_many(chunks, 7, skip) == [own._segment(c, 7, skip) for c in chunks]
 
 
+def test_every_occurrence_of_a_word_has_its_own_segmentation(spark, frame):
+    own = piece_dropout.Pieces(PIECES)
+    rows = [(i, " ".join(["of"] * 400 + ["statement"] * 400)) for i in range(50)]
+    found = piece_dropout.encode_pieces(frame(rows, "doc_id long, text string"), PIECES, seed=3, decode=True).collect()
+    assert all(r.decoded == r.text for r in found)
+    plain = len(np.frombuffer(own.encode(["of"])[0], own.dtype))
+    shares, kinds = [], set()
+    for r in found:
+        words = own.encode(["of " * 400], [piece_dropout._document_key(r.doc_id, "", 3)], int(0.1 * 2**32))[0]
+        assert np.frombuffer(words, own.dtype)[:400].tolist() == r.ids[:400]
+        pieces, word = [], ""
+        for i in r.ids:
+            part = own.decoded[i].decode()
+            if part.startswith(" ") and word:
+                pieces.append(word)
+                word = ""
+            word += part + "|"
+        shares.append(np.mean([p.count("|") > plain for p in pieces[:400]]))
+        kinds |= set(pieces[400:])
+    assert plain == 1 and len(kinds) > 20  # "of" has two merges: ▁ with o or o with f, then the rest
+    assert max(shares) < 0.35 and min(shares) > 0.05 and len(set(shares)) > 10
+
+
 def test_pieces_of_odd_documents(spark, frame):
     rows = piece_dropout.decode_pieces(piece_dropout.encode_pieces(frame(odd_documents(), SCHEMA), PIECES, seed=3), PIECES).collect()
     assert len(rows) == len(odd_documents()) and all(r.decoded == (r.text or "") for r in rows)
