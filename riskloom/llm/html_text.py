@@ -26,6 +26,7 @@ _MARKUP = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.!?;,:]")
 
@@ -56,7 +57,7 @@ class Page:
     """Nodes and runs of text of a page. Parents come before their children."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.depths, self.bad, self.good = ["html"], [-1], [0], [False], [False]
+        self.tags, self.parents, self.depths, self.bad, self.good, self.hides = ["html"], [-1], [0], [False], [False], [False]
         self.chars, self.links, self.stops, self.words = [0], [0], [0], [0]
         self.runs: list[list[tuple[int, str]]] = [[]]
         self._open: list[tuple[str, int]] = [("html", 0)]  # elements with the node that holds their text
@@ -127,9 +128,9 @@ class Page:
                 self._close(("option",), ("select",))
         if name in VOID:
             return
-        bad = good = False
+        bad = good = hides = False
         if attributes.strip(" /"):
-            bad, good = _told(attributes)
+            bad, good, hides = _told(attributes)
         node = self._open[-1][1]
         if block or bad or good:
             self.tags.append(name)
@@ -137,6 +138,7 @@ class Page:
             self.depths.append(self.depths[node] + 1)
             self.bad.append(bad)
             self.good.append(good)
+            self.hides.append(hides)
             for column in (self.chars, self.links, self.stops, self.words):
                 column.append(0)
             node = len(self.tags) - 1
@@ -175,9 +177,39 @@ class Page:
         self.parent = np.array(self.parents)
         own = np.array([self.chars, self.links, self.stops, self.words, [1] * count], float)
         self.own_words = own[3].copy()
+        prose = own[0] - own[1]
         for i in range(count - 1, 0, -1):
             own[:, self.parents[i]] += own[:, i]
         self.total = own
+        self._excuse_wrappers(prose)
+
+    def _excuse_wrappers(self, prose: np.ndarray) -> None:
+        """Take back what attributes say of elements that hold the page: its root and body, articles, wrappers around most of its text."""
+        within = self.total[0] - self.total[1]
+        articles = [False] * len(self.tags)
+        for i, tag in enumerate(self.tags):
+            p = self.parents[i]
+            nested = i > 0 and articles[p]
+            articles[i] = nested or tag == "article"
+            if tag in ("html", "body") or tag in ("article", "main") and not self.hides[i] and not nested:
+                self.bad[i] = False
+        for i in range(1, len(self.tags)):
+            if self.bad[i] and not self.hides[i] and 2 * within[i] > within[0]:
+                self.bad[i] = not self._holds_page(i, prose, within)
+
+    def _holds_page(self, wrapper: int, prose: np.ndarray, within: np.ndarray) -> bool:
+        """Whether the main text can only be in the wrapper: most of it in an element that says so, or next to nothing outside but boilerplate."""
+        below, outside, elsewhere = {wrapper}, [False] * len(self.tags), 0.0
+        for i, tag in enumerate(self.tags):
+            p = self.parents[i]
+            if i > wrapper and p in below:
+                below.add(i)
+                if (tag in ("article", "main") or self.good[i] and not self.bad[i]) and 2 * within[i] > within[wrapper]:
+                    return True
+            outside[i] = i > 0 and outside[p] or self.bad[i] or tag in BOILERPLATE_TAGS or tag == "header"
+            if not outside[i]:
+                elsewhere += prose[i]
+        return elsewhere <= 0.1 * within[wrapper]
 
     def features(self) -> np.ndarray:
         count = len(self.tags)
@@ -259,9 +291,9 @@ class Page:
         return "\n".join([block for block in blocks if block])
 
 
-def _told(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id, role or hiding attributes speak of boilerplate, of main text."""
-    bad = good = False
+def _told(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether attributes speak of boilerplate or hide the element, whether of main text, and whether they hide it."""
+    bad = good = hides = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), values[0] or values[1] or values[2]
         if name in ("class", "id", "role", "itemprop"):
@@ -270,9 +302,12 @@ def _told(attributes: str) -> tuple[bool, bool]:
             bad |= not BOILERPLATE_WORDS.isdisjoint(words) or not BOILERPLATE_WORDS.isdisjoint(joined)
             good |= not CONTENT_WORDS.isdisjoint(words) or not CONTENT_WORDS.isdisjoint(joined)
         elif name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            bad = True
-    bad |= re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) is not None
-    return bad, good
+            hides = True
+    bad |= hides
+    if _HIDDEN.search(attributes):
+        bad = True
+        hides |= _HIDDEN.search(_ATTRIBUTE.sub(r"\1=x", attributes)) is not None
+    return bad, good, hides
 
 
 class BoostedTrees:
@@ -286,7 +321,7 @@ class BoostedTrees:
         binned = np.stack([np.searchsorted(cut, x[:, f], side="left") for f, cut in enumerate(cuts)], 1)
         share = np.clip(y.mean(), 0.02, 0.98)
         self.base = math.log(share / (1 - share))
-        margin = self.base + self.marks(x)
+        margin = np.full(len(y), self.base)
         inner = 2**self.depth - 1
         trees = []
         for _ in range(self.rounds):
@@ -308,14 +343,6 @@ class BoostedTrees:
         self.feature, self.cut_at, self.value = (np.stack(part) for part in zip(*trees))
         return self
 
-    @staticmethod
-    def marks(x: np.ndarray) -> np.ndarray:
-        """Where boosting starts: what tags and attributes of a node and those above it say by themselves."""
-        named, tag, good, above_bad, above_good = (x[:, len(_GROUPS) + k] > 0 for k in range(5))
-        bad = named | tag | above_bad
-        good = good | above_good | (x[:, _GROUP_OF["article"]] > 0)
-        return np.where(bad, -3.0, np.where(good, 3.0, 0.0))
-
     def _best_split(self, binned, cuts, gradient, hessian, rows) -> tuple[int, int] | None:
         if len(rows) < 10:
             return None
@@ -334,7 +361,7 @@ class BoostedTrees:
         return best
 
     def chances(self, x: np.ndarray) -> np.ndarray:
-        margin, rows = self.base + self.marks(x), np.arange(len(x))
+        margin, rows = np.full(len(x), self.base), np.arange(len(x))
         inner = 2**self.depth - 1
         for feature, cut_at, value in zip(self.feature, self.cut_at, self.value):
             at = np.zeros(len(x), np.int64)

@@ -299,6 +299,27 @@ def test_main_text_of_pages(spark, frame):
     assert html_text.main_texts(empty, html_text.learn_nodes(empty)).count() == 0
 
 
+def test_wrapper_classes_do_not_lose_the_page(spark, frame):
+    part = "<p>This part of the story went on for a while, and then it told a little more about what was seen there by those who came.</p>"
+    nav, side, foot = '<nav><ul><li><a href="/a">Home</a></li></ul></nav>', '<div class="sidebar"><p>More of our pages are here.</p></div>', "<footer><p>All of it is ours.</p></footer>"
+    story, comments = f"<h1>The title of it</h1>{part * 4}", '<div class="comments"><p>Nice text, thanks a lot for it.</p></div>'
+    article = f"<article>{story}{comments}</article>"
+    sources = [
+        f'<html><body class="has-sidebar">{nav}{article}{side}{foot}</body></html>',
+        f'<html class="header-fixed"><body>{nav}{article}{side}{foot}</body></html>',
+        f'<html><body><div id="page" class="with-sidebar">{nav}{article}{side}{foot}</div></body></html>',
+        f'<html><body>{nav}<article class="post comments-open">{story}{comments}</article>{side}{foot}</body></html>',
+        f'<html><body class="menu-open"><div class="header-fixed"><div class="with-sidebar">{nav}<div>{story}</div>{comments}{side}</div></div>{foot}</body></html>',
+        f'<html><body><main class="no-sidebar">{story}</main>{side}{foot}</body></html>',
+        f'<html><body>{nav}<article><h1>The title of it</h1>{part * 4}<div class="comments">{"<p>I do not think that this is so, and my own view of it is another one, as said.</p>" * 12}</div></article>{foot}</body></html>',
+        f'<html><body>{nav}<article>{story}</article><article hidden>{part * 9}</article>{foot}</body></html>',
+    ]
+    pages = frame(list(enumerate(sources)), "page_id long, html string")
+    trees = html_text.learn_nodes(frame([], "page_id long, html string"))
+    expected = "\n".join(["The title of it", *[part[3:-4]] * 4])
+    assert {r.page_id: r.text for r in html_text.main_texts(pages, trees).collect()} == dict.fromkeys(range(len(sources)), expected)
+
+
 def test_nothing_is_kept_below_a_dropped_node():
     page = html_text.Page("<div><section><p>one two three</p></section><p>four</p></div>")
     for seed in range(50):
