@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import Batches, stored
 from riskloom.operators.components import connected_components
 
+LEAST_TABLES = 16  # fixed: with fewer, links just at the bound are lost
 _CODED = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("vector", pa.binary()), ("code", pa.binary())])
 _FOUND = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("n_links", pa.int64())])
 
@@ -64,7 +65,8 @@ def link_vectors(vectors: DataFrame, least_cosine: float = 0.93, width: int = 12
     learnt on at most ``sample_rows`` vectors, the first by a hash of their ids; every
     vector is indexed. No pair below the bound is linked; of the pairs above it, those
     just at 0.93 are found in about 98 of 100 cases with 16 tables of 12 bits, closer
-    ones almost always.
+    ones almost always; vectors of few dimensions get as many more rotations as make
+    16 tables.
     """
     # Vectors travel to their buckets as they are stored.
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
@@ -81,7 +83,8 @@ def link_vectors(vectors: DataFrame, least_cosine: float = 0.93, width: int = 12
         padded = np.zeros((len(rows), longest))
         for i, vector in enumerate(rows.embedding):
             padded[i, : len(vector)] = vector
-        model = learn_rotations(_units(padded), min(64, longest), rotations)
+        bits = min(64, longest)
+        model = learn_rotations(_units(padded), bits, max(rotations, -(-LEAST_TABLES * width // bits)))
 
     def coded(batches: Batches) -> Batches:
         for batch in batches:

@@ -84,3 +84,14 @@ def test_bounds_hold():
         bound = segment_search.statistics(a, n) @ segment_search.statistics(b, n).T
         assert (bound >= a @ b.T - 1e-6).all() and (bound <= last + 1e-6).all()
         last = bound
+
+
+@pytest.mark.parametrize("size", [16, 32])
+def test_links_just_above_the_bound_in_few_dimensions(spark, frame, size):
+    random = np.random.default_rng(size)
+    rows = []
+    for i in range(600):
+        a, b = np.linalg.qr(random.standard_normal((size, 2)))[0].T
+        rows += [(2 * i, a.tolist(), str(i)), (2 * i + 1, (0.932 * a + (1 - 0.932**2) ** 0.5 * b).tolist(), str(i))]
+    found = itq.link_vectors(frame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sum(r.n_links for r in found) >= 2 * 600 * 0.95
