@@ -28,6 +28,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
+class Codes(dict):
+    """A number for each word, in the order they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
 _HELD: dict[str, dict] = {}
 
 
@@ -71,9 +79,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    """The column's texts; null counts as empty."""
-    return [text or "" for text in column.to_pylist()]
+def texts_of(column: pa.Array, empty: str | bytes = "") -> list:
+    """The column's texts, or their bytes; null counts as empty."""
+    return [text or empty for text in column.to_pylist()]
 
 
 def in_slices(batches: Batches, max_bytes: int = 8 << 20) -> Batches:

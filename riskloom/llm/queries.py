@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, html_text, itq, minhash, packing, piece_dropout, quality, secret_scan, segment_search, token_files
+from riskloom.llm import (
+    chat, decontaminate, filter_audit, html_text, itq, minhash, packing, piece_dropout, quality, repetition, secret_scan, segment_search, statements, token_files,
+)
 from riskloom.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +90,32 @@ def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetition.find_runs(table(spark, sf_dir, "documents"), change=repetition.planted)
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.array_max(ranked).alias("best"), F.array_join(lines, "").alias("lines"), "collapsed")
+    return told.select(
+        "doc_id", "n_runs",
+        (-F.col("best.before")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.shorter")).alias("period"),
+        F.expr("1000 * best.length div -best.shorter").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_html_main_text": op2_html_main_text,
@@ -99,6 +127,12 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_quality_nbsvm": op9_quality_nbsvm,
     "op10_piece_dropout": op10_piece_dropout,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_decontamination": op13_decontamination,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_filter_audit": statements.FILTER_AUDIT,
+    "op13_decontamination": statements.DECONTAMINATION,
+}
