@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from riskloom.functions.labels import match_confidence, risk_note
 from riskloom.functions.scoring import confidence_rank
 from riskloom.functions.similarity import trigram_similarity
-from riskloom.operators.matching import similar_pairs
-from riskloom.operators.picks import at_latest_snapshot, latest_per_employer, page
+from riskloom.operators.matching import best_matches, similar_pairs
+from riskloom.operators.picks import at_latest_snapshot, latest_per_employer, page, sorting
+from riskloom.session import cut_lineage
+from riskloom.sources.name_index import similar_rows
 
 # --- Fixed values: similarity thresholds of the served queries ---
 SHORT_NAME_LENGTH = 6
@@ -66,29 +68,46 @@ def search_by_name(
     limit: int = 20,
     offset: int = 0,
     min_confidence: str | None = None,
+    index: str | None = None,
 ) -> DataFrame:
-    """Employers whose name resembles ``name``: most similar first, then riskiest, then most inspected."""
+    """Employers whose name resembles ``name``: most similar first, then riskiest, then most inspected.
+
+    With the folder of a name index (sources.name_index) only names that it lets through are compared.
+    """
+    hits = name_hits(profile, name, state, zip_code, naics, min_confidence, index)
+    return page(hits, sorting(HIT_ORDER), limit, offset)
+
+
+def name_hits(
+    profile: DataFrame, name: str, state: str | None = None, zip_code: str | None = None, naics: str | None = None,
+    min_confidence: str | None = None, index: str | None = None,
+) -> DataFrame:
+    """All rows of a search by name, in no order."""
     threshold = SHORT_NAME_THRESHOLD if len(name) < SHORT_NAME_LENGTH else NAME_THRESHOLD
-    near = _place_filter(profile, state, zip_code, naics).withColumn(
-        "sim_score", trigram_similarity(F.col("employer_name"), F.lit(name))
-    )
-    hits = latest_per_employer(near.filter(F.col("sim_score") > threshold))
+    placed = _place_filter(profile, state, zip_code, naics)
+    if index:
+        near = similar_rows(placed, index, name, threshold)
+    else:
+        near = placed.withColumn("sim_score", trigram_similarity(F.col("employer_name"), F.lit(name))).filter(F.col("sim_score") > threshold)
+    hits = latest_per_employer(near)
     if min_confidence:
         hits = hits.filter(confidence_rank(F.col("confidence_tier")) >= confidence_rank(F.lit(min_confidence)))
-    order = [
-        F.desc("sim_score"), F.desc_nulls_last("risk_score"), F.desc_nulls_last("osha_inspections"), F.asc("employer_id")
-    ]
-    return page(with_risk_note(hits), order, limit, offset)
+    return with_risk_note(hits)
+
+
+# Whether each column of the order of hits descends.
+HIT_ORDER = {"sim_score": True, "risk_score": True, "osha_inspections": True, "employer_id": False}
 
 
 def search_ranked(
-    profile: DataFrame, name: str, ein: str | None = None, address_key: str | None = None, limit: int = 20
+    profile: DataFrame, name: str, ein: str | None = None, address_key: str | None = None, limit: int = 20, index: str | None = None
 ) -> DataFrame:
     """Ranking chain: tax number, then address key with a near-equal name, then similarity, then latest inspection."""
     similarity = trigram_similarity(F.col("employer_name"), F.lit(name))
     same_ein = F.coalesce(F.col("ein") == F.lit(ein), F.lit(False)) if ein else F.lit(False)
     same_place = F.coalesce(F.col("address_key") == F.lit(address_key), F.lit(False)) if address_key else F.lit(False)
-    ranked = profile.withColumn("sim_score", similarity).withColumn(
+    near = similar_rows(profile, index, name, NAME_THRESHOLD, also=same_ein) if index else profile.withColumn("sim_score", similarity)
+    ranked = near.withColumn(
         "match_rank",
         F.when(same_ein, 1).when(same_place & (F.col("sim_score") > ADDRESS_NAME_THRESHOLD), 2)
         .when(F.col("sim_score") > NAME_THRESHOLD, 3),
@@ -230,63 +249,38 @@ def _ein_choices(newest: DataFrame) -> DataFrame:
     return keyed.groupBy("ein_key").agg(best.alias("employer_id"))
 
 
-def _place_blocks(state: Column, zip_code: Column, city: Column) -> Column:
-    """Every way to narrow by state and zip, each once for all cities and once per city."""
-    nothing = F.lit(None).cast("string")
-    narrowings = [(s, z) for s in (nothing, state) for z in (nothing, zip_code)]
-    return F.array(
-        *[
-            F.struct(_block(s, z, F.lit(with_city)).alias("block"), (city if with_city else nothing).alias("t_city"))
-            for s, z in narrowings
-            for with_city in (False, True)
-        ]
-    )
+def _block(state: Column, zip_code: Column, city: Column) -> Column:
+    return _marked(state, zip_code, city)
 
 
-def _block(state: Column, zip_code: Column, by_city: Column) -> Column:
-    return F.concat_ws("\u0001", _marked(state, zip_code), by_city.cast("string"))
+def _place_blocks(state: Column, zip_code: Column, city: Column) -> Column:
+    """Every way to narrow by state, zip and city."""
+    nothing = F.lit(None).cast("string")
+    return F.array(*[_block(s, z, c) for s in (nothing, state) for z in (nothing, zip_code) for c in (nothing, city)])
 
 
 def _name_choices(queries: DataFrame, newest: DataFrame) -> DataFrame:
     """Most similar employer per distinct (name, state, zip, city) query.
 
-    A query's state and zip form its block. Names are compared once per block,
-    however many employers and queries carry them; of the employers that share
+    A query's state, zip and city form its block; a city stands for all cities like it,
+    which are found once per distinct city, so such a query has a block for each of
+    them and names never meet the cities of other names. Of the employers that share
     name and block only the least id can win, so only that one is kept.
     """
-    by_city = F.col("q_city").isNotNull()
-    asked = (
-        queries.select("q_name", "q_state", "q_zip", "q_city")
-        .distinct()
-        .withColumn("block", _block(F.col("q_state"), F.col("q_zip"), by_city))
-    )
-    places = (
-        newest.select(
-            F.lower("employer_name").alias("t_name"),
-            "employer_id",
-            F.explode(_place_blocks(F.col("state"), F.col("zip"), F.col("city"))).alias("p"),
-        )
-        .select("t_name", "employer_id", "p.block", "p.t_city")
-        .join(asked.select("block").distinct(), "block", "left_semi")
-        .groupBy("block", "t_name", "t_city")
-        .agg(F.min("employer_id").alias("employer_id"))
-    )
-    pairs = similar_pairs(
-        asked.select("block", "q_name").distinct(), places.select("block", "t_name").distinct(),
-        "q_name", "t_name", BULK_NAME_THRESHOLD, block="block",
-    )
-    in_city = F.col("q_city").isNull() | (
-        trigram_similarity(F.col("t_city"), F.col("q_city")) > BULK_CITY_THRESHOLD
-    )
-    best = F.min_by(F.struct("employer_id", "similarity"), F.struct(-F.col("similarity"), F.col("employer_id")))
-    return (
-        pairs.join(asked, ["block", "q_name"])
-        .join(places, ["block", "t_name"])
-        .filter(in_city)
-        .groupBy(_query_key().alias("query_key"))
-        .agg(best.alias("best"))
-        .select("query_key", "best.employer_id", "best.similarity")
+    newest = cut_lineage(newest.select("employer_id", "employer_name", "state", "zip", "city"))
+    asked = queries.select("q_name", "q_state", "q_zip", "q_city").distinct().withColumn("query_key", _query_key())
+    cities = similar_pairs(
+        asked.select("q_city").filter("q_city IS NOT NULL").distinct(), newest.select(F.col("city").alias("t_city")).distinct(),
+        "q_city", "t_city", BULK_CITY_THRESHOLD,
+    ).select("q_city", "t_city")
+    anywhere = asked.filter("q_city IS NULL").withColumn("t_city", F.lit(None).cast("string"))
+    somewhere = asked.filter("q_city IS NOT NULL").join(cities, "q_city")
+    asked = anywhere.unionByName(somewhere).withColumn("block", _block(F.col("q_state"), F.col("q_zip"), F.col("t_city")))
+    held = newest.select(
+        F.lower("employer_name").alias("t_name"), "employer_id", F.explode(_place_blocks(F.col("state"), F.col("zip"), F.col("city"))).alias("block")
     )
+    held = held.join(asked.select("block").distinct(), "block", "left_semi").groupBy("block", "t_name").agg(F.min("employer_id").alias("employer_id"))
+    return best_matches(asked, held, "q_name", "t_name", "query_key", "employer_id", BULK_NAME_THRESHOLD, "block")
 
 
 def _query_key() -> Column:

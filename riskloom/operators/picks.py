@@ -6,11 +6,9 @@ so a key that holds a third of all rows costs one row per map task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from riskloom.session import cut_lineage
-
 
 def greatest_row(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` per key; remaining columns break ties, so the pick is total."""
@@ -32,14 +30,48 @@ def at_latest_snapshot(profile: DataFrame) -> DataFrame:
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """One page of ``rows`` with the total number of rows. ``order`` must end in a unique key.
 
-    The rows are computed once, into the shared folder, for the count and the page.
+    Each task sorts out the ``offset + limit`` rows that may be on the page; nothing is
+    stored. The total is a scalar subquery over the same rows. For pages far behind, or
+    where the rows must be evaluated once, use ``page_after``.
     """
-    rows = cut_lineage(rows)
     total = rows.agg(F.count(F.lit(1))).scalar()
     ordered = rows.orderBy(*order)
     return (ordered.offset(offset) if offset else ordered).limit(limit).withColumn("total_count", total)
 
 
+def page_after(rows: DataFrame, order: dict[str, bool], limit: int, after: dict | None = None) -> tuple[DataFrame, Observation]:
+    """The ``limit`` rows that follow the row ``after``, and an observation of the total as ``total_count``.
+
+    ``order`` names columns and whether they descend, nulls last either way; the last
+    one is unique and not null. ``after`` holds these columns of the last row of the
+    page before (None: the first page). The rows are evaluated once: all are counted on
+    the way, only those behind the cursor are kept, and each task holds ``limit`` of
+    them. The observation's value is there once the page has been read.
+    """
+    total = Observation()
+    counted = rows.observe(total, F.count(F.lit(1)).alias("total_count"))
+    behind = counted.filter(_follows(order, after)) if after else counted
+    return behind.orderBy(*sorting(order)).limit(limit), total
+
+
+def sorting(order: dict[str, bool]) -> list[Column]:
+    return [F.desc_nulls_last(name) if descending else F.asc_nulls_last(name) for name, descending in order.items()]
+
+
+def _follows(order: dict[str, bool], after: dict) -> Column:
+    """Rows that come later than the cursor in the given order."""
+    later, equal = F.lit(False), F.lit(True)
+    for name, descending in order.items():
+        value, column = F.lit(after[name]), F.col(name)
+        if after[name] is None:  # only nulls are left in this column
+            beyond, same = F.lit(False), column.isNull()
+        else:
+            beyond = column.isNull() | (column < value if descending else column > value)
+            same = F.coalesce(column == value, F.lit(False))
+        later, equal = later | (equal & beyond), equal & same
+    return later
+
+
 def repeatable_sample(rows: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """``k`` rows chosen by a hash of their key: random to look at, the same on every run."""
     return rows.orderBy(F.md5(F.concat(F.col(key), F.lit(f"#{seed}"))), key).limit(k)

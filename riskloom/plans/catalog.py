@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from riskloom.plans.inputs import Inputs
 from riskloom.plans.oracle import AS_OF
 from riskloom.session import scratch_path
 from riskloom.sources import delimited, ownership, publishing, snapshots
+from riskloom.sources.commits import CommitLog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -472,18 +475,40 @@ WHERE sim_score > {threshold} ORDER BY sim_score DESC, risk_score DESC, osha_ins
 register(
     "fuzzy_search", "employer_id:s employer_name:s sim_score:d risk_score:d total_count:i",
     _search_sql("COLD WIDGT FURNITURE", 0.25) + " LIMIT 50 OFFSET 10",
-)(lambda i: lookup.search_by_name(i.served, "COLD WIDGT FURNITURE", limit=50, offset=10))
+)(lambda i: lookup.search_by_name(i.served, "COLD WIDGT FURNITURE", limit=50, offset=10, index=i.name_index))
 register(
     "fuzzy_search_short_name", "employer_id:s employer_name:s sim_score:d risk_score:d total_count:i",
     _search_sql("rng", 0.15, "WHERE state = 'NATION_3' AND naics_code LIKE '23%'") + " LIMIT 100",
-)(lambda i: lookup.search_by_name(i.served, "rng", state="nation_3", naics="23", limit=100))
+)(lambda i: lookup.search_by_name(i.served, "rng", state="nation_3", naics="23", limit=100, index=i.name_index))
 register(
     "search_min_confidence", "employer_id:s sim_score:d confidence_tier:s total_count:i",
     f"""SELECT *{_COUNTED} FROM (SELECT employer_id, confidence_tier, risk_score, osha_inspections,
   {o.similarity('employer_name', "'RED BOLT'")} AS sim_score FROM served) c
 WHERE sim_score > 0.25 AND confidence_tier = 'HIGH' ORDER BY sim_score DESC, risk_score DESC, osha_inspections DESC, employer_id LIMIT 100""",
-)(lambda i: lookup.search_by_name(i.served, "RED BOLT", limit=100, min_confidence="HIGH"))
-_KEY = "'NO SUCH|ADDRESS|00000'"
+)(lambda i: lookup.search_by_name(i.served, "RED BOLT", limit=100, min_confidence="HIGH", index=i.name_index))
+register(
+    "page_after", "page:i place:i employer_id:s sim_score:d total_count:i",
+    f"""SELECT (rn - 1) // 400 AS page, (rn - 1) % 400 AS place, employer_id, sim_score, total_count FROM (
+  SELECT *, row_number() OVER (ORDER BY sim_score DESC, risk_score DESC NULLS LAST, osha_inspections DESC NULLS LAST, employer_id) AS rn{_COUNTED}
+  FROM (SELECT *, {o.similarity('employer_name', "'COLD WIDGET FURNITURE'")} AS sim_score FROM served) s WHERE sim_score > 0.4) p""",
+)(lambda i: _all_pages(i))
+
+
+def _all_pages(i: Inputs) -> DataFrame:
+    """All hits, read page after page, each from the last row of the one before."""
+    hits = lookup.name_hits(i.served, "COLD WIDGET FURNITURE", index=i.name_index).filter("sim_score > 0.4")
+    columns = [*lookup.HIT_ORDER]
+    pages, after = [], None
+    while True:
+        page, total = picks.page_after(hits, lookup.HIT_ORDER, 400, after)
+        rows = page.select(*columns).collect()
+        numbered = [(len(pages), k, row["employer_id"], row["sim_score"], total.get["total_count"]) for k, row in enumerate(rows)]
+        pages.append(i.spark.createDataFrame(numbered, "page int, place int, employer_id string, sim_score double, total_count long"))
+        if len(rows) < 400:
+            return reduce(DataFrame.unionByName, pages)
+        after = rows[-1].asDict()
+
+
 register(
     "ranked_search", "employer_id:s match_rank:i sim_score:d",
     f"""SELECT * FROM (SELECT employer_id, osha_open_date_latest, sim_score, CASE WHEN ein = e THEN 1
@@ -500,7 +525,7 @@ def _ranked(i: Inputs) -> DataFrame:
     wanted = keyed.filter(F.col("employer_name").startswith("COLD WIDGET FURNITURE"))
     ein = i.served.agg(F.min("ein")).first()[0]
     place = wanted.agg(F.min("address_key")).first()[0]
-    return lookup.search_ranked(keyed, "COLD WIDGET FURNITURE", ein=ein, address_key=place, limit=200)
+    return lookup.search_ranked(keyed, "COLD WIDGET FURNITURE", ein=ein, address_key=place, limit=200, index=i.name_index)
 
 
 _ROLLUP = """count(DISTINCT employer_id) AS total_locations, sum(osha_inspections) AS total_inspections,
@@ -691,9 +716,9 @@ def _aged_history(i: Inputs, read_all: bool) -> DataFrame:
     if not read_all:
         return history.retained_history(rows, AS_OF)
     path = scratch_path(i.spark, "aged-history")
-    rows.write.partitionBy("snapshot_date").parquet(path)
+    publishing.append_snapshots(rows, path)
     publishing.apply_retention(i.spark, path, AS_OF)
-    return i.spark.read.schema("employer_id string, snapshot_date date").parquet(path)
+    return publishing.read_history(i.spark, path)
 
 
 _AGED = """SELECT employer_id, d AS snapshot_date FROM (SELECT employer_id, CAST(snapshot_date - to_days(CAST(age AS INTEGER)) AS DATE) AS d FROM history,
@@ -1205,6 +1230,39 @@ def _swap(i: Inputs) -> DataFrame:
     )
 
 
+def _published_at_once(i: Inputs) -> DataFrame:
+    """Two writers publish at the same time; both versions, with the number of versions in the log."""
+    root = scratch_path(i.spark, "serving")
+    runs = {"run-2": i.served_at("2000-08-01"), "run-3": i.served}
+    with ThreadPoolExecutor(len(runs)) as pool:
+        for done in [pool.submit(publishing.publish, served, root, run, AS_OF) for run, served in runs.items()]:
+            done.result()
+    versions = [publishing.read_published(i.spark, root, back).select("employer_id", "risk_score", "pipeline_run_id") for back in (0, 1)]
+    return versions[0].unionByName(versions[1]).withColumn("versions", F.lit(len(CommitLog(i.spark, root).entries())))
+
+
+register(
+    "publish_concurrent", "employer_id:s risk_score:d pipeline_run_id:s versions:i",
+    """SELECT employer_id, risk_score, 'run-3' AS pipeline_run_id, 2 AS versions FROM profile
+UNION ALL SELECT employer_id, risk_score, 'run-2', 2 FROM profile_2000""",
+)(_published_at_once)
+
+
+def _refused(i: Inputs) -> DataFrame:
+    """What is published after an empty profile was refused, with the number of folders written."""
+    root = scratch_path(i.spark, "serving")
+    publishing.publish(i.served, root, "run-3", AS_OF)
+    try:
+        publishing.publish(i.served.filter("risk_score > 1000"), root, "run-4", AS_OF)
+    except ValueError:
+        pass
+    return publishing.read_published(i.spark, root).withColumn("folders", F.lit(len(CommitLog(i.spark, root).folders())))
+
+
+register(
+    "publish_refused", "employer_id:s pipeline_run_id:s folders:i",
+    "SELECT employer_id, 'run-3' AS pipeline_run_id, 1 AS folders FROM profile",
+)(_refused)
 register(
     "publish_swap", "employer_id:s risk_score:d pipeline_run_id:s",
     "SELECT employer_id, risk_score, 'run-3' AS pipeline_run_id FROM profile UNION ALL SELECT employer_id, risk_score, 'run-2' FROM profile_2000",
@@ -1215,7 +1273,7 @@ def _appended_history(i: Inputs) -> DataFrame:
     path = scratch_path(i.spark, "history")
     for served in (i.served_at("2000-08-01"), i.served, i.served):
         publishing.append_history(served, path)
-    return i.spark.read.parquet(path)
+    return publishing.read_history(i.spark, path)
 
 
 register("append_history_twice", _HISTORY, "SELECT * FROM history WHERE snapshot_date >= DATE '2000-08-01'")(_appended_history)

@@ -16,6 +16,7 @@ from riskloom.operators import history, linkage, profile, silver, staging
 from riskloom.plans import fixtures
 from riskloom.plans.oracle import AS_OF
 from riskloom.session import scratch_path
+from riskloom.sources.name_index import add_to_index
 from riskloom.sources.publishing import materialize, serving_rows
 
 SNAPSHOTS = {"1999-08-01": "run-1", "2000-08-01": "run-2", AS_OF: "run-3"}
@@ -133,6 +134,17 @@ class Inputs:
     def served(self) -> DataFrame:
         return self.served_at(AS_OF)
 
+    @cached_property
+    def name_index(self) -> str:
+        """Folder of the name index of the served profile, one delta per snapshot."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "name_index")
+        if key not in _WRITTEN:
+            path = scratch_path(self.spark, "name_index")
+            for day in SNAPSHOTS:
+                add_to_index(self.served_at(day), path)
+            _WRITTEN[key] = path
+        return _WRITTEN[key]
+
     @cached_property
     def history(self) -> DataFrame:
         parts = [self.served_at(day).select(*history.HISTORY_COLUMNS) for day in SNAPSHOTS]

@@ -3,7 +3,7 @@ import pytest
 from riskloom.operators import quality
 from riskloom.plans.inputs import Inputs
 from riskloom.plans.nightly import REQUIRED, Layout, run_nightly
-from riskloom.sources.publishing import read_previous_metrics, read_published
+from riskloom.sources.publishing import read_history, read_previous_metrics, read_published
 from riskloom.sources.snapshots import write_snapshot
 
 
@@ -33,7 +33,7 @@ def test_nightly_run_publishes(spark, layout, monkeypatch):
         published = run_nightly(spark, made, inputs.parents, inputs.naics, day, run, limits)
     assert {r[0] for r in published.select("pipeline_run_id").distinct().collect()} == {"run-2b"}
     assert read_published(spark, made.serving, back=2).count() == published.count()
-    per_day = spark.read.parquet(made.history).groupBy("snapshot_date").count().collect()
+    per_day = read_history(spark, made.history).groupBy("snapshot_date").count().collect()
     assert {str(r[0]): r[1] for r in per_day} == {d: published.count() for d in ("2001-08-01", "2001-08-02")}
     before = read_previous_metrics(spark, made.metrics, "2001-08-02")
     assert before.filter("check_name = 'employer_profile_count'").first().value == published.count()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import history, linkage, lookup, picks, prefixes, profile, quality, reports, stable_ids, staging
 from riskloom.operators.components import connected_components
-from riskloom.operators.matching import similar_pairs
+from riskloom.operators.matching import best_matches, similar_pairs
 from riskloom.operators.quantiles import exact_percentiles
 from riskloom.sources import delimited
 from test_functions import grams
@@ -121,6 +121,47 @@ def test_similar_pairs_within_blocks_only(spark):
     assert rows(similar_pairs(q, t, "a", "b", 0.3, block="block")) == [("x", "acme", "acme", 1.0)]
 
 
+@pytest.mark.parametrize("rows_per_salt", [2, 50_000])
+def test_best_matches_equal_brute_force_with_a_gram_that_all_texts_hold(spark, rows_per_salt):
+    rng = random.Random(11)
+    words = ["acme", "roofing", "steel", "works", "north", "bolt", "x"]
+    name = lambda: " ".join(["inc"] + [rng.choice(words) + rng.choice(["", "s", "x"]) for _ in range(rng.randint(0, 3))])
+    asked = [(rng.choice("ab"), name(), f"q{k % 50}") for k in range(90)]
+    held = [(rng.choice("abc"), name(), f"t{rng.randrange(60):02d}") for _ in range(120)]
+    got = best_matches(
+        spark.createDataFrame(asked, "block string, q string, query string"), spark.createDataFrame(held, "block string, t string, target string"),
+        "q", "t", "query", "target", 0.3, "block", rows_per_salt=rows_per_salt,
+    )
+    want = {}
+    for block, q, query in asked:
+        for other, t, target in held:
+            x, y = grams(q), grams(t)
+            score = len(x & y) / len(x | y)
+            if block == other and score > 0.3:
+                want[query] = min(want.get(query, (0.0, "")), (-score, target))
+    assert {r.query: (r.target, round(r.similarity, 9)) for r in got.collect()} == {k: (t, round(-s, 9)) for k, (s, t) in want.items()}
+
+
+def test_a_name_asked_and_held_in_a_thousand_cities_meets_each_city_once(spark, monkeypatch):
+    cities = ["".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=12)) for k in range(1000)]
+    served = spark.createDataFrame(
+        [(f"e{k:04d}", "ACME ROOFING", "TX", "70000", city.upper(), 1) for k, city in enumerate(cities)],
+        "employer_id string, employer_name string, state string, zip string, city string, snapshot_date int",
+    )
+    asked = spark.createDataFrame([(k, "acme roofng", city) for k, city in enumerate(cities)], "lookup_id long, name string, city string")
+    seen = []
+    best = lookup.best_matches
+
+    def counted(asked, held, *rest):
+        seen.extend([asked.count(), held.count()])
+        return best(asked, held, *rest)
+
+    monkeypatch.setattr(lookup, "best_matches", counted)
+    got = {r.lookup_id: r.employer_id for r in lookup.resolve_lookups(asked, served).collect()}
+    assert got == {k: f"e{k:04d}" for k in range(1000)}
+    assert max(seen) < 1100
+
+
 def test_exact_percentiles(spark):
     rng = random.Random(3)
     data = [("g%d" % (k % 3), rng.choice([0, 1, 5, -3, 10**9, 123456789012]) + rng.randint(0, 9)) for k in range(200)]
