@@ -37,8 +37,12 @@ CLUSTER_THRESHOLD = 0.85
 _ALL = frozenset([*FIELDS, "name_prefix"])
 
 
-def linkage_input(inspections: DataFrame, wages: DataFrame) -> DataFrame:
-    """One record per inspection and wage action with the linkage fields."""
+def linkage_input(inspections: DataFrame, wages: DataFrame, missing_prefix: str | None = None) -> DataFrame:
+    """One record per inspection and wage action with the linkage fields.
+
+    ``missing_prefix`` stands in for a missing industry prefix, so that records without
+    one share blocks; by default they share none.
+    """
     name = F.col("name_normalized")
     named = name.isNotNull() & (name != "")
     missing = F.lit(None).cast("string")
@@ -51,7 +55,8 @@ def linkage_input(inspections: DataFrame, wages: DataFrame) -> DataFrame:
         "name_normalized", name_prefix(name).alias("name_prefix"), "zip5", F.col("state").alias("site_state"),
         missing.alias("naics_4digit"), missing.alias("address_key"),
     )
-    return osha.unionByName(whd)
+    records = osha.unionByName(whd)
+    return records if missing_prefix is None else records.fillna(missing_prefix, ["naics_4digit"])
 
 
 # --- evidence ---
@@ -198,6 +203,85 @@ def candidate_pair_counts(records: DataFrame) -> DataFrame:
     return groups.groupBy("match_rule").agg(pairs.cast("long").alias("pairs"))
 
 
+# --- agreement patterns, counted ---
+
+
+def _pattern_sets() -> list[frozenset[str]]:
+    """All sets of agreeing fields that put a pair into a block, closed under equal names."""
+    fields = sorted(_ALL)
+    chosen = {_closed(frozenset(c)) for size in range(1, len(fields) + 1) for c in combinations(fields, size)}
+    return sorted((s for s in chosen if _blocked(s)), key=lambda s: (len(s), sorted(s)))
+
+
+def pair_patterns(records: DataFrame) -> DataFrame:
+    """Record pairs of the blocking rules per pattern of agreement: (gamma_ of each field and of name_prefix, match_rule, pairs).
+
+    1 agree, 0 differ, null when a side is missing; ``match_rule`` is the first rule that
+    holds. No pair is listed. Per field set and group of equal values, records are
+    counted by which fields they know; products of these counts are the pairs that agree
+    at least there, and taking the larger sets away leaves those that agree nowhere else.
+    What comes back to the driver is bounded by the fields: sets times pairs of masks.
+    """
+    sets = _pattern_sets()
+    entries = F.array(*[F.struct(F.lit(i).alias("set"), _key(fields).alias("key")) for i, fields in enumerate(sets)])
+    classes = linkage_classes(records).select("n", "mask", F.explode(F.filter(entries, lambda e: e["key"].isNotNull())).alias("e"))
+    groups = classes.groupBy("e.set", "e.key", "mask").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+    members = groups.groupBy("set", "key").agg(F.collect_list(F.struct("mask", "n")).alias("m"))
+    one = members.select("set", "m", F.explode("m").alias("a"))
+    both = one.select("set", "a", F.explode(F.filter("m", lambda b: b["mask"] >= F.col("a.mask"))).alias("b"))
+    half = F.col("a.n") * (F.col("a.n") - 1) / 2
+    size = F.when(F.col("a.mask") == F.col("b.mask"), half.cast("decimal(38,0)")).otherwise((F.col("a.n") * F.col("b.n")).cast("decimal(38,0)"))
+    counted = both.groupBy("set", F.col("a.mask").alias("left"), F.col("b.mask").alias("right")).agg(F.sum(size).alias("pairs")).collect()
+    at_least: dict[tuple[int, int], dict[frozenset[str], int]] = {}
+    for row in counted:
+        at_least.setdefault((row["left"], row["right"]), {})[sets[row["set"]]] = int(row["pairs"])
+    totals: dict[tuple, int] = {}
+    for (left, right), found in at_least.items():
+        known = _fields_of(left) & _fields_of(right)
+        exact: dict[frozenset[str], int] = {}
+        for agree in sorted(found, key=len, reverse=True):
+            exact[agree] = found[agree] - sum(n for larger, n in exact.items() if agree < larger)
+            gammas = [1 if f in agree else 0 if f in known else None for f in [*FIELDS, "name_prefix"]]
+            rule = next(k for k, fields in enumerate(BLOCKING_RULES, start=1) if set(fields) <= agree)
+            totals[*gammas, rule] = totals.get((*gammas, rule), 0) + exact[agree]
+    schema = ", ".join(f"gamma_{f} int" for f in [*FIELDS, "name_prefix"]) + ", match_rule int, pairs long"
+    return records.sparkSession.createDataFrame([(*key, n) for key, n in sorted(totals.items(), key=str) if n], schema)
+
+
+def m_values(records: DataFrame, rounds: int = 5, start: float = AGREEMENT_IF_SAME, prior: float = 0.01) -> DataFrame:
+    """(match_rule, field, m): how often fields agree in true matches, learnt by expectation-maximisation.
+
+    Each blocking rule is a session of its own over the pairs that it finds; fields that
+    the rule itself makes agree say nothing there and are left out. The chances of
+    agreement by accident stay as counted, the share of matches starts at ``prior``. The
+    steps run on the patterns of ``pair_patterns`` and their counts, never on pairs.
+    Scoring keeps the named constant unless such values are passed on.
+    """
+    u = {row["field"]: min(max(row["u"], 1e-12), 1 - 1e-12) for row in chance_agreement(records).collect()}
+    patterns = pair_patterns(records).collect()
+    out = []
+    for number, fields in enumerate(BLOCKING_RULES, start=1):
+        # Names that are equal have equal prefixes, but not the other way round, so the name itself is learnt.
+        learnt = [f for f in FIELDS if f not in fields and f in u]
+        rows = [(r["pairs"], {f: r[f"gamma_{f}"] for f in learnt}) for r in patterns if all(r[f"gamma_{f}"] == 1 for f in fields)]
+        m, share = dict.fromkeys(learnt, start), prior
+        for _ in range(rounds if rows else 0):
+            weights = []
+            for _, gamma in rows:
+                match, accident = share, 1 - share
+                for f, g in gamma.items():
+                    if g is not None:
+                        match, accident = match * (m[f] if g else 1 - m[f]), accident * (u[f] if g else 1 - u[f])
+                weights.append(match / (match + accident))
+            share = sum(w * n for w, (n, _) in zip(weights, rows)) / sum(n for n, _ in rows)
+            for f in learnt:
+                told = [(w * n, gamma[f]) for w, (n, gamma) in zip(weights, rows) if gamma[f] is not None]
+                if sum(x for x, _ in told) > 0:
+                    m[f] = min(max(sum(x for x, g in told if g) / sum(x for x, _ in told), 1e-6), 1 - 1e-6)
+        out += [(number, f, m[f]) for f in learnt]
+    return records.sparkSession.createDataFrame(out, "match_rule int, field string, m double")
+
+
 # --- scored pairs ---
 
 

@@ -68,8 +68,8 @@ def employer_keys(inspections: DataFrame, wages: DataFrame) -> DataFrame:
 
 
 def _latest(value: Column, order: Column, known: Column) -> Column:
-    """Latest non-null value. Rows without a value or a date do not compete."""
-    return F.max_by(value, F.when(known & value.isNotNull(), order))
+    """Latest non-null value; of several in one place the greatest. Rows without a value or a date do not compete."""
+    return F.max_by(value, F.when(known & value.isNotNull(), F.struct(order.alias("at"), value.alias("value"))))
 
 
 def inspection_totals(inspections: DataFrame, as_of: dt.date | str, years: tuple[int, ...] = (1, 3)) -> DataFrame:

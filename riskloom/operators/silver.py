@@ -72,13 +72,17 @@ def normalize_wage_actions(actions: DataFrame) -> DataFrame:
 
 
 def normalize_mine_violations(violations: DataFrame, mines: DataFrame) -> DataFrame:
+    """Violations with their mine. Each distinct name is cleaned once and joined back, however many violations bear it."""
     name = F.coalesce("violator_name", "operator_name")
+    names = violations.select(F.col("violator_name").alias("name")).union(mines.select("operator_name")).filter("name IS NOT NULL").distinct()
+    # Dealt anew after the distinct: a short list of names would otherwise be cleaned in one task.
+    cleaned = names.repartition("name").select("name", normalize_name(F.col("name")).alias("name_normalized"))
     return (
         violations.join(mines, "mine_id", "left")
-        .filter(name.isNotNull())
+        .withColumn("name", name)
+        .join(cleaned, "name")
         .select(
-            "event_no", "mine_id", "violation_no", "violator_name",
-            normalize_name(name).alias("name_normalized"),
+            "event_no", "mine_id", "violation_no", "violator_name", "name_normalized",
             "violation_date", "issue_date", "section_of_act", "sig_sub", "proposed_penalty", "amount_paid",
             "negligence", "mine_name", "mine_status", "operator_name", "controller_name", "state", "county",
         )

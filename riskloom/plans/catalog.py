@@ -19,6 +19,7 @@ from riskloom.operators.matching import similar_pairs
 from riskloom.plans import oracle as o
 from riskloom.plans.inputs import Inputs
 from riskloom.plans.oracle import AS_OF
+from riskloom.plans.upload import enrich_upload
 from riskloom.session import scratch_path
 from riskloom.sources import delimited, ownership, publishing, snapshots
 from riskloom.sources.commits import CommitLog
@@ -867,6 +868,48 @@ register(
 register(
     "candidate_pairs", "match_rule:i pairs:i", "SELECT match_rule, count(*) AS pairs FROM raw_pairs GROUP BY match_rule"
 )(lambda i: linkage.candidate_pair_counts(i.records))
+register(
+    "candidate_pairs_missing_prefix", "match_rule:i pairs:i",
+    """WITH filled AS (SELECT unique_id, zip5, site_state, name_prefix, coalesce(naics_4digit, '0000') AS naics FROM records)
+SELECT match_rule, count(*) AS pairs FROM (SELECT l.unique_id AS a, r.unique_id AS b, min(CASE WHEN l.zip5 = r.zip5 THEN 1
+  WHEN l.site_state = r.site_state THEN 2 ELSE 3 END) AS match_rule FROM filled l JOIN filled r ON l.unique_id < r.unique_id
+  AND l.name_prefix = r.name_prefix AND (l.zip5 = r.zip5 OR l.site_state = r.site_state OR l.naics = r.naics) GROUP BY 1, 2
+UNION ALL SELECT l.unique_id, r.unique_id, 1 FROM filled l JOIN filled r ON l.zip5 = r.zip5 AND l.unique_id < r.unique_id AND l.name_prefix <> r.name_prefix) p
+GROUP BY match_rule""",
+)(lambda i: linkage.candidate_pair_counts(linkage.linkage_input(i.osha, i.whd, missing_prefix="0000")))
+_GAMMAS = [*linkage.FIELDS, "name_prefix"]
+o.VIEWS |= {
+    "pair_patterns": f"""SELECT {', '.join(f'CAST(l.{f} = r.{f} AS INTEGER) AS gamma_{f}' for f in _GAMMAS)}, match_rule, count(*) AS pairs
+FROM raw_pairs JOIN records l ON id_l = l.unique_id JOIN records r ON id_r = r.unique_id GROUP BY ALL"""
+}
+register(
+    "pair_patterns", " ".join(f"gamma_{f}:i" for f in _GAMMAS) + " match_rule:i pairs:i", "SELECT * FROM pair_patterns",
+)(lambda i: linkage.pair_patterns(i.records))
+
+
+def _learnt_m(rule: int, rounds: int = 5) -> str:
+    """The rounds of expectation and maximisation over the patterns of one blocking rule, one after the other."""
+    blocked = linkage.BLOCKING_RULES[rule - 1]
+    fields = [f for f in linkage.FIELDS if f not in blocked]
+    holds = " AND ".join(f"gamma_{f} = 1" for f in blocked)
+    u = {f: f"(SELECT least(greatest(u, 1e-12), 1 - 1e-12) FROM chance WHERE field = '{f}')" for f in fields}
+    steps = [f"pat AS (SELECT * FROM pair_patterns WHERE {holds})", "it0 AS (SELECT 0.01::DOUBLE AS share, " + ", ".join(f"0.95::DOUBLE AS m_{f}" for f in fields) + ")"]
+    for k in range(rounds):
+        match = " * ".join(["share", *[f"CASE gamma_{f} WHEN 1 THEN m_{f} WHEN 0 THEN 1 - m_{f} ELSE 1 END" for f in fields]])
+        chance = " * ".join(["(1 - share)", *[f"CASE gamma_{f} WHEN 1 THEN {u[f]} WHEN 0 THEN 1 - {u[f]} ELSE 1 END" for f in fields]])
+        told = ", ".join(
+            f"""least(greatest(coalesce(sum(w * pairs) FILTER (gamma_{f} = 1) / nullif(sum(w * pairs) FILTER (gamma_{f} IS NOT NULL), 0),
+  any_value(m_{f})), 1e-6), 1 - 1e-6) AS m_{f}""" for f in fields
+        )
+        steps.append(f"""it{k + 1} AS (SELECT sum(w * pairs) / sum(pairs) AS share, {told}
+FROM (SELECT *, hit / (hit + accident) AS w FROM (SELECT *, {match} AS hit, {chance} AS accident FROM pat, it{k}) x) y)""")
+    rows = " UNION ALL ".join(f"SELECT {rule} AS match_rule, '{f}' AS field, m_{f} AS m FROM it{rounds}" for f in fields)
+    return f"SELECT * FROM (WITH {', '.join(steps)} {rows}) rule{rule}"
+
+
+register("m_values", "match_rule:i field:s m:d", " UNION ALL ".join(_learnt_m(rule) for rule in (1, 2, 3)))(
+    lambda i: linkage.m_values(i.records)
+)
 register("u_values", "field:s known:i u:d", "SELECT * FROM chance")(lambda i: linkage.chance_agreement(i.records))
 _PAIR = (
     "rep_l:s rep_r:s pairs:i gamma_name_normalized:i gamma_zip5:i gamma_naics_4digit:i gamma_site_state:i "
@@ -1291,6 +1334,38 @@ register(
 )(_enriched_csv)
 
 
+o.VIEWS |= {
+    "up_asked": f"SELECT * REPLACE (CAST(NULL AS VARCHAR) AS q_id) FROM ({_LOOKUPS}) a",
+    "up_hits": o.VIEWS["name_hits"].replace("asked", "up_asked"),
+    "up_resolved": o.VIEWS["resolved"].replace("asked", "up_asked").replace("name_hits", "up_hits"),
+}
+
+
+def _uploaded(i: Inputs) -> DataFrame:
+    """An upload in Latin-1 with its own headers, quoted commas and line breaks, enriched; the written rows and their order."""
+    root = scratch_path(i.spark, "upload")
+    note = F.concat(F.lit('caf\u00e9, "no. '), F.col("lookup_id"), F.lit('"\nsecond line'))
+    upload = i.raw("lookups").select(
+        F.col("lookup_id").alias("Ref"), F.col("name").alias("Company Name"), F.col("ein").alias("FEIN"), F.col("state").alias("St"),
+        F.col("zip").alias("Zip Code"), F.col("city").alias("City"), note.alias("Note"), F.lit("mine").alias("risk_tier"),
+    )
+    upload.orderBy("Ref").write.options(header=True, encoding="ISO-8859-1", escape='"').csv(f"{root}/in")
+    enrich_upload(i.spark, f"{root}/in", i.served, f"{root}/out")
+    back = delimited.read_lookups(i.spark, f"{root}/out", quoted_breaks=True)
+    return back.fillna("").withColumnsRenamed({"Ref": "lookup_id", "Company Name": "name", "Note": "note"})
+
+
+register(
+    "upload_enriched",
+    "lookup_id:i name:s note:s risk_tier:s match_employer_id:s match_match_confidence:s match_risk_tier:s match_matched_name:s match_matched_zip:s",
+    """SELECT l.lookup_id, coalesce(l.name, '') AS name, 'caf' || chr(233) || ', "no. ' || l.lookup_id || '"' || chr(10) || 'second line' AS note,
+  'mine' AS risk_tier, coalesce(r.employer_id, '') AS match_employer_id, CASE WHEN r.employer_id IS NULL THEN '' WHEN sim IS NULL THEN 'exact'
+    WHEN sim > 0.8 THEN 'high' WHEN sim > 0.5 THEN 'medium' ELSE 'low' END AS match_match_confidence, coalesce(s.risk_tier, '') AS match_risk_tier,
+  coalesce(s.employer_name, '') AS match_matched_name, coalesce(s.zip, '') AS match_matched_zip
+FROM lookups l LEFT JOIN up_resolved r ON l.lookup_id = r.lookup_id LEFT JOIN served s ON r.employer_id = s.employer_id""",
+)(_uploaded)
+
+
 def _metrics(i: Inputs) -> DataFrame:
     path = scratch_path(i.spark, "metrics")
     for day, profile_rows in (("2001-07-30", i.profile_at("1999-08-01")), ("2001-07-31", i.profile_at("2000-08-01")), (AS_OF, i.profile)):
@@ -1343,3 +1418,25 @@ register(
     "landed_then_read", "event_id:i user_id:i event_type:s",
     "SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error'",
 )(lambda i: _landed(i, dated=True))
+
+
+def _landed_once(i: Inputs) -> DataFrame:
+    """A download that broke off and was resumed an hour later from the start: every record lands once."""
+    from riskloom.streaming.landing import land_json_lines
+
+    root = scratch_path(i.spark, "landing")
+    events = i.table("events").select("event_id", F.when(F.col("event_type") != "error", F.col("user_id")).alias("user_id"), "event_type")
+    for fetched, hour in ((events.filter("event_type <> 'click'"), "00"), (events, "01")):
+        fetched.withColumn("loaded_at", F.lit(f"2001-08-01 {hour}:00:00")).write.mode("append").json(f"{root}/inbox")
+        land_json_lines(
+            i.spark, f"{root}/inbox", f"{root}/bronze", f"{root}/quarantine", f"{root}/checkpoint",
+            "event_id long, user_id long, event_type string, loaded_at timestamp", ["user_id"],
+            keys=["event_id"], loaded_at="loaded_at", overlap="1 day",
+        ).awaitTermination()
+    return i.spark.read.option("recursiveFileLookup", True).parquet(f"{root}/bronze")
+
+
+register(
+    "landed_once", "event_id:i user_id:i event_type:s loaded_at:t",
+    "SELECT event_id, user_id, event_type, DATE '2001-08-01' AS loaded_at FROM events WHERE event_type <> 'error'",
+)(_landed_once)

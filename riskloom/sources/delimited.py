@@ -33,14 +33,17 @@ def read_seed(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     """Enriched lookups as CSV; nulls become empty fields."""
-    rows.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    rows.write.mode("overwrite").options(header=True, nullValue="", emptyValue="", escape='"').csv(path)
 
 
-def read_lookups(spark: SparkSession, path: str) -> DataFrame:
+def read_lookups(spark: SparkSession, path: str, quoted_breaks: bool = False) -> DataFrame:
     """An uploaded CSV, all strings; a byte-order mark in the first header is dropped.
 
-    Files that are no valid UTF-8 are read as Latin-1, all of them or none.
+    Files that are no valid UTF-8 are read as Latin-1, all of them or none. With
+    ``quoted_breaks`` a quoted field may hold line breaks and doubled quotes; each file is
+    then read by one task.
     """
     valid = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value"))).first()[0]
-    rows = spark.read.options(header="true", encoding="ISO-8859-1" if valid is False else "UTF-8").csv(path)
+    reader = spark.read.options(header="true", encoding="ISO-8859-1" if valid is False else "UTF-8")
+    rows = (reader.options(multiLine="true", quote='"', escape='"') if quoted_breaks else reader).csv(path)
     return rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
