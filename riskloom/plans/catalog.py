@@ -21,7 +21,7 @@ from riskloom.plans.inputs import Inputs
 from riskloom.plans.oracle import AS_OF
 from riskloom.plans.upload import enrich_upload
 from riskloom.session import scratch_path
-from riskloom.sources import delimited, ownership, publishing, snapshots
+from riskloom.sources import delimited, layout, ownership, publishing, snapshots
 from riskloom.sources.commits import CommitLog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -465,7 +465,21 @@ _COUNTED = ", count(*) OVER () AS total_count"
 register(
     "search_by_ein", "employer_id:s employer_name:s state:s risk_score:d total_count:i",
     f"""SELECT *{_COUNTED} FROM served WHERE ein = (SELECT min(ein) FROM served) ORDER BY risk_score DESC, employer_id LIMIT 20""",
-)(lambda i: lookup.search_by_ein(i.served, i.served.agg(F.min("ein")).first()[0]))
+)(lambda i: _by_ein(i))
+
+
+def _by_ein(i: Inputs) -> DataFrame:
+    ein = i.served.agg(F.min("ein")).first()[0]
+    return lookup.search_by_ein(layout.read_keys(i.spark, i.clustered("ein"), "ein", [ein]), ein)
+
+
+register("published_layout", "employer_id:s ein:s risk_score:d", "SELECT employer_id, ein, risk_score FROM served")(
+    lambda i: layout.read_clustered(i.spark, i.clustered("ein"))
+)
+register(
+    "parent_point_read", "parent_name:s employer_id:s risk_score:d",
+    "SELECT parent_name, employer_id, risk_score FROM served WHERE parent_name IN ('Red Corp', 'Cold Group')",
+)(lambda i: layout.read_keys(i.spark, i.clustered("parent_name"), "parent_name", ["Red Corp", "Cold Group"]))
 
 
 def _search_sql(name: str, threshold: float, where: str = "") -> str:

@@ -16,6 +16,7 @@ from riskloom.operators import history, linkage, profile, silver, staging
 from riskloom.plans import fixtures
 from riskloom.plans.oracle import AS_OF
 from riskloom.session import scratch_path
+from riskloom.sources.layout import write_clustered
 from riskloom.sources.name_index import add_to_index
 from riskloom.sources.publishing import materialize, serving_rows
 
@@ -134,6 +135,15 @@ class Inputs:
     def served(self) -> DataFrame:
         return self.served_at(AS_OF)
 
+    def clustered(self, key: str) -> str:
+        """Folder of the served profile clustered by ``key``."""
+        place = (self.spark.sparkContext.applicationId, self.sf_dir, f"served-by-{key}")
+        if place not in _WRITTEN:
+            path = scratch_path(self.spark, f"served-by-{key}")
+            write_clustered(self.served, path, key, rows_per_file=2_000)
+            _WRITTEN[place] = path
+        return _WRITTEN[place]
+
     @cached_property
     def name_index(self) -> str:
         """Folder of the name index of the served profile, one delta per snapshot."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.similarity import trigram_similarity
 from riskloom.operators import lookup, picks
-from riskloom.sources import name_index, publishing
+from riskloom.sources import layout, name_index, publishing
 from riskloom.sources.commits import CommitLog
 
 LATER = dt.datetime(2100, 1, 1, tzinfo=dt.UTC)
@@ -183,3 +183,30 @@ def test_search_with_index_equals_search_without(spark, indexed, tmp_path):
     for name in ("acme co", "bolt x"):
         plain, fast = (lookup.search_by_name(full, name, limit=50, index=i).collect() for i in (None, root))
         assert plain == fast and plain
+
+
+# --- clustered layout ---
+
+
+def test_a_read_of_a_key_opens_at_most_two_files(spark, tmp_path):
+    root = str(tmp_path / "by_ein")
+    rows = spark.range(5000).select(F.concat(F.lit("k"), F.lpad((F.col("id") % 1000).cast("string"), 4, "0")).alias("ein"), "id", F.lit(None).cast("string").alias("note"))
+    assert layout.write_clustered(rows.union(rows.limit(7).withColumn("ein", F.lit(None).cast("string"))), root, "ein", rows_per_file=400) == 13
+    assert layout.read_clustered(spark, root).count() == 5007
+    for key in ("k0000", "k0123", "k0999"):
+        found = layout.read_keys(spark, root, "ein", [key])
+        assert 1 <= len(found.inputFiles()) <= 2
+        assert sorted(r["id"] for r in found.collect()) == [int(key[1:]) + 1000 * n for n in range(5)]
+    assert layout.read_keys(spark, root, "ein", ["absent", "zzz"]).count() == 0
+    both = layout.read_keys(spark, root, "ein", ["k0001", "k0998"])
+    assert both.count() == 10 and len(both.inputFiles()) <= 4
+
+
+def test_a_key_with_most_rows_is_spread_over_files_and_found_whole(spark, tmp_path):
+    root = str(tmp_path / "hot")
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("key"), "id")
+    layout.write_clustered(rows, root, "key", rows_per_file=300)
+    found = layout.read_keys(spark, root, "key", ["hot"])
+    assert found.count() == 2000 and len(found.inputFiles()) >= 5
+    assert layout.write_clustered(rows.limit(0), str(tmp_path / "none"), "key") == 1
+    assert layout.read_keys(spark, str(tmp_path / "none"), "key", ["hot"]).count() == 0
