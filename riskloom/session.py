@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints of finished loops are deleted with the plans that read them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
