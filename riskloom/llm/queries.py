@@ -133,6 +133,9 @@ QUERIES: dict[str, Query] = {
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": statements.NEAR_DUPLICATES,
+    "op3_itq_near_dedup": statements.VECTOR_LINKS,
+    "op4_segment_top_k": statements.TOP_INNER_PRODUCTS,
     "op11_filter_audit": statements.FILTER_AUDIT,
     "op13_decontamination": statements.DECONTAMINATION,
 }
