@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=3, percent=85).drop("text_hash")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=3, percent=85, bands=24).drop("text_hash")
 
 
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
