@@ -210,7 +210,8 @@ def remaining_pairs(mixed: DataFrame, of_class: DataFrame, texts: DataFrame, pic
     one group, so that no task holds a bucket. Two members are compared in the first
     of the bands they share only. Shortened hashes can but raise an intersection, so
     no link is lost by them; where a link would stand even with three shingles less in
-    common, further links between the components that it joins are not returned.
+    common, and eight deviations more than the accidents to be expected in sets of their
+    sizes, further links between the components that it joins are not returned.
     """
     cells = F.greatest(F.lit(1), F.ceil(F.col("size") / cell)).cast("int")
     dealt = mixed.withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
@@ -257,7 +258,9 @@ def remaining_pairs(mixed: DataFrame, of_class: DataFrame, texts: DataFrame, pic
             flags[own] = False
             total = sizes[at] + sizes[x]
             linked = 100 * both >= percent * (total - both)
-            sure = 100 * (both - 3) >= percent * (total - both + 3)
+            chance = sizes[at] * sizes[x] / 2**32  # shortened hashes that agree by accident, on average
+            slack = 3 + np.ceil(chance + 8 * np.sqrt(chance))
+            sure = 100 * (both - slack) >= percent * (total - both + slack)
             for y, certain in zip(at[linked].tolist(), sure[linked].tolist()):
                 if certain:
                     one, two = find(int(component[x])), find(int(component[y]))
