@@ -28,7 +28,7 @@ JOBS = {
     "employer_keys": lambda i: profile.employer_keys(i.osha, i.whd),
     "employer_profile": lambda i: i.build_profile(AS_OF),
     "serving_rows": lambda i: i.build_served(AS_OF),
-    "fuzzy_search": lambda i: lookup.search_by_name(i.served, "COLD WIDGT FURNITURE"),
+    "fuzzy_search": lambda i: lookup.search_by_name(i.served, "COLD WIDGT FURNITURE", index=i.name_index),
     "bulk_enrichment": lambda i: lookup.enrich_lookups(i.raw("lookups"), i.served),
     "parent_rollups": lambda i: lookup.parent_rollups(i.served),
     "industry_benchmark": lambda i: reports.industry_benchmark(i.served),

@@ -27,16 +27,27 @@ def at_latest_snapshot(profile: DataFrame) -> DataFrame:
     return profile.filter(F.col("snapshot_date") == profile.agg(F.max("snapshot_date")).scalar())
 
 
+# Pages of at most so many rows are read at once, with their total, in a single pass over the rows.
+PAGE_ROWS = 10_000
+
+
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """One page of ``rows`` with the total number of rows. ``order`` must end in a unique key.
 
     Each task sorts out the ``offset + limit`` rows that may be on the page; nothing is
-    stored. The total is a scalar subquery over the same rows. For pages far behind, or
-    where the rows must be evaluated once, use ``page_after``.
+    stored. A page of up to PAGE_ROWS rows is read here, the total counted on the way; of
+    a longer one the total is a scalar subquery, which evaluates the rows once more.
     """
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    ordered = rows.orderBy(*order)
-    return (ordered.offset(offset) if offset else ordered).limit(limit).withColumn("total_count", total)
+    if limit > PAGE_ROWS:
+        total = rows.agg(F.count(F.lit(1))).scalar()
+        return _cut(rows.orderBy(*order), limit, offset).withColumn("total_count", total)
+    seen = Observation()
+    found = _cut(rows.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*order), limit, offset).collect()
+    return rows.sparkSession.createDataFrame(found, rows.schema).withColumn("total_count", F.lit(seen.get["n"]).cast("long"))
+
+
+def _cut(ordered: DataFrame, limit: int, offset: int) -> DataFrame:
+    return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
 def page_after(rows: DataFrame, order: dict[str, bool], limit: int, after: dict | None = None) -> tuple[DataFrame, Observation]:

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.similarity import trigrams, trigram_similarity
 
-SLOTS = 64
+SLOTS = 16
 LIST_SIZE = 4096
+_POSTINGS = "gram string, held int, entries array<struct<id: long, size: int>>, snapshot date, slot int"
 
 
 def name_id(name: Column) -> Column:
@@ -82,7 +83,7 @@ def candidate_names(spark: SparkSession, root: str, name: str, threshold: float)
     if threshold <= 0:
         raise ValueError("threshold must be above 0")
     grams = query_grams(spark, name)
-    postings = spark.read.parquet(f"{root}/postings")
+    postings = spark.read.schema(_POSTINGS).parquet(f"{root}/postings")
     chosen = rarest_lists(postings, grams, threshold) if grams else []
     wanted = postings.filter(F.col("slot").isin([slot for _, slot in chosen]) & F.col("gram").isin([gram for gram, _ in chosen]))
     entries = wanted.select(F.explode("entries").alias("e")).select("e.id", "e.size")

@@ -169,14 +169,26 @@ def test_pages_in_sequence_equal_the_whole_order(spark):
     assert got == want
 
 
-def test_a_page_neither_stores_nor_sorts_all_rows(spark):
+def test_a_page_neither_stores_nor_sorts_all_rows(spark, monkeypatch):
     rows = spark.range(100).withColumn("score", F.col("id") % 7)
     plan = picks.page_after(rows, {"score": True, "id": False}, 5, {"score": 3, "id": 10})[0]._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan and "Scan ExistingRDD" not in plan
-    plan = picks.page(rows, [F.desc("score"), F.asc("id")], 5, 5)._jdf.queryExecution().toString()
+    order = [F.desc("score"), F.asc("id")]
+    monkeypatch.setattr(picks, "PAGE_ROWS", 0)
+    plan = picks.page(rows, order, 5, 5)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan and "Scan ExistingRDD" not in plan
 
 
+def test_short_and_long_pages_agree(spark, monkeypatch):
+    rows = spark.range(100).withColumn("score", F.col("id") % 7).withColumn("amount", F.lit(1.5).cast("decimal(18,3)"))
+    order = [F.desc("score"), F.asc("id")]
+    short = picks.page(rows, order, 9, 5)
+    monkeypatch.setattr(picks, "PAGE_ROWS", 0)
+    long = picks.page(rows, order, 9, 5)
+    assert short.collect() == long.collect() and short.schema.names == long.schema.names
+    assert short.schema["amount"].dataType == long.schema["amount"].dataType
+
+
 def test_search_with_index_equals_search_without(spark, indexed, tmp_path):
     profile, root, _ = indexed
     full = profile.withColumns({"risk_score": F.lit(1.0), "osha_inspections": F.lit(1).cast("long")})
