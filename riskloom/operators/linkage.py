@@ -308,23 +308,11 @@ def compare(pairs: DataFrame, evidence: Evidence) -> DataFrame:
     )
 
 
-def scored_pairs(
-    records: DataFrame,
-    threshold: float = PREDICT_THRESHOLD,
-    evidence: Evidence | None = None,
-    rows_per_cell: int = 2000,
-) -> DataFrame:
-    """Pairs of linkage classes with match probability at or above the threshold.
+def _pairs_on(classes: DataFrame, rules: list[frozenset[str]], rows_per_cell: int) -> DataFrame:
+    """Pairs (l, r) of classes that agree on the fields of a rule, once per such rule, l.rep < r.rep.
 
-    A row stands for ``pairs`` record pairs: every record of one class with every
-    record of the other, or all pairs within a class (``rep_l`` = ``rep_r``). A key
-    that many classes share is cut into cells, so no task joins a whole group.
+    A key that many classes share is cut into cells, so no task joins a whole group.
     """
-    evidence = evidence or evidence_of(records)
-    classes = linkage_classes(records)
-    rules = sufficient_sets(evidence, threshold)
-    if not rules:
-        rules = [_ALL]
     keyed = classes.withColumn(
         "e",
         F.explode(
@@ -346,27 +334,87 @@ def scored_pairs(
     l, r = celled.alias("l"), celled.alias("r")
     on_key = reduce(lambda a, b: a & b, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("rule", "key", "low", "high")])
     own_cell = (F.least("l.cut", "r.cut") == F.col("l.low")) & (F.greatest("l.cut", "r.cut") == F.col("l.high"))
-    # The pair is taken under the first rule whose fields all agree.
-    first_rule = F.lit(None).cast("int")
-    for i, fields in reversed(list(enumerate(rules))):
-        agree = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"l.{f}") == F.col(f"r.{f}"), F.lit(False)) for f in sorted(fields)])
-        first_rule = F.when(agree, i).otherwise(first_rule)
-    between = l.join(r, on_key & own_cell & (F.col("l.rep") < F.col("r.rep"))).filter(first_rule == F.col("l.rule"))
+    return l.join(r, on_key & own_cell & (F.col("l.rep") < F.col("r.rep")))
+
 
-    twin = classes.filter(F.col("n") > 1)
+def _twins(classes: DataFrame) -> DataFrame:
+    """Classes of several records, each as a pair (l, r) with itself."""
     itself = F.struct(*classes.columns)
-    within = twin.select(itself.alias("l"), itself.alias("r"))
+    return classes.filter(F.col("n") > 1).select(itself.alias("l"), itself.alias("r"))
+
+
+def _scored(pairs: DataFrame, evidence: Evidence) -> DataFrame:
     same_class = F.col("l.rep") == F.col("r.rep")
     size = F.when(same_class, F.col("l.n") * (F.col("l.n") - 1) / 2).otherwise(F.col("l.n") * F.col("r.n")).cast("long")
-    out = [
+    return compare(pairs, evidence).select(
         F.col("l.rep").alias("rep_l"), F.col("r.rep").alias("rep_r"), size.alias("pairs"),
         *[f"gamma_{f}" for f in FIELDS], "match_rule", "match_probability",
-    ]
-    scored = compare(between, evidence).select(*out).unionByName(compare(within, evidence).select(*out))
+    )
+
+
+def scored_pairs(
+    records: DataFrame,
+    threshold: float = PREDICT_THRESHOLD,
+    evidence: Evidence | None = None,
+    rows_per_cell: int = 2000,
+) -> DataFrame:
+    """Pairs of linkage classes with match probability at or above the threshold.
+
+    A row stands for ``pairs`` record pairs: every record of one class with every
+    record of the other, or all pairs within a class (``rep_l`` = ``rep_r``).
+    """
+    evidence = evidence or evidence_of(records)
+    classes = linkage_classes(records)
+    rules = sufficient_sets(evidence, threshold)
+    if not rules:
+        rules = [_ALL]
+    # The pair is taken under the first rule whose fields all agree.
+    first_rule = F.lit(None).cast("int")
+    for i, fields in reversed(list(enumerate(rules))):
+        agree = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"l.{f}") == F.col(f"r.{f}"), F.lit(False)) for f in sorted(fields)])
+        first_rule = F.when(agree, i).otherwise(first_rule)
+    between = _pairs_on(classes, rules, rows_per_cell).filter(first_rule == F.col("l.rule"))
+    scored = _scored(between, evidence).unionByName(_scored(_twins(classes), evidence))
     passed = F.col("match_probability") >= threshold - 1e-12
     return scored.filter(F.col("match_rule").isNotNull() & passed)
 
 
+def uncertain_pairs(
+    records: DataFrame, k: int = 500, evidence: Evidence | None = None, rows_per_cell: int = 2000
+) -> DataFrame:
+    """The pairs of ``scored_pairs`` that ``review_queue`` may choose from, without listing the others.
+
+    Pairs of classes are counted per pattern of agreement first. Patterns between the two
+    thresholds are then opened from the least certain on, until they hold ``k`` pairs
+    (patterns of one score together), and only pairs of these patterns are listed.
+    """
+    evidence = evidence or evidence_of(records)
+    classes = linkage_classes(records)
+    fields = [*FIELDS, "name_prefix"]
+    found = []
+    for row in pair_patterns(classes.select(F.col("rep").alias("unique_id"), *fields)).collect():
+        gammas = {f: row[f"gamma_{f}"] for f in fields}
+        agree = frozenset(f for f in fields if gammas[f] == 1)
+        score = evidence.score(agree, frozenset(f for f in fields if gammas[f] == 0))
+        if Evidence.bits(PREDICT_THRESHOLD) - 1e-9 <= score < Evidence.bits(CLUSTER_THRESHOLD) + 1e-9:
+            found.append((score, row["pairs"], agree, gammas))
+    found.sort(key=lambda pattern: pattern[0])
+    opened, held, last = [], 0, None
+    for score, pairs, agree, gammas in found:
+        if held >= k and score > last + 1e-9:
+            break
+        opened.append((agree, gammas))
+        held, last = held + pairs, score
+    rules = sorted({agree for agree, _ in opened}, key=sorted) or [_ALL]
+    wanted = F.lit(False)
+    for agree, gammas in opened:
+        same = [(F.col(f"l.{f}") == F.col(f"r.{f}")).eqNullSafe(F.lit(gammas[f]).cast("boolean")) for f in fields]
+        wanted |= reduce(lambda a, b: a & b, [F.col("l.rule") == rules.index(agree), *same])
+    between = _pairs_on(classes, rules, rows_per_cell).filter(wanted)
+    scored = _scored(between, evidence).unionByName(_scored(_twins(classes), evidence))
+    return scored.filter(F.col("match_rule").isNotNull())
+
+
 def review_queue(pairs: DataFrame, k: int = 500) -> DataFrame:
     """The ``k`` least certain class pairs below the clustering threshold.
 
@@ -382,13 +430,13 @@ def review_queue(pairs: DataFrame, k: int = 500) -> DataFrame:
 # --- clusters ---
 
 
-def link_edges(classes: DataFrame, evidence: Evidence, threshold: float = CLUSTER_THRESHOLD) -> DataFrame:
-    """Edges (rep, hub) that connect exactly the classes joined by pairs over the threshold.
+def link_keys(classes: DataFrame, evidence: Evidence, threshold: float, *columns: str) -> DataFrame:
+    """(*columns, rule, key, side, crosses): the key groups that each class belongs to.
 
     Sets that suffice even if all other fields differ need no more than equal
     values. Sets that suffice only where other fields are missing are tried per
-    pair of known-field masks (at most 136): a class is then linked to the least
-    class of the *other* mask, which is a passing pair.
+    pair of known-field masks (at most 136): a class is then linked to classes of
+    the *other* mask, told by the side.
     """
     always = sufficient_sets(evidence, threshold, others_differ=True)
     rules: list[tuple[frozenset[str], int | None, int | None]] = [(fields, None, None) for fields in always]
@@ -411,16 +459,25 @@ def link_edges(classes: DataFrame, evidence: Evidence, threshold: float = CLUSTE
         entries.append(
             F.struct(F.lit(i).alias("rule"), key.alias("key"), side.alias("side"), F.lit(a is not None and a != b).alias("crosses"))
         )
-    keyed = classes.select(
-        "rep", F.explode(F.filter(F.array(*entries), lambda e: e["key"].isNotNull())).alias("e")
-    ).select("rep", "e.rule", "e.key", "e.side", "e.crosses")
+    return classes.select(
+        *columns, F.explode(F.filter(F.array(*entries), lambda e: e["key"].isNotNull())).alias("e")
+    ).select(*columns, "e.rule", "e.key", "e.side", "e.crosses")
+
+
+def star_edges(keyed: DataFrame, node: str) -> DataFrame:
+    """Edges (node, hub) that connect what the key groups link: each node with the least of its group, or of the group's other side."""
     hubs = keyed.groupBy("rule", "key").agg(
-        F.min(F.when(F.col("side") == 0, F.col("rep"))).alias("hub_0"),
-        F.min(F.when(F.col("side") == 1, F.col("rep"))).alias("hub_1"),
+        F.min(F.when(F.col("side") == 0, F.col(node))).alias("hub_0"),
+        F.min(F.when(F.col("side") == 1, F.col(node))).alias("hub_1"),
     )
     hub = F.when(F.col("crosses") & (F.col("side") == 0), F.col("hub_1")).otherwise(F.col("hub_0"))
-    linked = keyed.join(hubs, ["rule", "key"]).select("rep", hub.alias("hub"))
-    return linked.filter(F.col("hub").isNotNull() & (F.col("rep") != F.col("hub"))).distinct()
+    linked = keyed.join(hubs, ["rule", "key"]).select(node, hub.alias("hub"))
+    return linked.filter(F.col("hub").isNotNull() & (F.col(node) != F.col("hub"))).distinct()
+
+
+def link_edges(classes: DataFrame, evidence: Evidence, threshold: float = CLUSTER_THRESHOLD) -> DataFrame:
+    """Edges (rep, hub) that connect exactly the classes joined by pairs over the threshold."""
+    return star_edges(link_keys(classes, evidence, threshold, "rep"), "rep")
 
 
 def cluster_records(
@@ -433,13 +490,17 @@ def cluster_records(
     labelled = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(
         "signature", F.coalesce("component", "rep").alias("class_cluster")
     )
+    return records_in_classes(records, labelled, evidence, threshold)
+
+
+def records_in_classes(records: DataFrame, labelled: DataFrame, evidence: Evidence, threshold: float) -> DataFrame:
+    """(unique_id, cluster_id) from (signature, class_cluster); records of a class stay apart if its common fields do not suffice."""
     masks = [1 << i for i in range(len(FIELDS))]
     coherent = [
         mask
         for mask in range(1, sum(masks) + 1)
         if _blocked(_fields_of(mask)) and evidence.score(_fields_of(mask)) >= Evidence.bits(threshold) - 1e-9
     ]
-    # Records of one class are linked to each other only if their common fields suffice.
     holds = _mask().isin(coherent) if coherent else F.lit(False)
     return (
         records.withColumn("signature", _signature())

@@ -9,14 +9,16 @@ from riskloom.functions.codes import uuid_from_text
 from riskloom.session import cut_lineage
 
 
-def assign_stable_ids(previous_ids: DataFrame, previous_clusters: DataFrame, clusters: DataFrame) -> DataFrame:
+def assign_stable_ids(previous_ids: DataFrame, previous_clusters: DataFrame, clusters: DataFrame, run: str = "") -> DataFrame:
     """(employer_id, cluster_id) for every cluster of the new run.
 
     Larger clusters choose first (ties: least cluster id): the id their cluster_id
     had before, else the id they share most members with, else a new one; an id is
     given once. Clusters propose and an id keeps its largest proposer, until nobody
     is turned away. As all ids rank clusters alike, that is the result of choosing
-    one after another.
+    one after another. A new id is made of the cluster's least member and ``run``:
+    where runs follow each other, each needs a name of its own, or a cluster that
+    lost its id to another could be given the same one as new.
     """
     active = previous_ids
     if "superseded_by" in previous_ids.columns:
@@ -50,7 +52,7 @@ def assign_stable_ids(previous_ids: DataFrame, previous_clusters: DataFrame, clu
         )
         if state.filter("refused").isEmpty():
             break
-    fresh = uuid_from_text(F.concat(F.lit("cluster|"), F.col("first_member")))
+    fresh = uuid_from_text(F.concat(F.lit(f"cluster|{run}"), F.col("first_member")))
     return state.select(F.coalesce(wish, fresh).alias("employer_id"), "cluster_id")
 
 

@@ -18,6 +18,7 @@ from riskloom.operators import (
 from riskloom.operators.matching import similar_pairs
 from riskloom.plans import oracle as o
 from riskloom.plans.inputs import Inputs
+from riskloom.plans.linkage_run import read_linkage, run_linkage
 from riskloom.plans.oracle import AS_OF
 from riskloom.plans.upload import enrich_upload
 from riskloom.session import scratch_path
@@ -934,7 +935,7 @@ register(
     "review_queue", "record_id_left:s record_id_right:s pairs:i match_probability:d",
     """SELECT rep_l AS record_id_left, rep_r AS record_id_right, pairs, match_probability FROM class_pairs
 WHERE match_probability < 0.85 ORDER BY match_probability, rep_l, rep_r LIMIT 500""",
-)(lambda i: linkage.review_queue(linkage.scored_pairs(i.records)))
+)(lambda i: linkage.review_queue(linkage.uncertain_pairs(i.records)))
 register("clusters", "unique_id:s cluster_id:s", "SELECT * FROM clusters")(lambda i: linkage.cluster_records(i.records))
 register("name_merge", "unique_id:s cluster_id:s", "SELECT * FROM merged")(
     lambda i: linkage.merge_same_names(i.clusters, i.records)
@@ -961,10 +962,45 @@ def _new_ids(i: Inputs) -> tuple[DataFrame, DataFrame]:
     return stable_ids.assign_stable_ids(*_previous(i), clusters), clusters
 
 
-register("stable_ids", "employer_id:s cluster_id:s")(lambda i: _new_ids(i)[0])
-register("retired_ids", "employer_id:s cluster_id:s superseded_by:s")(
+_EARLIER = o.key("name_normalized", "site_state", "zip5")
+_TAKEN = """SELECT DISTINCT ON ({0}) {0}, {1} FROM (SELECT {0}, {1}, count(*) AS shared FROM {2} GROUP BY ALL) s ORDER BY {0}, shared DESC, {1}"""
+o.VIEWS |= {
+    "earlier": f"SELECT unique_id, {_EARLIER} AS old_cluster, {o.uuid(_EARLIER)} AS old_id FROM records",
+    "favourites": _TAKEN.format("cluster_id", "old_id", "clusters JOIN earlier USING (unique_id)"),
+    "wishing": """SELECT cluster_id, count(*) AS members, min(unique_id) AS first_member, any_value(f.old_id) AS favourite,
+  any_value(e.old_id) AS own FROM clusters LEFT JOIN (SELECT DISTINCT old_cluster, old_id FROM earlier) e ON old_cluster = cluster_id
+  LEFT JOIN favourites f USING (cluster_id) GROUP BY cluster_id""",
+    # Each round, of the clusters that wish for an id all but the largest move on to their next wish.
+    "RECURSIVE contest": """SELECT cluster_id, members, first_member, CASE WHEN own IS NULL OR own = favourite THEN [favourite] WHEN favourite IS NULL
+  THEN [own] ELSE [own, favourite] END AS wishes, 1 AS wish_no, true AS moved FROM wishing
+UNION ALL SELECT cluster_id, members, first_member, wishes, wish_no + CAST(refused AS INTEGER), bool_or(refused) OVER () FROM (
+  SELECT *, wishes[wish_no] IS NOT NULL AND row_number() OVER (PARTITION BY wishes[wish_no] ORDER BY members DESC, cluster_id) > 1 AS refused
+  FROM contest WHERE moved) r""",
+    "settled": f"""SELECT coalesce(wishes[wish_no], {o.uuid("'cluster|' || first_member")}) AS employer_id, cluster_id FROM contest WHERE NOT moved""",
+    "heirs": _TAKEN.format("old_id", "employer_id", "earlier JOIN clusters USING (unique_id) JOIN settled USING (cluster_id)"),
+}
+register("stable_ids", "employer_id:s cluster_id:s", "SELECT * FROM settled")(lambda i: _new_ids(i)[0])
+register(
+    "retired_ids", "employer_id:s cluster_id:s superseded_by:s",
+    """SELECT old_id AS employer_id, old_cluster AS cluster_id, h.employer_id AS superseded_by
+FROM (SELECT DISTINCT old_id, old_cluster FROM earlier) e LEFT JOIN heirs h USING (old_id)
+WHERE old_id NOT IN (SELECT employer_id FROM settled)""",
+)(
     lambda i: stable_ids.retire_ids(*_previous(i), *_new_ids(i))
 )
+
+
+@register("linkage_run", "unique_id:s cluster_id:s", "SELECT * FROM merged")
+def _linkage_run(i: Inputs) -> DataFrame:
+    """A day of some records, the chances counted over all, and then the rest: clusters as if all had come at once."""
+    root = scratch_path(i.spark, "linkage")
+    learnt = {r["field"]: r["u"] for r in linkage.chance_agreement(i.records).collect()}
+    early = linkage.linkage_input(i.osha.filter(F.col("open_date") < "1997-01-01"), i.whd)
+    run_linkage(early, root, u=learnt)
+    run_linkage(i.records, root)
+    return read_linkage(i.spark, root, "clusters")
+
+
 register(
     "precision_recall", "tp:i fp:i fn:i labelled_pairs:i precision:d recall:d enough_labels:b alert:b",
     """SELECT *, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0) AS precision, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) AS recall,

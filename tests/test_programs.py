@@ -6,8 +6,11 @@ from itertools import combinations
 
 import pytest
 
-from riskloom.operators import linkage, silver
+from riskloom.operators import linkage, linkage_update, silver
+from riskloom.operators.components import connected_components
+from riskloom.plans.linkage_run import employers, read_linkage, review_rows, run_linkage
 from riskloom.plans.upload import enrich_upload
+from riskloom.sources.commits import CommitLog
 from riskloom.sources.delimited import read_lookups
 from riskloom.streaming.landing import land_json_lines, refused_rows
 
@@ -135,3 +138,87 @@ def test_upload_without_rows_or_known_columns_is_refused(spark, tmp_path, served
         with pytest.raises(ValueError):
             enrich_upload(spark, f"{tmp_path}/{name}", served, f"{tmp_path}/refused")
     assert not (tmp_path / "refused").exists()
+
+
+# --- linkage with memory ---
+
+
+def many_records(spark, seed, ids):
+    """Records of which few agree; the same id has the same fields under the same seed."""
+    rows = []
+    for k in ids:
+        rng = random.Random(f"{seed}-{k}")
+        pick = lambda values: rng.choice([*values, None])
+        name = f"{rng.choice('ABCDEFGHIJKL') * 4} {rng.choice(['X', 'Y'])}"
+        rows.append((f"r{k:03d}", "OSHA", name, name[:4], pick([str(z) for z in range(8)]), pick(["TX", "OH"]), pick(["2381", "3311"]), pick(["A", "B", "C"])))
+    return spark.createDataFrame(rows, RECORDS)
+
+
+U = {"name_normalized": 0.00095, "zip5": 0.002, "naics_4digit": 0.05, "site_state": 0.3, "address_key": 0.0001}
+
+
+def test_runs_with_memory_equal_whole_runs(spark, tmp_path):
+    root = f"{tmp_path}/linkage"
+    days = [(1, range(0, 60)), (1, range(0, 110)), (1, range(20, 110)), (2, range(20, 120))]  # added, gone, all changed
+    given, retired = set(), set()
+    for n, (seed, ids) in enumerate(days):
+        records = many_records(spark, seed, ids)
+        done = run_linkage(records, root, queue_size=5, u=U)
+        assert (done["version"], done["mode"]) == (n + 1, "updated" if n else "whole")
+        evidence = linkage.Evidence(U)
+        want = linkage.merge_same_names(linkage.cluster_records(records, evidence=evidence), records)
+        got = {r["unique_id"]: r["cluster_id"] for r in read_linkage(spark, root, "clusters").collect()}
+        assert got == {r["unique_id"]: r["cluster_id"] for r in want.collect()}
+        assert 1 < len(set(got.values())) < len(got)
+        found = employers(spark, root).collect()
+        assert len(found) == len(got) and len({r["employer_id"] for r in found}) == len(set(got.values()))
+        active = {r["employer_id"] for r in found}
+        given |= active
+        table = read_linkage(spark, root, "ids").collect()
+        assert len(table) == len({r["employer_id"] for r in table}) and {r["employer_id"] for r in table} == given
+        now_retired = {r["employer_id"] for r in table if r["superseded_by"] is not None}
+        assert now_retired == given - active and now_retired >= retired  # a retired id never comes back
+        retired = now_retired
+    queue = [(r["record_id_left"], r["record_id_right"]) for r in review_rows(spark, root).collect()]
+    assert len(queue) == len(set(queue)) > 5
+
+
+def test_only_groups_of_new_classes_are_linked_again(spark, monkeypatch):
+    records, seen = many_records(spark, 1, range(100)), []
+    evidence = linkage.Evidence(U)
+    classes = linkage.linkage_classes(records)
+    whole = linkage_update.update_components(None, classes, evidence)
+    kept = spark.createDataFrame(whole.collect(), whole.schema)
+    monkeypatch.setattr(linkage_update, "connected_components", lambda edges, a, b: seen.append(edges.count()) or connected_components(edges, a, b))
+    again = linkage_update.update_components(kept, classes, evidence)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, kept.collect())) and seen == [0]
+
+
+def test_a_run_without_records_is_refused_and_a_lost_race_starts_again(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/linkage"
+    with pytest.raises(ValueError):
+        run_linkage(many_records(spark, 1, range(2)).limit(0), root)
+    first, second = many_records(spark, 1, range(30)), many_records(spark, 1, range(40))
+    commit, raced = CommitLog.commit, []
+
+    def late(log, entry, **kinds):
+        if not raced:  # another run gets in between
+            raced.append(True)
+            run_linkage(first, root, u=U)
+        return commit(log, entry, **kinds)
+
+    monkeypatch.setattr(CommitLog, "commit", late)
+    done = run_linkage(second, root, u=U)
+    log = CommitLog(spark, root)
+    assert done["version"] == 2 and done["mode"] == "updated"
+    assert set(log.folders()) == {f for entry in log.entries() for f in entry["folders"].values()}
+
+
+@pytest.mark.parametrize("k", [1, 7, 500])
+def test_the_queue_needs_only_the_patterns_it_opens(spark, records, k):
+    evidence = linkage.Evidence(U)
+    all_pairs = linkage.scored_pairs(records, evidence=evidence)
+    want = linkage.review_queue(all_pairs, k).collect()
+    listed = linkage.uncertain_pairs(records, k, evidence)
+    assert linkage.review_queue(listed, k).collect() == want and len(want) >= min(k, 7)
+    assert listed.count() < all_pairs.count()
