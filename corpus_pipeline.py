@@ -14,29 +14,43 @@ from riskloom.llm.common import importable, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model accepts (a score of 0.7 or more)."""
+    """Documents that the quality model accepts (a score of 0.7 or more). A column score of theirs stays as it is."""
     importable(spark)
     model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model).filter(F.col("score") >= 0.7).select(docs.columns)
+    own = {"score": "_own_score"} if "score" in docs.columns else {}
+    scored = quality.score_documents(docs.withColumnsRenamed(own), model).filter(F.col("score") >= 0.7).drop("score")
+    return scored.withColumnsRenamed({new: old for old, new in own.items()}).select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near-duplicates: five words to a shingle, a similarity of 0.8 or more.
 
-    Of rows with one doc_id a single one stays; rows without a doc_id all stay.
+    Rows are compared by their texts, whatever their ids: rows of one id with texts that are not
+    near both stay, and of rows without an id (taken last) one of each group stays too. Texts
+    without words are near to nothing; of rows with the same id and text one stays.
     """
     importable(spark)
-    kept = minhash.near_duplicates(docs, words_per_shingle=5, percent=80).filter("kept").select("doc_id", F.col("text_hash").alias("_text_hash"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    stays = hashed.join(kept, ["doc_id", "_text_hash"], "left_semi").dropDuplicates(["doc_id", "_text_hash"])
-    return stays.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    text_key = F.xxhash64(F.lit(5), "text")
+    texts = docs.select(text_key.alias("doc_id"), "text")
+    groups = minhash.near_duplicates(texts, words_per_shingle=5, percent=80).select(F.col("doc_id").alias("_key"), "n_shingles", "component_id")
+    rows = docs.select("doc_id", text_key.alias("_key")).join(groups, "_key")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key")
+    stays = rows.filter("n_shingles > 0").groupBy("component_id").agg(F.min(place).alias("s")).select("s.doc_id", "s._key")
+    wordless = rows.filter("n_shingles = 0").select("doc_id", "_key").distinct()
+    chosen = stays.unionByName(wordless).select(F.struct("doc_id", "_key").alias("_row"))
+    marked = docs.withColumn("_row", F.struct("doc_id", text_key.alias("_key")))
+    same = (F.col("d._row._key") == F.col("c._row._key")) & F.col("d._row.doc_id").eqNullSafe(F.col("c._row.doc_id"))
+    kept = marked.alias("d").join(chosen.alias("c"), same, "left_semi")
+    return kept.dropDuplicates(["_row"]).select(docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced by a mark and their lengths counted anew."""
+    """All documents, with their secrets replaced by a mark and their lengths, where they have such a column, counted anew."""
     importable(spark)
     cleaned = secret_scan.redact_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
