@@ -30,7 +30,9 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     Events of one seq are taken in the order of kind, then text. Null texts and roles
     count as empty; a message has the role of its first living event. Unknown kinds
-    append. A null conv_id is a conversation of its own; no events, no messages.
+    append. A null conv_id is a conversation of its own; no events, no messages. Places
+    and messages may be of any type that has an order. Texts are gathered per message only;
+    of a conversation, one task reads in order what its messages were last reset at.
     """
     resets = F.max(F.when(F.col("kind").isin("edit", "regenerate"), F.col("seq"))).alias("reset")
     last = events.groupBy("conv_id", "message").agg(resets)
@@ -113,8 +115,25 @@ def _closed(conv_id: int | None, state: list) -> dict:
 
 
 def turn_events(conversations: DataFrame) -> DataFrame:
-    """A table of whole turns as a log: each row is one message event, in the order of turn, role and text."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    """A table of whole turns as a log that leads to it, so that folding has something to fold.
+
+    A turn of an assistant is drafted, regenerated and streamed on in a delta; any other one
+    is drafted and edited. Turns follow each other by turn, then role, then a hash of the text;
+    a row that comes several times is as many turns. No conversation is gathered for this.
+    """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    numbered = rows.withColumn("message", F.row_number().over(order))
-    return numbered.select("conv_id", "message", F.col("message").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    counted = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
+    turns = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    message = F.struct("turn", "role", F.xxhash64("text").alias("hash"), "copy")
+    half = F.length("text") / 2
+    start, rest = F.substring("text", F.lit(1), half.cast("int")), F.substring("text", half.cast("int") + 1, F.length("text"))
+    draft = F.concat(rest, start)
+
+    def event(step: int, kind: str, text: F.Column) -> F.Column:
+        return F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    streamed = F.array(event(0, "message", draft), event(1, "regenerate", start), event(2, "delta", rest))
+    edited = F.array(event(0, "message", draft), event(1, "edit", F.col("text")))
+    told = turns.select("conv_id", message.alias("message"), "role", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)).alias("e"))
+    seq = F.struct("message.turn", "message.role", "message.hash", "message.copy", "e.step")
+    return told.select("conv_id", "message", seq.alias("seq"), "e.kind", "role", "e.text")

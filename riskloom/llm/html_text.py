@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import Batches, in_slices, stored, texts_of
 
+# A quote opens a value only after an equals sign; elsewhere it is a letter.
+_IN_TAG = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))*+"""
 _MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)({_IN_TAG})>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|(?!["'])([^\s>]+))""")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.!?;,:]")
@@ -48,8 +50,17 @@ BOILERPLATE_WORDS = set(
 )
 CONTENT_WORDS = set("article content contents main post entry story body text prose maincontent articlebody postbody entrycontent".split())
 
+# Of these words, those that often stand for a subject as well; they tell nothing in a name beside a word that is none of a page's parts.
+SUBJECT_WORDS = set("alert notice social legal popular share sharing form search related trending header skip promotion reactions discussion reply comment subscription".split())
+PART_WORDS = set(
+    "box bar list lists link links button buttons section sections wrapper wrap container area block inner outer left right top bottom site page pages post posts item items"
+    " panel icon icons media this us now more reading title group row col column desktop mobile js no is has with open fixed sticky global primary secondary the a of by to"
+    " count counter meta info nav stories articles news feed tools field fields input inputs submit message messages thread threads top left my all for and on".split()
+)
+
 _GROUPS = ["nav menu", "header", "footer", "aside", "form button label fieldset legend option", "article main", "p pre blockquote", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dd dt", "div section", "table tbody thead tfoot tr td th"]
 _GROUP_OF = {tag: i for i, tags in enumerate(_GROUPS) for tag in tags.split()}
+STAYS = 5.0
 N_FEATURES = len(_GROUPS) + 18
 
 
@@ -61,7 +72,8 @@ class Page:
         self.chars, self.links, self.stops, self.words = [0], [0], [0], [0]
         self.runs: list[list[tuple[int, str]]] = [[]]
         self._open: list[tuple[str, int]] = [("html", 0)]  # elements with the node that holds their text
-        self._in_link = 0
+        self._places: dict[str, list[int]] = {}  # where elements of a name stand among the open ones
+        self._blocks: list[int] = []  # where open blocks stand
         self._read(source)
         self._sum_up()
 
@@ -100,7 +112,7 @@ class Page:
             self.chars[node] += bare
             self.words[node] += text.count(" ") + 1
             self.stops[node] += len(_PUNCTUATION.findall(text))
-            if self._in_link:
+            if self._places.get("a"):
                 self.links[node] += bare
 
     def _break(self) -> None:
@@ -144,32 +156,34 @@ class Page:
             node = len(self.tags) - 1
         if attributes.endswith("/") and not block:
             return
+        self._places.setdefault(name, []).append(len(self._open))
+        if block:
+            self._blocks.append(len(self._open))
         self._open.append((name, node))
-        self._in_link += name == "a"
+
+    def _nearest(self, names: tuple[str, ...]) -> int:
+        return max((places[-1] for name in names if (places := self._places.get(name))), default=0)
 
     def _close(self, names: tuple[str, ...], barriers: tuple[str, ...]) -> None:
         """End the nearest open element of ``names``, unless a barrier is nearer."""
-        for i in range(len(self._open) - 1, 0, -1):
-            if self._open[i][0] in names:
-                self._leave(i)
-                return
-            if self._open[i][0] in barriers:
-                return
+        at = self._nearest(names)
+        if at > self._nearest(barriers):
+            self._leave(at)
 
     def _end(self, name: str) -> None:
-        if name in BLOCKS:
+        """End the nearest open element of a name; an inline one only within its block."""
+        block = name in BLOCKS
+        if block:
             self._break()
-        for i in range(len(self._open) - 1, 0, -1):
-            if self._open[i][0] == name:
-                self._leave(i)
-                return
-            if name not in BLOCKS and self._open[i][0] in BLOCKS:
-                break
-        if name == "a":
-            self._in_link = sum(tag == "a" for tag, _ in self._open)
+        at = self._nearest((name,))
+        if at and (block or not self._blocks or at > self._blocks[-1]):
+            self._leave(at)
 
     def _leave(self, i: int) -> None:
-        self._in_link -= sum(tag == "a" for tag, _ in self._open[i:])
+        for name, _ in self._open[i:]:
+            self._places[name].pop()
+        while self._blocks and self._blocks[-1] >= i:
+            self._blocks.pop()
         del self._open[i:]
 
     def _sum_up(self) -> None:
@@ -263,12 +277,22 @@ class Page:
                 out[i] = 0
             elif tag in ("p", "pre", "blockquote") and words[i] >= 20 and stops[i] and links[i] <= 0.2 * chars[i]:
                 out[i] = 1
+        for i in range(count - 1, 0, -1):  # what holds main text is to be kept as well
+            if out[i] == 1 and out[self.parents[i]] == -1:
+                out[self.parents[i]] = 1
         out[0] = -1 if not chars[0] else 1
         return out
 
     def decoded(self, chances: np.ndarray) -> np.ndarray:
-        """The kept nodes: the likeliest choice with nothing kept below a dropped node. Nodes weigh by their own words."""
+        """The kept nodes: the likeliest choice with nothing kept below a dropped node.
+
+        Nodes weigh by their own words. Below a likely parent the odds of a node that bears no
+        mark of boilerplate rise by ``STAYS``, as such nodes mostly go with their parents.
+        """
         count = len(self.tags)
+        unmarked = [not bad and tag not in BOILERPLATE_TAGS for bad, tag in zip(self.bad, self.tags)]
+        stays = np.where(np.array(unmarked) & (chances[np.maximum(self.parent, 0)] >= 0.5) & (self.parent >= 0), STAYS, 1.0)
+        chances = chances * stays / (1 + chances * (stays - 1))
         weights = 1 + np.log1p(self.own_words)
         yes, no = weights * np.log(chances), weights * np.log1p(-chances)
         drop, best = no.copy(), np.zeros(count)
@@ -297,10 +321,14 @@ def _told(attributes: str) -> tuple[bool, bool, bool]:
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), values[0] or values[1] or values[2]
         if name in ("class", "id", "role", "itemprop"):
-            words = [word.lower() for word in _TOKEN.findall(value)]
-            joined = {a + b for a, b in zip(words, words[1:])}
-            bad |= not BOILERPLATE_WORDS.isdisjoint(words) or not BOILERPLATE_WORDS.isdisjoint(joined)
-            good |= not CONTENT_WORDS.isdisjoint(words) or not CONTENT_WORDS.isdisjoint(joined)
+            for single in value.split():
+                words = [word.lower() for word in _TOKEN.findall(single)]
+                words += [a + b for a, b in zip(words, words[1:])]
+                good |= not CONTENT_WORDS.isdisjoint(words)
+                speaking = BOILERPLATE_WORDS.intersection(words)
+                if speaking <= SUBJECT_WORDS and any(len(w) > 2 and w not in BOILERPLATE_WORDS | CONTENT_WORDS | PART_WORDS for w in _TOKEN.findall(single.lower())):
+                    continue  # such as a name of a chapter
+                bad |= bool(speaking)
         elif name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             hides = True
     bad |= hides
@@ -418,10 +446,20 @@ def example_pages(count: int = 240) -> list[str]:
         cut = int(random.integers(0, len(around) + 1))
         bare = i % 12 == 0
         pages.append(f"<html><body>{'' if bare else head + ''.join(around[:cut])}{article}{'' if bare else ''.join(around[cut:])}</body></html>")
+    for i in range(count):  # short articles, down to a word, between much, little or nothing
+        parts = [prose(1, int(random.integers(2, 31))) for _ in range(int(random.integers(1, 4)))]
+        body = parts[0] if i % 4 == 0 else "".join(f"<p>{part}</p>" for part in parts)
+        before = [f"<nav><ul>{links(int(random.integers(1, 7)))}</ul></nav>", f"<header><p>{prose(1, 9)}</p></header>", boilerplate(), ""][int(random.integers(4))]
+        after = [f"<footer><p>{prose(2, 12)}</p></footer>", f"<footer>{prose(1, 9)}</footer>", boilerplate(), ""][int(random.integers(4))]
+        page = f"{before}<article>{body}</article>{after}"
+        pages.append(page if i % 3 == 0 else f"<html><body>{page}</body></html>")
+        if i % 8 == 0 and before + after:
+            pages.append(f"<html><body>{before}{after}</body></html>")
     return pages
 
 
 _MEANING = re.compile(r"<(/?)(article|main|nav|aside|footer|header|form|section)\b[^>]*>", re.IGNORECASE)
+_MAIN = re.compile(r"<(/?)(article|main)\b[^>]*>", re.IGNORECASE)
 _NAMED = re.compile(r"<(div|ul|p|section)\s[^>]*>", re.IGNORECASE)
 
 
@@ -430,6 +468,11 @@ def without_marks(source: str) -> str:
     return _NAMED.sub(r"<\1>", _MEANING.sub(r"<\1div>", source))
 
 
+def without_main_marks(source: str) -> str:
+    """The page with plain div elements in place of articles."""
+    return _MAIN.sub(r"<\1div>", source)
+
+
 def learn_nodes(pages: DataFrame, sample_pages: int = 150) -> BoostedTrees:
     """Trees fitted to the nodes of at most ``sample_pages`` pages, the first by a hash of their ids, and of ``example_pages``."""
     chosen = pages.filter(F.col("html").isNotNull()).select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
@@ -449,14 +492,13 @@ def learn_nodes(pages: DataFrame, sample_pages: int = 150) -> BoostedTrees:
 
 
 def _training_rows(source: str) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of the page as it is, and once more without the marks that its labels come from, if both have the same nodes."""
-    page, plain = Page(source), Page(without_marks(source))
+    """Nodes of the page as it is, and once more without the marks that its labels come from, where that has the same nodes."""
+    page = Page(source)
     labels = page.labels()
     known = labels >= 0
-    features = page.features()[known]
-    if plain.depths != page.depths:
-        return features, labels[known]
-    return np.concatenate([features, plain.features()[known]]), np.tile(labels[known], 2)
+    versions = [page, *(Page(change(source)) for change in (without_marks, without_main_marks))]
+    seen = [version.features()[known] for version in versions if version.depths == page.depths]
+    return np.concatenate(seen), np.tile(labels[known], len(seen))
 
 
 def main_texts(pages: DataFrame, trees: BoostedTrees) -> DataFrame:

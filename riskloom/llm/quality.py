@@ -28,7 +28,7 @@ _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np
 def word_shape(word: str) -> str:
     for pattern, letter in _SHAPES:
         word = pattern.sub(letter, word)
-    return word[:12]
+    return word
 
 
 class WordCodes(dict):

@@ -136,6 +136,7 @@ ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": statements.NEAR_DUPLICATES,
     "op3_itq_near_dedup": statements.VECTOR_LINKS,
     "op4_segment_top_k": statements.TOP_INNER_PRODUCTS,
+    "op8_chat_format": statements.CHAT_FORMAT,
     "op11_filter_audit": statements.FILTER_AUDIT,
     "op13_decontamination": statements.DECONTAMINATION,
 }

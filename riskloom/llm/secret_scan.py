@@ -3,7 +3,9 @@
 Natural words take few tokens for their length; random strings take nearly one for
 every other letter. A string of letters and digits with no more letters per token
 than a bound is reported, in whatever case, and also between ordinary words of a path
-or a dashed name, unless it has the form of a digest, a UUID or a date.
+or a dashed name, unless it has the form of a digest, a UUID or a date. Digits alone are
+identifiers (numbers of cards, orders, accounts). Short runs of letters of one case need a
+lower ratio, as long words that the vocabulary does not know come close to random ones.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "random"]
 
 LEAST = 16  # shorter natural words often have no more letters per token than random ones
+ONE_CASE = (20, 1.9)  # letters of one case below this length: the most letters per token
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 _PART = re.compile(r"[A-Za-z0-9]+")
 _DATE = r"(?:[0-9]{4}([-/_]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?:[T_-]?[0-2][0-9][-_]?[0-5][0-9](?:[-_]?[0-6][0-9])?(?:[-+_]?[0-9]{1,9})?Z?)?)"
@@ -104,6 +107,11 @@ def _random_within(run: str, vocabulary: Vocabulary, most: float) -> list[tuple[
 def _measured(run: str, start: int, end: int, parts: list[tuple[int, int, bool, bool]], vocabulary: Vocabulary, most: float) -> list[tuple[int, int]]:
     """The span around the parts, if it is long enough, has few letters per token, and half of its letters stand in no word."""
     letters, unlike = sum(p[1] - p[0] for p in parts), sum(p[1] - p[0] for p in parts if p[2])
+    told = "".join(_PART.findall(run, start, end))
+    if told.isdigit():
+        return []
+    if len(told) < ONE_CASE[0] and told.isalpha() and (told[1:].islower() or told.isupper()):
+        most = min(most, ONE_CASE[1])
     if end - start < LEAST or not parts or 2 * unlike < letters or vocabulary.letters_per_token(run[start:end]) > most:
         return []
     padding = re.compile("={1,2}(?![A-Za-z0-9=])").match(run, end)

@@ -118,3 +118,18 @@ counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0) AS n_links, coalesce(root, e.vec_id) AS component_id, coalesce(root, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN counted ON a = e.vec_id LEFT JOIN least_root ON node = e.vec_id
 """
+
+# Turns in order, those of assistants under the loss mask, and the length of the form of chat.render.
+CHAT_FORMAT = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), told AS (
+    SELECT *, CASE WHEN role = 'assistant' THEN t ELSE '' END AS learnt,
+        length(regexp_replace(role || chr(0) || t, '(</?s>|\[/?(?:ROLE|INST)\]|<</?SYS>>)', '\\\1', 'g')) - 1 + length('<s>[ROLE]  [/ROLE]  </s>') AS size
+    FROM turns
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+    CAST(sum(length(learnt)) AS BIGINT) AS loss_chars, sha256(string_agg(learnt, '' ORDER BY turn, role)) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM told GROUP BY conv_id
+"""

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -180,11 +181,24 @@ def test_random_strings_of_every_case():
     for letters in (lower, upper, lower + upper, lower + upper + digits, upper + "234567", lower + "234567"):
         for size in (16, 20, 32):
             tokens = ["".join(random.choices(letters, k=size)) for _ in range(200)]
-            assert sum(random_found(f"see {token} there") == [token] for token in tokens) >= 190, (letters, size)
+            # Letters of one case are told from invented words by a stricter ratio below 20 letters.
+            least = 165 if size < 20 and letters in (lower, upper) else 190
+            assert sum(random_found(f"see {token} there") == [token] for token in tokens) >= least, (letters, size)
     for clean in ("INTERNATIONALIZATION", "CONFIGURATION_MANAGEMENT", "up_to_the_end_of_it", "it-is-up-to-us-to-go", "src/main/java/org/apache/spark", "2024/01/02-2024/02/03", "sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU="):
         assert random_found(f"see {clean} there") == []
 
 
+def test_identifiers_and_long_words_are_no_random_strings():
+    """Digits in any grouping, and words put together from syllables, which no vocabulary holds."""
+    random.seed(23)
+    syllables = "ein pfau hin ver keit ung lich ge ban stra ro mel tur kan dos fer".split()
+    numbers = ["".join(random.choices("0123456789", k=size)) for size in (16, 20, 40) for _ in range(30)] + ["4111-1111-1111-1111", "2024_000123_000045_000678"]
+    assert [random_found(f"see {number} there") for number in numbers] == [[]] * len(numbers)
+    words = ["".join(random.choices(syllables, k=random.randint(4, 6))) for _ in range(300)]
+    assert sum(bool(random_found(f"see {word} there")) for word in words) <= 15
+    assert sum(bool(random_found(f"see {word.capitalize()} there")) for word in words) <= 15
+
+
 def test_random_strings_between_words():
     random.seed(22)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -256,11 +270,15 @@ def test_chat_reads_back_and_masks(spark, frame):
     rows = [(1, 0, "system", None), (1, 1, "user", control), (1, 2, "assistant", "\\" + control + "\\"), (1, 2, "assistant", "again"), (2, 5, None, "[ROLE] x [/ROLE]\n\\\\</s>"), (None, 0, "user", ""), (3, 0, "tool [/ROLE] ", "é🙂 <<SYS>>")]
     messages = chat.fold_events(chat.turn_events(frame(rows, "conv_id long, turn long, role string, text string")))
     pieces = chat.render(messages)
-    back = {(r.conv_id, r.message): (r.role, r.text) for r in chat.read_back(pieces).collect()}
-    assert back == {(1, 1): ("system", ""), (1, 2): ("user", control), (1, 3): ("assistant", "\\" + control + "\\"), (1, 4): ("assistant", "again"), (2, 1): ("", "[ROLE] x [/ROLE]\n\\\\</s>"), (None, 1): ("user", ""), (3, 1): ("tool [/ROLE] ", "é🙂 <<SYS>>")}
+    turns = sorted(chat.read_back(pieces).collect(), key=lambda r: (r.conv_id or 0, r.message))
+    back = {(r.conv_id, 1 + sum(s.conv_id == r.conv_id for s in turns[:k])): (r.role, r.text) for k, r in enumerate(turns)}
+    pair = sorted([back.pop((1, 3)), back.pop((1, 4))])  # of one turn and role, in the order of a hash
+    assert pair == [("assistant", "\\" + control + "\\"), ("assistant", "again")]
+    assert back == {(1, 1): ("system", ""), (1, 2): ("user", control), (2, 1): ("", "[ROLE] x [/ROLE]\n\\\\</s>"), (None, 1): ("user", ""), (3, 1): ("tool [/ROLE] ", "é🙂 <<SYS>>")}
+    of_one = [(r.role, r.text) for r in turns if r.conv_id == 1]
     digest = {r.conv_id: r for r in chat.conversation_digests(chat.read_back(pieces)).collect()}
-    told = "".join(f"{role}\n{text}\n" for (c, _), (role, text) in sorted((k, v) for k, v in back.items() if k[0] == 1))
-    learnt = "\\" + control + "\\again"
+    told = "".join(f"{role}\n{text}\n" for role, text in of_one)
+    learnt = "".join(text for role, text in of_one if role == "assistant")
     assert digest[1].turns_sha256 == hashlib.sha256(told.encode()).hexdigest() and digest[1].n_turns == 4
     assert (digest[1].loss_chars, digest[1].loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
     assert set(digest) == {None, 1, 2, 3} and digest[2].loss_chars == 0
@@ -268,6 +286,19 @@ def test_chat_reads_back_and_masks(spark, frame):
     assert digest[1].formatted_chars == len("".join(pieces_of_one)) and pieces_of_one[1].count("</s>") == 2
 
 
+def test_turns_become_logs_that_fold_back(spark, frame):
+    """Every turn is drafted wrongly first; repeated rows, very long and empty texts and extra columns come through."""
+    long = "é🙂x " * 60_000
+    rows = [(1, 0, "user", "ab", "s"), (1, 1, "assistant", "abc", "s"), (1, 1, "assistant", "abc", "s"), (1, 2, "user", None, "s"), (1, 3, "assistant", "", "s"), (2, None, None, long, "s"), (2, 0, "assistant", long, None)]
+    table = frame(rows, "conv_id long, turn long, role string, text string, seq string")
+    log = chat.turn_events(table)
+    kinds = {(r.kind, r.role) for r in log.collect()}
+    assert {("regenerate", "assistant"), ("delta", "assistant"), ("edit", "user")} <= kinds
+    folded = sorted(chat.fold_events(log).collect(), key=lambda r: (r.conv_id, (r.message.turn is None, r.message)) if r.conv_id == 1 else (r.conv_id, (r.message.turn is not None,)))
+    assert [(r.role, r.text) for r in folded] == [("user", "ab"), ("assistant", "abc"), ("assistant", "abc"), ("user", ""), ("assistant", ""), ("", long), ("assistant", long)]
+    assert chat.conversation_digests(chat.read_back(chat.render(chat.fold_events(chat.turn_events(table.limit(0)))))).count() == 0
+
+
 def test_events_fold(spark, frame):
     log = [
         (1, 1, 1, "message", "user", "Hi"), (1, 2, 2, "message", "assistant", "Hel"), (1, 2, 3, "delta", "assistant", "lo"),
@@ -320,6 +351,37 @@ def test_wrapper_classes_do_not_lose_the_page(spark, frame):
     assert {r.page_id: r.text for r in html_text.main_texts(pages, trees).collect()} == dict.fromkeys(range(len(sources)), expected)
 
 
+def test_short_articles_are_kept_whatever_the_sample(spark, frame):
+    words = "the committee met on a cold morning and talked for hours about the bridge that was never built across the river near the old mill town today".split()
+    nav, foot = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>', "<footer><p>All rights are ours.</p></footer>"
+    cases = [(f"<html><body>{nav}{foot}</body></html>", ""), (f'<html><body>{nav}<div class="sidebar"><p>More of it.</p></div>{foot}</body></html>', "")]
+    for n in (1, 2, 5, 12, 25):
+        part = " ".join(words[:n]).capitalize() + "."
+        cases += [(f"<html><body>{nav}<div>{f'<p>{part}</p>' * k}</div>{foot}</body></html>", "\n".join([part] * k)) for k in (1, 2, 3)]
+        cases += [(f"<p>{part}</p>", part), (part, part), (f"<html><body>{nav}<article>{part}</article>{foot}</body></html>", part), (f"<html><body>{nav}<div>{part}</div>{foot}</body></html>", part)]
+    story = "<p>This part of the story went on for a while, and then it told a little more about what was seen there.</p>"
+    for name in ("social-history", "legal-guide", "popular-science", "share-prices", "form-factor"):
+        cases.append((f'<html><body>{nav}<article>{story}<div class="{name}">{story}</div></article>{foot}</body></html>', f"{story[3:-4]}\n{story[3:-4]}"))
+    for name in ("social-links", "share-buttons", "related-posts", "cookie-notice", "comments-area", "site-footer"):
+        cases.append((f'<html><body>{nav}<article>{story}<div class="{name}"><p>Nice to see you here.</p></div></article>{foot}</body></html>', story[3:-4]))
+    pages = frame([(i, source) for i, (source, _) in enumerate(cases)], "page_id long, html string")
+    for sample in (frame([], "page_id long, html string"), frame([(i, f"<article>{story * 3}</article>{foot}") for i in range(30)], "page_id long, html string")):
+        found = {r.page_id: r.text for r in html_text.main_texts(pages, html_text.learn_nodes(sample)).collect()}
+        assert {i: found[i] for i, _ in enumerate(cases)} == {i: text for i, (_, text) in enumerate(cases)}
+
+
+def test_the_reader_bears_loose_quotes_empty_comments_and_deep_pages():
+    def blocks(source):
+        page = html_text.Page(source)
+        return page.text(np.ones(len(page.tags), bool)).split("\n")
+
+    assert blocks("<p title=it's>one</p><p>two</p><p class='a>b' title=\"x>y\">three</p><!--><p>four</p><!---><p>five</p><!-- <p>no</p> --><p a=b=c'd>six</p><p 'x\">seven</p>") == ["one", "two", "three", "four", "five", "six", "seven"]
+    for source in ("<div>" * 50_000 + "x", "<i>" * 50_000 + "</b>" * 50_000 + "x", "<table><tr><td>" + "<i>" * 20_000 + "<p>" * 20_000 + "x", "<p title=" + "'" * 100_000 + ">x", "<p " + "a=" * 100_000 + ">x"):
+        start = time.process_time()
+        blocks(source)
+        assert time.process_time() - start < 5
+
+
 def test_nothing_is_kept_below_a_dropped_node():
     page = html_text.Page("<div><section><p>one two three</p></section><p>four</p></div>")
     for seed in range(50):
