@@ -41,44 +41,32 @@ def name_agreement_level(similarity: Column) -> Column:
 
 
 def jaro_winkler(left: Column, right: Column) -> Column:
-    """Jaro-Winkler similarity from array functions; null when a text is null, 0 when one is empty and the other not.
+    """Jaro-Winkler similarity; null when a text is null, 0 when one is empty and the other not.
 
-    Letters of ``right`` that are taken become blanks in ``open``, so that each
-    letter of ``left`` finds the first free equal one within reach.
+    A pair is scored in Python, in batches: array functions have to copy the letters and
+    their state at every step, which takes milliseconds a pair.
     """
-    a, b = _letters(left), _letters(right)
-    reach = F.greatest(F.floor(F.greatest(F.size(a), F.size(b)) / 2).cast("int") - 1, F.lit(0))
-    indexed = F.transform(a, lambda x, i: F.struct(x.alias("letter"), i.alias("i")))
-
-    def step(state: Column, x: Column) -> Column:
-        low = F.greatest(x["i"] - reach, F.lit(0))
-        width = F.greatest(F.least(x["i"] + reach, F.size(b) - 1) - low + 1, F.lit(0))
-        found = F.array_position(F.slice(state["open"], low + 1, width), x["letter"]).cast("int")
-        taken = F.transform(state["open"], lambda y, k: F.when(k == low + found - 1, F.lit("")).otherwise(y))
-        return F.when(found == 0, state).otherwise(
-            F.struct(taken.alias("open"), F.array_append(state["matched"], x["letter"]).alias("matched"))
-        )
-
-    def judged(state: Column) -> Column:
-        in_b = F.array_compact(F.transform(b, lambda y, k: F.when(F.get(state["open"], k) == "", y)))
-        m = F.size(state["matched"])
-        swaps = F.floor(F.size(F.filter(F.arrays_zip(state["matched"].alias("x"), in_b.alias("y")), lambda z: z["x"] != z["y"])) / 2)
-        jaro = (m / F.size(a) + m / F.size(b) + (m - swaps) / m) / 3
-        return F.when(m == 0, F.lit(0.0)).otherwise(jaro)
-
-    start = F.struct(b.alias("open"), F.array().cast("array<string>").alias("matched"))
-    jaro = F.aggregate(indexed, start, step, judged)
-    heads = F.transform(F.lit([1, 2, 3, 4]), lambda n: F.when((n <= F.least(F.length(left), F.length(right))) & (F.left(left, n) == F.left(right, n)), 1).otherwise(0))
-    common = F.aggregate(heads, F.lit(0), lambda x, y: x + y)
-    lifted = F.when(jaro > 0.7, jaro + common * 0.1 * (1 - jaro)).otherwise(jaro)
-    return (
-        F.when(left.isNull() | right.isNull(), F.lit(None).cast("double"))
-        .when(left == right, F.lit(1.0))
-        .when((left == "") | (right == ""), F.lit(0.0))
-        .otherwise(lifted)
-    )
-
 
-def _letters(text: Column) -> Column:
-    """The text's letters, one array element each."""
-    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    def score(a: str | None, b: str | None) -> float | None:
+        if a is None or b is None:
+            return None
+        if a == b:
+            return 1.0
+        reach = max(max(len(a), len(b)) // 2 - 1, 0)
+        free, matched = list(b), []  # a letter of b that is taken becomes None
+        for i, letter in enumerate(a):
+            try:
+                k = free.index(letter, max(i - reach, 0), i + reach + 1)
+            except ValueError:
+                continue
+            free[k] = None
+            matched.append(letter)
+        m = len(matched)
+        if not m:
+            return 0.0
+        swaps = sum(x != y for x, y in zip(matched, (y for y, left_over in zip(b, free) if left_over is None))) // 2
+        jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+        common = sum(a[:n] == b[:n] for n in range(1, min(len(a), len(b), 4) + 1))
+        return jaro + common * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
+
+    return F.udf(score, "double", useArrow=True)(left, right)

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -93,6 +94,16 @@ def test_jaro_winkler(spark):
     assert got[1:] == [None, 0.0, 1.0]
 
 
+def test_jaro_winkler_copies_no_letters_at_each_step(spark):
+    """400 pairs of 300 letters each; a copy of all letters for each of them takes minutes."""
+    word = F.repeat(F.concat(F.lit("abcdefgh-"), F.col("id").cast("string"), F.lit("-xyz ")), 20)
+    pairs = spark.range(100, 500).select(word.alias("a"), F.concat(word, F.lit("q")).alias("b"))
+    began = time.monotonic()
+    least, most = pairs.select(similarity.jaro_winkler(F.col("a"), F.col("b")).alias("s")).agg(F.min("s"), F.max("s")).first()
+    assert 0.9 < least <= most < 1.0
+    assert time.monotonic() - began < 30
+
+
 COUNTS = (
     "osha_inspections osha_violations osha_willful_count osha_repeat_count osha_serious_count osha_other_count "
     "osha_total_penalties whd_cases whd_backwages_total whd_ee_violated_total violations_1yr violations_3yr"
