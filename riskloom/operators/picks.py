@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from riskloom.session import cut_lineage
+
 
 def greatest_row(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` per key; remaining columns break ties, so the pick is total."""
@@ -50,7 +52,9 @@ def _cut(ordered: DataFrame, limit: int, offset: int) -> DataFrame:
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
-def page_after(rows: DataFrame, order: dict[str, bool], limit: int, after: dict | None = None) -> tuple[DataFrame, Observation]:
+def page_after(
+    rows: DataFrame, order: dict[str, bool], limit: int, after: dict | DataFrame | None = None
+) -> tuple[DataFrame, Observation]:
     """The ``limit`` rows that follow the row ``after``, and an observation of the total as ``total_count``.
 
     ``order`` names columns and whether they descend, nulls last either way; the last
@@ -58,13 +62,50 @@ def page_after(rows: DataFrame, order: dict[str, bool], limit: int, after: dict
     page before (None: the first page). The rows are evaluated once: all are counted on
     the way, only those behind the cursor are kept, and each task holds ``limit`` of
     them. The observation's value is there once the page has been read.
+
+    With a DataFrame of cursors (page, columns of the order), each a row of ``rows`` as
+    ``page_ends`` finds them, the pages behind all of them come at once, with ``page`` and
+    ``place`` (from 0): one sort and one join, however many pages there are.
     """
     total = Observation()
+    if isinstance(after, DataFrame):
+        key, every = list(order)[-1], numbered(rows, order)
+        starts = every.select(key, "row_no").join(
+            after.select("page", F.col(key).alias("_cursor")), F.col(key).eqNullSafe(F.col("_cursor"))
+        ).select("page", (F.col("row_no") + 1).alias("first"))
+        # A page lies in the block of its first row and in the next one.
+        block = F.floor(F.col("first") / limit)
+        starts = starts.withColumn("block", F.explode(F.array(block, block + 1)))
+        counted = every.observe(total, F.count(F.lit(1)).alias("total_count")).withColumn("block", F.floor(F.col("row_no") / limit))
+        found = counted.join(starts, "block").withColumn("place", F.col("row_no") - F.col("first"))
+        return found.filter((F.col("place") >= 0) & (F.col("place") < limit)).drop("block", "first", "row_no"), total
     counted = rows.observe(total, F.count(F.lit(1)).alias("total_count"))
     behind = counted.filter(_follows(order, after)) if after else counted
     return behind.orderBy(*sorting(order)).limit(limit), total
 
 
+def page_ends(rows: DataFrame, order: dict[str, bool], limit: int) -> DataFrame:
+    """Cursors (page, columns of the order) of all pages but the first: the last row of the page before each."""
+    every = numbered(rows.select(*order), order).withColumn("page", F.floor(F.col("row_no") / limit) + 1)
+    return every.filter(F.col("row_no") % limit == limit - 1).drop("row_no")
+
+
+def numbered(rows: DataFrame, order: dict[str, bool]) -> DataFrame:
+    """``rows`` with ``row_no``, their place in the order from 0.
+
+    The sorted rows are kept, so their partitions stay: a place in its partition and the
+    rows of the partitions before it make the number, and no task sees them all.
+    """
+    ordered = cut_lineage(rows.orderBy(*sorting(order)))
+    placed = ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at"))
+    before, sizes = 0, []
+    for row in sorted(placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        sizes.append((row["_part"], before))
+        before += row["n"]
+    offsets = rows.sparkSession.createDataFrame(sizes, "_part int, _before long")
+    return placed.join(F.broadcast(offsets), "_part").withColumn("row_no", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
 def sorting(order: dict[str, bool]) -> list[Column]:
     return [F.desc_nulls_last(name) if descending else F.asc_nulls_last(name) for name, descending in order.items()]
 

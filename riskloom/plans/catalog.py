@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from riskloom.plans.inputs import Inputs
 from riskloom.plans.linkage_run import read_linkage, run_linkage
 from riskloom.plans.oracle import AS_OF
 from riskloom.plans.upload import enrich_upload
-from riskloom.session import scratch_path
+from riskloom.session import cut_lineage, scratch_path
 from riskloom.sources import delimited, layout, ownership, publishing, snapshots
 from riskloom.sources.commits import CommitLog
 
@@ -511,18 +510,15 @@ register(
 
 
 def _all_pages(i: Inputs) -> DataFrame:
-    """All hits, read page after page, each from the last row of the one before."""
+    """All hits, page by page, each from the last row of the one before; the hits are found once."""
     hits = lookup.name_hits(i.served, "COLD WIDGET FURNITURE", index=i.name_index).filter("sim_score > 0.4")
-    columns = [*lookup.HIT_ORDER]
-    pages, after = [], None
-    while True:
-        page, total = picks.page_after(hits, lookup.HIT_ORDER, 400, after)
-        rows = page.select(*columns).collect()
-        numbered = [(len(pages), k, row["employer_id"], row["sim_score"], total.get["total_count"]) for k, row in enumerate(rows)]
-        pages.append(i.spark.createDataFrame(numbered, "page int, place int, employer_id string, sim_score double, total_count long"))
-        if len(rows) < 400:
-            return reduce(DataFrame.unionByName, pages)
-        after = rows[-1].asDict()
+    hits = cut_lineage(hits.select(*lookup.HIT_ORDER))
+    first, total = picks.page_after(hits, lookup.HIT_ORDER, 400)
+    rows = [(0, k, row["employer_id"], row["sim_score"]) for k, row in enumerate(first.collect())]
+    pages = i.spark.createDataFrame(rows, "page long, place long, employer_id string, sim_score double")
+    later, _ = picks.page_after(hits, lookup.HIT_ORDER, 400, picks.page_ends(hits, lookup.HIT_ORDER, 400))
+    pages = pages.unionByName(later.select("page", "place", "employer_id", "sim_score"))
+    return pages.withColumn("total_count", F.lit(total.get["total_count"]).cast("long"))
 
 
 register(

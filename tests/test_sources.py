@@ -169,6 +169,24 @@ def test_pages_in_sequence_equal_the_whole_order(spark):
     assert got == want
 
 
+def test_pages_behind_many_cursors_come_at_once(spark):
+    rng = random.Random(7)
+    data = [(f"e{k:03d}", rng.choice([None, 0.5, 0.7]), rng.choice([None, 1, 2])) for k in range(90)]
+    order = {"score": True, "n": False, "id": True}
+    for n in (0, 4, 10, 11, 90):
+        rows = spark.createDataFrame(data[:n], "id string, score double, n int").repartition(5)
+        want = [(k // 10, k % 10, r["id"]) for k, r in enumerate(rows.orderBy(*picks.sorting(order)).collect())]
+        later, total = picks.page_after(rows, order, 10, picks.page_ends(rows, order, 10))
+        got = sorted((r["page"], r["place"], r["id"]) for r in later.collect())
+        assert got == want[10:]
+    assert total.get["total_count"] == 90
+    # Any rows may be cursors, also such whose pages overlap.
+    cursors = rows.filter("id IN ('e003', 'e050')").withColumn("page", F.col("id"))
+    ids = [x for _, _, x in want]
+    got = picks.page_after(rows, order, 10, cursors)[0].orderBy("page", "place").collect()
+    assert [(r["page"], r["id"]) for r in got] == [(c, x) for c in ("e003", "e050") for x in ids[ids.index(c) + 1:ids.index(c) + 11]]
+
+
 def test_a_page_neither_stores_nor_sorts_all_rows(spark, monkeypatch):
     rows = spark.range(100).withColumn("score", F.col("id") % 7)
     plan = picks.page_after(rows, {"score": True, "id": False}, 5, {"score": 3, "id": 10})[0]._jdf.queryExecution().toString()
