@@ -282,6 +282,14 @@ def test_review_queue_takes_the_least_certain_below_the_cluster_threshold(spark)
     assert linkage.review_queue(pairs).count() == 3
 
 
+def test_stars_of_touched_groups_only(frame):
+    members = [(0, "p", "a", 0, False, False), (0, "p", "b", 0, False, True), (0, "q", "c", 0, False, False), (0, "q", "d", 0, False, False),
+               (1, "r", "e", 0, True, True), (2, "s", "f", 0, True, False), (2, "s", "g", 1, True, True)]
+    keyed = frame(members, "rule int, key string, node string, side int, crosses boolean, loose boolean")
+    assert rows(linkage.star_edges(keyed, "node", touched="loose")) == [("b", "a"), ("f", "g"), ("g", "f")]
+    assert rows(linkage.star_edges(keyed, "node")) == [("b", "a"), ("d", "c"), ("f", "g"), ("g", "f")]
+
+
 def test_merge_same_names_moves_to_the_largest(spark):
     records = spark.createDataFrame([(str(k), n) for k, n in enumerate(["A", "A", "A", "B", "A", "B"])], "unique_id string, name_normalized string")
     clusters = spark.createDataFrame([("0", "x"), ("1", "x"), ("2", "y"), ("3", "y"), ("4", "z"), ("5", "w")], "unique_id string, cluster_id string")
