@@ -52,6 +52,31 @@ def small_profile(spark):
     return {(r.name_normalized, r.zip5): r for r in built.collect()}
 
 
+def test_one_base_serves_the_profiles_of_many_dates(spark):
+    osha = spark.createDataFrame([], SILVER).union(
+        spark.sql(
+            """SELECT * FROM VALUES
+  ('1', 'Acme', 'ACME', 'a1', 'c1', 'ID', '83702', '2381', '2381', DATE'2020-01-01', 2L, 0L, 0L, 1L, 1L, 10.5BD, 2.0D),
+  ('2', 'Acme', 'ACME', NULL, 'c2', 'ID', '83702', NULL, NULL, DATE'2023-06-01', 40L, 0L, 1L, 1L, 2L, 20BD, 4.0D),
+  ('2', 'Acme', 'ACME', NULL, 'c2', 'ID', '83702', NULL, NULL, DATE'2023-06-01', 40L, 0L, 1L, 1L, 2L, 20BD, 4.0D),
+  (NULL, 'Cold', 'COLD', 'a3', 'c3', NULL, NULL, '2382', '2382', NULL, 1L, 0L, 0L, 0L, 0L, 0BD, NULL)"""
+        )
+    )
+    whd = spark.createDataFrame([], WAGES).union(
+        spark.sql("SELECT '9', 'Beta Wage', 'BETA', 'b', 'bc', 'WA', '98101', DATE'2021-01-01', 5BD, 3")
+    )
+    mines = spark.sql("SELECT 'ACME' AS name_normalized, 'ID' AS state, 'v1' AS violation_no, 7BD AS proposed_penalty")
+    parents = spark.sql("SELECT 'ACME' AS name_pattern, 'Acme Group' AS parent_name, 'prefix' AS match_type")
+    naics = spark.sql("SELECT '2382' AS naics_code, 'Building' AS naics_title")
+    days = ["2020-06-01", "2023-07-01", "2030-01-01"]
+    base = profile.profile_base(osha, whd, mines, parents, naics, days)
+    told = [rows(profile.profile_on(base, day)) for day in days]
+    assert told == [rows(profile.build_profile(osha, whd, mines, parents, naics, day)) for day in days]
+    assert told[0] != told[2] and all(len(day) == 2 for day in told)
+    windows = base.filter("name_normalized = 'ACME'").first()
+    assert [windows[f"violations_1yr_{day}"] for day in days] == [82, 80, 0]
+
+
 def test_one_row_per_employer_even_for_null_and_blank_zip(small_profile):
     assert set(small_profile) == {("ACME", "83702"), ("ACME", ""), ("BETA", "98101")}
 
@@ -171,6 +196,14 @@ def test_exact_percentiles(spark):
     assert rows(got) == rows(want)
 
 
+def test_only_rows_of_repeated_keys_are_picked_from(spark, frame):
+    data = [("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", 1, "x"), (None, 1, "n"), (None, 3, "m"), ("c", None, None), ("d", 1, "x"), ("d", 1, "x")]
+    for chosen in (data, [row for row in data if row[0] in ("b", "c")], [(None, 1, "n")], []):
+        held = frame(chosen, "employer_id string, n int, label string")
+        got = picks.without_repeats(held, "employer_id", ["n"])
+        assert rows(got) == rows(picks.greatest_row(held, ["employer_id"], ["n"])) and got.columns == held.columns
+
+
 def test_latest_per_employer_and_page(spark):
     df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, None), ("b", 1, 7.0)], "employer_id string, snapshot_date int, risk_score double")
     assert rows(picks.latest_per_employer(df)) == [("a", 2, None), ("b", 1, 7.0)]
