@@ -32,6 +32,27 @@ def without_repeats(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return hashed.join(repeated, "_hash", "left_anti").drop("_hash").unionByName(several)
 
 
+def counted_once(rows: DataFrame, keys: list[str], id_column: str, flag: str) -> DataFrame:
+    """``rows`` with ``flag``, whose sum per ``keys`` is the number of distinct non-null ids, and rows of keys, id and flag alone.
+
+    Next to no id comes twice for the same keys, so only hashes are shuffled to tell which may;
+    those that occur more than once are stored, and only their ids are made distinct, in the rows
+    that are added. All other columns are null there, so that sums and maxima do not see them.
+    """
+    hashed = rows.withColumn("_hash", F.xxhash64(*keys, id_column))
+    repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_hash")
+    repeated = stored(repeated, "repeated-ids")
+    alone = F.col(id_column).isNotNull() & F.col("_again").isNull()
+    marked = hashed.join(repeated.withColumn("_again", F.lit(True)), "_hash", "left").withColumn(flag, alone.cast("long"))
+    several = hashed.join(repeated, "_hash", "left_semi").filter(F.col(id_column).isNotNull()).select(*keys, id_column).distinct()
+    return marked.drop("_hash", "_again").unionByName(several.withColumn(flag, F.lit(1).cast("long")), allowMissingColumns=True)
+
+
+def newest_rows(profile: DataFrame) -> DataFrame:
+    """``latest_per_employer`` of a whole serving table, where next to no employer has several rows: they are not shuffled."""
+    return without_repeats(profile, "employer_id", ["snapshot_date"])
+
+
 def latest_per_employer(profile: DataFrame) -> DataFrame:
     """Newest snapshot row of each employer. Filter before calling, as the served queries do."""
     return greatest_row(profile, ["employer_id"], ["snapshot_date"])

@@ -20,6 +20,7 @@ from riskloom.functions import scoring
 from riskloom.functions.codes import MONEY, employer_key, naics4, uuid_from_text
 from riskloom.functions.dates import years_before
 from riskloom.functions.names import is_valid_name, is_valid_wage_name
+from riskloom.operators.picks import counted_once
 from riskloom.operators.prefixes import with_longest_prefix
 from riskloom.session import stored
 
@@ -86,10 +87,8 @@ def inspection_totals(
 ) -> DataFrame:
     """Per employer key: latest identity, all-time totals and trailing-window violations, in one pass.
 
-    Inspections are first reduced to one row per key and activity number, so the
-    exact distinct count needs no expansion of rows. They are dealt by both as they are, since
-    next to no two of them combine there and a row is smaller than its aggregates; the second
-    step combines before it shuffles. Among equal dates the greater activity number is the latest.
+    Activity numbers are counted by ``counted_once``, so that all aggregates combine before the only
+    shuffle of the rows. Among equal dates the greater activity number is the latest.
     With a list of dates, each has windows of its own, named by it.
     """
     order = F.struct("open_date", "activity_nr")
@@ -114,17 +113,17 @@ def inspection_totals(
         for day, name in named
         for n in years
     ]
+    used = ["open_date", "activity_nr", "name_normalized", "site_state", "zip5", "estab_name", "site_address", "site_city", "naics_code", "avg_gravity"]
+    rows = valid_inspections(inspections).select(_key("site_state").alias("employer_key"), *used, *sums.values())
     return (
-        valid_inspections(inspections)
-        .withColumn("employer_key", _key("site_state"))
-        .repartition("employer_key", "activity_nr")
+        counted_once(rows, ["employer_key"], "activity_nr", "counts")
         .groupBy("employer_key")
         .agg(
             F.max("name_normalized").alias("name_normalized"),
             F.max("site_state").alias("state"),
             F.max("zip5").alias("zip5"),
             *[_latest(value, order, dated).alias(name) for name, value in identity.items()],
-            F.count_distinct("activity_nr").alias("osha_inspections"),
+            F.sum("counts").alias("osha_inspections"),
             *[F.sum(column).alias(name) for name, column in sums.items()],
             F.max("open_date").alias("osha_last_inspection_date"),
             F.avg("avg_gravity").alias("osha_avg_gravity"),
@@ -138,10 +137,10 @@ def wage_totals(wages: DataFrame) -> DataFrame:
     """Per employer key: latest identity and totals of wage actions."""
     order = F.struct("findings_end_date", "case_id")
     dated = F.col("findings_end_date").isNotNull()
+    used = ["findings_end_date", "case_id", "name_normalized", "state", "zip5", "employer_name", "address", "city", "backwages", "employees_violated"]
+    rows = valid_wage_actions(wages).select(_key("state").alias("employer_key"), *used)
     return (
-        valid_wage_actions(wages)
-        .withColumn("employer_key", _key("state"))
-        .repartition("employer_key", "case_id")
+        counted_once(rows, ["employer_key"], "case_id", "counts")
         .groupBy("employer_key")
         .agg(
             F.max("name_normalized").alias("name_normalized"),
@@ -150,7 +149,7 @@ def wage_totals(wages: DataFrame) -> DataFrame:
             _latest(F.col("employer_name"), order, dated).alias("whd_employer_name"),
             _latest(F.col("address"), order, dated).alias("whd_address"),
             _latest(F.col("city"), order, dated).alias("whd_city"),
-            F.count_distinct("case_id").alias("whd_cases"),
+            F.sum("counts").alias("whd_cases"),
             F.sum("backwages").alias("whd_backwages_total"),
             F.sum("employees_violated").alias("whd_ee_violated_total"),
         )
@@ -159,12 +158,12 @@ def wage_totals(wages: DataFrame) -> DataFrame:
 
 def mine_totals(mine_violations: DataFrame) -> DataFrame:
     """Per name and state: distinct violations and assessed penalties."""
+    rows = mine_violations.filter(F.length("name_normalized") > 1).select("name_normalized", "state", "violation_no", "proposed_penalty")
     return (
-        mine_violations.filter(F.length("name_normalized") > 1)
-        .repartition("name_normalized", "state", "violation_no")
+        counted_once(rows, ["name_normalized", "state"], "violation_no", "counts")
         .groupBy("name_normalized", "state")
         .agg(
-            F.count_distinct("violation_no").alias("msha_violations"),
+            F.sum("counts").alias("msha_violations"),
             F.sum("proposed_penalty").alias("msha_assessed_penalties"),
         )
     )

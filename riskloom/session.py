@@ -71,5 +71,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written below the shared folder and read back: a list whose true size Spark knows when it plans a join."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -34,7 +34,7 @@ def serving_rows(profile: DataFrame, snapshot_date: dt.date | str, run_id: str,
 
 def materialize(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a table once and hand out a DataFrame that reads it."""
-    writer = rows.write.mode("overwrite")
+    writer = rows.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return rows.sparkSession.read.parquet(path)
 
