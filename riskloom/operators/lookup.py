@@ -13,8 +13,8 @@ from riskloom.functions.labels import match_confidence, risk_note
 from riskloom.functions.scoring import confidence_rank
 from riskloom.functions.similarity import trigram_similarity
 from riskloom.operators.matching import best_matches, similar_pairs
-from riskloom.operators.picks import at_latest_snapshot, latest_per_employer, page, sorting
-from riskloom.session import cut_lineage
+from riskloom.operators.picks import at_latest_snapshot, latest_per_employer, newest_rows, page, sorting
+from riskloom.session import stored
 from riskloom.sources.name_index import similar_rows
 
 # --- Fixed values: similarity thresholds of the served queries ---
@@ -165,7 +165,7 @@ def parent_rollup(profile: DataFrame, parent: str, state: str | None = None) ->
 
 def parent_rollups(profile: DataFrame) -> DataFrame:
     """The same totals for every parent at once."""
-    newest = latest_per_employer(profile.filter(F.col("parent_name").isNotNull()))
+    newest = newest_rows(profile.filter(F.col("parent_name").isNotNull()))
     return _with_stable(newest.groupBy("parent_name").agg(*_rollup_measures()))
 
 
@@ -197,7 +197,7 @@ def lookup_by_id(profile: DataFrame, mapping: DataFrame, wanted: DataFrame) -> D
         F.coalesce("superseded_by", "requested_id").alias("employer_id"),
         F.col("superseded_by").isNotNull().alias("redirected"),
     )
-    return routed.join(latest_per_employer(profile), "employer_id", "left")
+    return routed.join(newest_rows(profile), "employer_id", "left")
 
 
 # --- bulk enrichment ---
@@ -256,7 +256,7 @@ def _block(state: Column, zip_code: Column, city: Column) -> Column:
 def _place_blocks(state: Column, zip_code: Column, city: Column) -> Column:
     """Every way to narrow by state, zip and city."""
     nothing = F.lit(None).cast("string")
-    return F.array(*[_block(s, z, c) for s in (nothing, state) for z in (nothing, zip_code) for c in (nothing, city)])
+    return F.array_distinct(F.array(*[_block(s, z, c) for s in (nothing, state) for z in (nothing, zip_code) for c in (nothing, city)]))
 
 
 def _name_choices(queries: DataFrame, newest: DataFrame) -> DataFrame:
@@ -265,9 +265,11 @@ def _name_choices(queries: DataFrame, newest: DataFrame) -> DataFrame:
     A query's state, zip and city form its block; a city stands for all cities like it,
     which are found once per distinct city, so such a query has a block for each of
     them and names never meet the cities of other names. Of the employers that share
-    name and block only the least id can win, so only that one is kept.
+    name and block only the least id can win, so only that one is kept. Until they have
+    won, employers go by their place in the order of ids, a number much shorter than an id.
     """
-    newest = cut_lineage(newest.select("employer_id", "employer_name", "state", "zip", "city"))
+    newest = newest.select("employer_id", "employer_name", "state", "zip", "city").orderBy("employer_id")
+    newest = stored(newest.withColumn("at", F.when(F.col("employer_id").isNotNull(), F.monotonically_increasing_id())), "newest-employers")
     asked = queries.select("q_name", "q_state", "q_zip", "q_city").distinct().withColumn("query_key", _query_key())
     cities = similar_pairs(
         asked.select("q_city").filter("q_city IS NOT NULL").distinct(), newest.select(F.col("city").alias("t_city")).distinct(),
@@ -277,10 +279,11 @@ def _name_choices(queries: DataFrame, newest: DataFrame) -> DataFrame:
     somewhere = asked.filter("q_city IS NOT NULL").join(cities, "q_city")
     asked = anywhere.unionByName(somewhere).withColumn("block", _block(F.col("q_state"), F.col("q_zip"), F.col("t_city")))
     held = newest.select(
-        F.lower("employer_name").alias("t_name"), "employer_id", F.explode(_place_blocks(F.col("state"), F.col("zip"), F.col("city"))).alias("block")
+        F.lower("employer_name").alias("t_name"), "at", F.explode(_place_blocks(F.col("state"), F.col("zip"), F.col("city"))).alias("block")
     )
-    held = held.join(asked.select("block").distinct(), "block", "left_semi").groupBy("block", "t_name").agg(F.min("employer_id").alias("employer_id"))
-    return best_matches(asked, held, "q_name", "t_name", "query_key", "employer_id", BULK_NAME_THRESHOLD, "block")
+    held = held.join(asked.select("block").distinct(), "block", "left_semi").groupBy("block", "t_name").agg(F.min("at").alias("at"))
+    best = best_matches(asked, held, "q_name", "t_name", "query_key", "at", BULK_NAME_THRESHOLD, "block")
+    return best.join(newest.select("at", "employer_id"), "at", "left").select("query_key", "employer_id", "similarity")
 
 
 def _query_key() -> Column:
@@ -293,7 +296,11 @@ def resolve_lookups(lookups: DataFrame, profile: DataFrame) -> DataFrame:
     An id decides alone; else the tax number decides alone (highest score within
     state and zip, if given); else the most similar name. Ties go to the least id.
     """
-    newest = latest_per_employer(profile)
+    return _resolved(lookups, newest_rows(profile))
+
+
+def _resolved(lookups: DataFrame, newest: DataFrame) -> DataFrame:
+    """``resolve_lookups`` on a profile of one row per employer."""
     queries = _queries(lookups)
     by_id = F.col("q_employer_id").isNotNull()
     by_ein = ~by_id & F.col("q_ein").isNotNull()
@@ -304,7 +311,7 @@ def resolve_lookups(lookups: DataFrame, profile: DataFrame) -> DataFrame:
     hits = [
         queries.filter(by_id).join(known, "q_employer_id").select("lookup_id", "employer_id", no_score),
     ]
-    if "ein" in profile.columns:
+    if "ein" in newest.columns:
         keyed = queries.filter(by_ein).withColumn("ein_key", _marked(F.col("q_ein"), F.col("q_state"), F.col("q_zip")))
         hits.append(keyed.join(_ein_choices(newest), "ein_key").select("lookup_id", "employer_id", no_score))
     named = queries.filter(by_name)
@@ -320,16 +327,17 @@ def resolve_lookups(lookups: DataFrame, profile: DataFrame) -> DataFrame:
 
 def enrich_lookups(lookups: DataFrame, profile: DataFrame) -> DataFrame:
     """All lookup columns plus RESULT_COLUMNS; ``lookup_id`` must be unique."""
-    newest = latest_per_employer(profile).select(
+    newest = newest_rows(profile)
+    shown = newest.select(
         "employer_id", "risk_tier", "risk_score", "osha_inspections", "osha_violations", "osha_total_penalties",
         "location_count", "trend_signal",
         F.col("employer_name").alias("matched_name"), F.col("address").alias("matched_address"),
         F.col("city").alias("matched_city"), F.col("state").alias("matched_state"), F.col("zip").alias("matched_zip"),
     )
     resolved = (
-        resolve_lookups(lookups, profile)
+        _resolved(lookups, newest)
         .withColumn("match_confidence", match_confidence(F.col("employer_id").isNotNull(), F.col("similarity")))
-        .join(newest, "employer_id", "left")
+        .join(shown, "employer_id", "left")
         .select("lookup_id", F.struct(*RESULT_COLUMNS).alias("result"))
     )
     return lookups.join(resolved, "lookup_id").select(

@@ -204,6 +204,36 @@ def test_only_rows_of_repeated_keys_are_picked_from(spark, frame):
         assert rows(got) == rows(picks.greatest_row(held, ["employer_id"], ["n"])) and got.columns == held.columns
 
 
+def test_ids_are_counted_once_without_dealing_the_rows(spark, frame):
+    data = [("a", "TX", "1", 5), ("a", "TX", "1", 6), ("a", "TX", None, 1), ("a", "TX", None, 1), ("a", None, "1", 2), ("a", None, "2", 2), ("bb", "TX", "1", None), ("bb", "", None, 4)]
+    for chosen in (data, data[4:], data[-1:], []):
+        held = frame(chosen, "name_normalized string, state string, violation_no string, proposed_penalty int")
+        want = held.groupBy("name_normalized", "state").agg(F.count_distinct("violation_no").alias("n"), F.sum("proposed_penalty").alias("total"))
+        marked = picks.counted_once(held, ["name_normalized", "state"], "violation_no", "counts")
+        got = marked.groupBy("name_normalized", "state").agg(F.sum("counts").alias("n"), F.sum("proposed_penalty").alias("total"))
+        assert rows(got) == rows(want)
+    totals = profile.mine_totals(held)
+    assert "REPARTITION_BY_COL" not in totals._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bulk_names_meet_by_the_number_of_the_employer(spark, monkeypatch):
+    """Ties go to the least id, and an employer of two snapshots counts as of the newest."""
+    served = spark.createDataFrame(
+        [("e2", "ACME", "TX", "7", "X", 1), ("e1", "ACME", "TX", "8", "Y", 1), ("e0", "ACME", "TX", "9", "Z", 1), ("e0", "OTHER THING", "TX", "9", "Z", 2)],
+        "employer_id string, employer_name string, state string, zip string, city string, snapshot_date int",
+    )
+    asked = spark.createDataFrame([(1, "acme", None), (2, "acme", "7"), (3, "other thing", "9"), (4, "zzz", None)], "lookup_id long, name string, zip string")
+    seen, best = [], lookup.best_matches
+
+    def kept(asked, held, *rest):
+        seen.append(dict(held.dtypes))
+        return best(asked, held, *rest)
+
+    monkeypatch.setattr(lookup, "best_matches", kept)
+    assert rows(lookup.resolve_lookups(asked, served)) == [(1, "e1", 1.0), (2, "e2", 1.0), (3, "e0", 1.0), (4, None, None)]
+    assert [(sorted(x), x["at"]) for x in seen] == [(["at", "block", "t_name"], "bigint")]
+
+
 def test_latest_per_employer_and_page(spark):
     df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, None), ("b", 1, 7.0)], "employer_id string, snapshot_date int, risk_score double")
     assert rows(picks.latest_per_employer(df)) == [("a", 2, None), ("b", 1, 7.0)]
