@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.names import name_prefix
 from riskloom.operators.components import connected_components
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, stored
 
 # --- Fixed values: linkage settings ---
 FIELDS = ["name_normalized", "zip5", "naics_4digit", "site_state", "address_key"]
@@ -462,7 +462,7 @@ def link_keys(classes: DataFrame, evidence: Evidence, threshold: float, *columns
     for i, (fields, a, b) in enumerate(rules):
         applies = F.lit(True) if a is None else mask.isin(a, b)
         side = F.lit(0) if a is None or a == b else F.when(mask == a, 0).otherwise(1)
-        key = F.when(applies, _key(fields))
+        key = F.when(applies, F.unhex(F.md5(_key(fields))))  # 16 bytes, however long the values
         entries.append(
             F.struct(F.lit(i).alias("rule"), key.alias("key"), side.alias("side"), F.lit(a is not None and a != b).alias("crosses"))
         )
@@ -497,13 +497,21 @@ def link_edges(classes: DataFrame, evidence: Evidence, threshold: float = CLUSTE
 def cluster_records(
     records: DataFrame, threshold: float = CLUSTER_THRESHOLD, evidence: Evidence | None = None
 ) -> DataFrame:
-    """(unique_id, cluster_id): connected records share the least id of them; others stand alone."""
+    """(unique_id, cluster_id): connected records share the least id of them; others stand alone.
+
+    Classes are stored once with a number, by which they are linked: numbers are shorter than ids,
+    and their minima need no sorting. Classes of one id, should ids repeat, are linked as well.
+    """
     evidence = evidence or evidence_of(records)
-    classes = linkage_classes(records)
-    component = connected_components(link_edges(classes, evidence, threshold), "rep", "hub")
-    labelled = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "signature", F.coalesce("component", "rep").alias("class_cluster")
-    )
+    number = F.when(F.col("rep").isNotNull(), F.monotonically_increasing_id())
+    classes = stored(linkage_classes(records).select("rep", "mask", *FIELDS, "name_prefix", number.alias("at")), "linkage-classes")
+    shared = classes.filter("rep IS NOT NULL").groupBy("rep").agg(F.min("at").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twice = classes.join(stored(shared.select("rep", "hub"), "repeated-ids"), "rep").filter("at != hub").select("at", "hub")
+    edges = star_edges(link_keys(classes, evidence, threshold, "at"), "at").unionByName(twice)
+    component = connected_components(edges, "at", "hub").withColumnRenamed("node", "at")
+    member = classes.join(component, "at", "left").select(_signature().alias("signature"), "rep", F.coalesce("component", "at").alias("component"))
+    heads = member.groupBy("component").agg(F.min("rep").alias("head"))
+    labelled = member.join(heads, "component", "left").select("signature", F.coalesce("head", "rep").alias("class_cluster"))
     return records_in_classes(records, labelled, evidence, threshold)
 
 
@@ -517,9 +525,9 @@ def records_in_classes(records: DataFrame, labelled: DataFrame, evidence: Eviden
     ]
     holds = _mask().isin(coherent) if coherent else F.lit(False)
     return (
-        records.withColumn("signature", _signature())
+        records.select("unique_id", _signature().alias("signature"), holds.alias("holds"))
         .join(labelled, "signature")
-        .select("unique_id", F.when(holds, F.col("class_cluster")).otherwise(F.col("unique_id")).alias("cluster_id"))
+        .select("unique_id", F.when(F.col("holds"), F.col("class_cluster")).otherwise(F.col("unique_id")).alias("cluster_id"))
     )
 
 

@@ -234,6 +234,25 @@ def test_bulk_names_meet_by_the_number_of_the_employer(spark, monkeypatch):
     assert [(sorted(x), x["at"]) for x in seen] == [(["at", "block", "t_name"], "bigint")]
 
 
+def test_classes_are_linked_by_number_and_named_by_the_least_id(spark, frame, monkeypatch):
+    fields = "unique_id string, name_normalized string, name_prefix string, zip5 string, site_state string, naics_4digit string, address_key string"
+    one, other, far = (("ACME STEEL", "ACME", z, "TX", "2301", a) for z, a in (("1", "x"), ("1", "y"), ("9", "z")))
+    near = [("b", *one), ("c", *other), ("c", *far), ("d", *one), ("e", *far), (None, *other)]
+    noise = [(f"n{k:03d}", f"N{k} WORKS", f"N{k}"[:4], str(100 + k), f"S{k}", str(4000 + k), f"p{k}") for k in range(60)]
+    held = frame(near + noise, fields)
+    seen, star = [], linkage.star_edges
+
+    def kept(keyed, *rest):
+        seen.append(dict(keyed.dtypes))
+        return star(keyed, *rest)
+
+    monkeypatch.setattr(linkage, "star_edges", kept)
+    got = sorted({(r.unique_id or "", r.cluster_id) for r in linkage.cluster_records(held).collect()})
+    # Nothing but the id "c" links the records that are far from the others.
+    assert got == sorted({(u or "", "b") for u, *_ in near} | {(u, u) for u, *_ in noise})
+    assert seen[0]["at"] == "bigint" and seen[0]["key"] == "binary"
+
+
 def test_latest_per_employer_and_page(spark):
     df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, None), ("b", 1, 7.0)], "employer_id string, snapshot_date int, risk_score double")
     assert rows(picks.latest_per_employer(df)) == [("a", 2, None), ("b", 1, 7.0)]
