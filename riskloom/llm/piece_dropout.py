@@ -50,6 +50,8 @@ class Pieces:
         bytes_of = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         for b, i in enumerate(bytes_of):
             self.decoded[i] = bytes([b])
+        self.decoded_flat = np.frombuffer(b"".join(self.decoded), np.uint8)
+        self.decoded_ends = np.cumsum([0, *map(len, self.decoded)])
         self.coded_bytes = [np.array([i], self.dtype).tobytes() for i in bytes_of]
         # Chunks end where no piece of the vocabulary reaches across.
         across = [piece for piece in self.rank if SPACE in piece.lstrip(SPACE) or "\n" in piece and len(piece) > 1]
@@ -79,23 +81,22 @@ class Pieces:
         chunks = list(chain.from_iterable(split))
         position = np.arange(len(chunks)) - np.repeat(first, counts)
         keyed = mix(np.repeat(np.array(keys or [0] * len(texts), np.uint64), counts) + position.astype(np.uint64) * np.uint64(GOLDEN))
-        if len(self.known.roots) > _MOST_CHUNKS or self.known.nodes > _MOST_NODES:
+        if len(self.known.numbers) > _MOST_CHUNKS or self.known.nodes > _MOST_NODES:
             self.known = Decisions(self.dtype)
         known = self.known
-        new = [chunk for chunk in set(chunks) - known.roots.keys() if len(chunk) <= _LONGEST_CHUNK]
+        number = np.fromiter(map(known.numbers.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unseen = np.flatnonzero(number < 0)
+        words = [chunks[i] for i in unseen.tolist()]
+        new = [chunk for chunk in set(words) if len(chunk) <= _LONGEST_CHUNK]
         if new:
-            rows, used = self._traced(new, np.zeros(len(new), np.uint64), 0)
-            known.learn(known.plant(new), used, np.zeros(len(new), np.uint64), 0, known.keep(rows))
-        root = np.fromiter(map(known.roots.get, chunks, repeat(-1)), np.int64, len(chunks))
-        result = known.walk(root, keyed, skip)
+            self._segmented(new, known.plant(new, *self._letters_of(new)), np.zeros(len(new), np.uint64), 0)
+            number[unseen] = np.fromiter(map(known.numbers.get, words, repeat(-1)), np.int64, len(words))
+        result = known.walk(known.roots[number], keyed, skip)  # a number of -1 has no root
         missing = np.flatnonzero(result < 0)
-        rows, used = self._traced([chunks[i] for i in missing.tolist()], keyed[missing], skip)
-        forgotten = root[missing] < 0  # too long to be remembered
-        stays, leaves = np.flatnonzero(~forgotten), np.flatnonzero(forgotten)
-        result[missing[stays]] = known.keep([rows[i] for i in stays.tolist()])
-        known.learn(root[missing[stays]], used[stays], keyed[missing[stays]], skip, result[missing[stays]])
-        kept = known.kept
-        result[missing[leaves]] = known.keep([rows[i] for i in leaves.tolist()])
+        forgotten = number[missing] < 0  # too long to be remembered
+        for at in missing[~forgotten], missing[forgotten]:
+            kept = known.kept
+            result[at] = self._segmented(chunks, number[at], keyed[at], skip, at)
         flat, sizes = known.ids_of(result)
         known.kept = kept
         ends = np.append(0, np.cumsum(sizes))
@@ -103,6 +104,21 @@ class Pieces:
         data = flat.tobytes()
         return [data[i:j] for i, j in zip(low.tolist(), high.tolist())]
 
+    def _segmented(self, chunks: list[str], number: np.ndarray, keyed: np.ndarray, skip: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of the ids of ``chunks`` (of those ``at`` these places); the decisions on chunks that have a number are remembered."""
+        known, result = self.known, np.full(len(number), -1, np.int64)
+        plain = known.is_plain(number)
+        for part in self._slices(np.flatnonzero(plain)):
+            flat, sizes, used = self._side_by_side(*known.letters_of(number[part]), keyed[part], skip)
+            result[part] = known.keep_flat(flat, sizes)
+            known.learn(known.roots[number[part]], used, keyed[part], skip, result[part])
+        others = np.flatnonzero(~plain)
+        rows, used = self._traced([chunks[i] for i in (others if at is None else at[others]).tolist()], keyed[others], skip)
+        result[others] = known.keep(rows)
+        held = number[others] >= 0
+        known.learn(known.roots[number[others[held]]], used[held], keyed[others[held]], skip, result[others[held]])
+        return result
+
     def _split(self, text: str) -> list[str]:
         """Chunks that are segmented on their own; _LITERAL stands for a SPACE of the text's own."""
         if not text:
@@ -117,25 +133,46 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.decoded.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
+    def decode_many(self, rows: list[bytes]) -> list[str]:
+        """``decode`` for the stored ids of many texts."""
+        ids = np.frombuffer(b"".join(rows), self.dtype)
+        sizes = self.decoded_ends[ids + np.int64(1)] - self.decoded_ends[ids]
+        data = self.decoded_flat[_spread(self.decoded_ends[ids], sizes)].tobytes()
+        pieces = np.cumsum([0, *map(len, rows)]) // self.dtype.itemsize
+        ends = np.append(0, np.cumsum(sizes))[pieces].tolist()
+        return [data[low + 1 : high].decode("utf-8", "surrogatepass") for low, high in zip(ends, ends[1:])]
+
     def _segment_many(self, chunks: list[str], key: int, skip: int) -> list[bytes]:
         return self._traced(chunks, np.full(len(chunks), key, np.uint64), skip)[0]
 
-    def _traced(self, chunks: list[str], keyed: np.ndarray, skip: int, at_once: int = 8192) -> tuple[list[bytes], np.ndarray]:
-        """Ids of many chunks and how many decisions each took, short ones side by side in slices that fit the processor's cache."""
+    @staticmethod
+    def _slices(at: np.ndarray, at_once: int = 8192) -> list[np.ndarray]:
+        """Slices whose words fit the processor's cache side by side."""
+        return [at[low : low + at_once] for low in range(0, len(at), at_once)]
+
+    def _letters_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of all letters of the chunks, -1 where there is none, the rank and the result of each one's merge with the next, and the lengths."""
+        lengths = np.fromiter(map(len, chunks), np.int32, len(chunks))
+        symbol = self.of_letter[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")]
+        rank, merged = self.merges.look_up(symbol, np.append(symbol[1:], -1))
+        rank[np.cumsum(lengths) - 1] = _NONE
+        return symbol, rank, merged, lengths
+
+    def _traced(self, chunks: list[str], keyed: np.ndarray, skip: int) -> tuple[list[bytes], np.ndarray]:
+        """Ids of many chunks and how many decisions each took, short ones side by side."""
         out, used = [b""] * len(chunks), np.zeros(len(chunks), np.int64)
         alone = [i for i, chunk in enumerate(chunks) if len(chunk) > 64]
         short = [i for i, chunk in enumerate(chunks) if len(chunk) <= 64 and chunk != _LITERAL]
-        for low in range(0, len(short), at_once):
-            at = np.array(short[low : low + at_once])
-            words = [chunks[i] for i in at.tolist()]
-            lengths = np.fromiter(map(len, words), np.int32, len(words))
-            symbol = self.of_letter[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")]
-            known = np.minimum.reduceat(symbol, np.cumsum(lengths) - lengths) >= 0
+        for at in self._slices(np.array(short, np.int64)):
+            *letters, lengths = self._letters_of([chunks[i] for i in at.tolist()])
+            known = np.minimum.reduceat(letters[0], np.cumsum(lengths) - lengths) >= 0
             alone += at[~known].tolist()
             if known.any():
-                rows, used[at[known]] = self._side_by_side(symbol[np.repeat(known, lengths)], lengths[known], keyed[at[known]], skip)
-                for i, row in zip(at[known].tolist(), rows):
-                    out[i] = row
+                of_known = np.repeat(known, lengths)
+                flat, sizes, used[at[known]] = self._side_by_side(*(x[of_known] for x in letters), lengths[known], keyed[at[known]], skip)
+                data, ends = flat.tobytes(), (np.cumsum(sizes) * self.dtype.itemsize).tolist()
+                for i, low, high in zip(at[known].tolist(), [0, *ends], ends):
+                    out[i] = data[low:high]
         for i in alone:
             out[i], used[i] = self._alone(chunks[i], int(keyed[i]), skip)
         if len(short) + sum(len(chunk) > 64 for chunk in chunks) < len(chunks):
@@ -143,50 +180,49 @@ class Pieces:
             out = [literal if chunk == _LITERAL else row for chunk, row in zip(chunks, out)]
         return out, used
 
-    def _side_by_side(self, symbol: np.ndarray, lengths: np.ndarray, keyed: np.ndarray, skip: int) -> tuple[list[bytes], np.ndarray]:
-        """The agendas of many words of known letters: each round takes the best merge that each of them has left."""
+    def _side_by_side(
+        self, symbol: np.ndarray, rank: np.ndarray, merged: np.ndarray, lengths: np.ndarray, keyed: np.ndarray, skip: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The agendas of many words of known letters: each round takes the best merge that each of them has left.
+
+        Takes what ``_letters_of`` says of them; returns the ids of all, how many each has and how many decisions it took.
+        """
         word = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        start = np.arange(len(word), dtype=np.int32) - np.repeat(np.cumsum(lengths, dtype=np.int32) - lengths, lengths)
-        end = start + 1
-        rank, merged = self.merges.look_up(symbol, np.append(symbol[1:], -1))
-        rank[np.append(word[1:] != word[:-1], True)] = _NONE
         done, used, turn = [], np.zeros(len(lengths), np.int64), -1
         while len(word):
             turn += 1
-            first = np.append(True, word[1:] != word[:-1])
-            border = np.flatnonzero(first)
-            order = rank.astype(np.int64) * 64 + start
-            best = np.minimum.reduceat(order, border)
+            border = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            best = np.minimum.reduceat(rank, border)
             sizes = np.diff(np.append(border, len(word)))
-            closed = best >= _NONE * 64
+            closed = best >= _NONE
+            shut = np.repeat(closed, sizes)
             if closed.any():
-                shut = np.repeat(closed, sizes)
                 done.append((word[shut], symbol[shut]))
                 used[word[border[closed]]] = turn
-                stays = ~shut
-                word, start, end, symbol, rank, merged, order = (x[stays] for x in (word, start, end, symbol, rank, merged, order))
-                best, sizes = best[~closed], sizes[~closed]
-            at = np.flatnonzero(order == np.repeat(best, sizes))
+            at = np.flatnonzero((rank == np.repeat(best, sizes)) & ~shut)
+            at = at[np.append(True, word[at[1:]] != word[at[:-1]])] if len(at) else at  # the leftmost of a word
             if skip and len(at):
                 left_out = _skipped_many(keyed[word[at]], turn, skip)
                 rank[at[left_out]] = _NONE
                 at = at[~left_out]
+            symbol[at] = merged[at]
+            stays = ~shut
+            stays[at + 1] = False
+            if stays.all():
+                continue
+            place = np.cumsum(stays) - 1
+            at = place[at]
+            word, symbol, rank, merged = (x[stays] for x in (word, symbol, rank, merged))
             if not len(at):
                 continue
-            symbol[at], end[at] = merged[at], end[at + 1]
-            stays = np.ones(len(word), bool)
-            stays[at + 1] = False
-            word, start, end, symbol, rank, merged = (x[stays] for x in (word, start, end, symbol, rank, merged))
-            at = at - np.arange(len(at))
-            again = np.concatenate([at, at[start[at] > 0] - 1])
+            before = at[at > 0] - 1
+            again = np.concatenate([at, before[word[before] == word[before + 1]]])
             following = np.minimum(again + 1, len(word) - 1)
             rank[again], merged[again] = self.merges.look_up(symbol[again], symbol[following])
             rank[again[(word[following] != word[again]) | (following == again)]] = _NONE
         word, symbol = (np.concatenate(x) for x in zip(*done))
         ordered = np.argsort(word, kind="stable")  # a word closes in one round, its pieces in order
-        flat = symbol[ordered].astype(self.dtype).tobytes()
-        ends = (np.cumsum(np.bincount(word, minlength=len(lengths))) * self.dtype.itemsize).tolist()
-        return [flat[low:high] for low, high in zip([0, *ends], ends)], used
+        return symbol[ordered].astype(self.dtype), np.bincount(word, minlength=len(lengths)), used
 
     def _as_bytes(self, letter: str) -> bytes:
         return b"".join(map(self.coded_bytes.__getitem__, letter.encode("utf-8", "surrogatepass")))
@@ -255,10 +291,15 @@ class Pieces:
 
 
 class Decisions:
-    """Chunks with the decisions made on them, as binary trees (1 is a skipped merge) whose leaves number their ids."""
+    """Chunks with the decisions made on them, as binary trees (1 is a skipped merge) whose leaves number their ids.
+
+    Of each chunk its letters are kept as pieces, with the merges of neighbours, so that it need not be read again.
+    """
 
     def __init__(self, dtype: np.dtype):
-        self.roots: dict[str, int] = {}
+        self.numbers: dict[str, int] = {}
+        self.roots, self.plain = np.full(1 << 12, -1, np.int32), np.zeros(1 << 12, bool)
+        self.starts, self.letters = np.zeros((1 << 12) + 1, np.int64), np.zeros((3, 1 << 15), np.int32)
         self.nodes, self.kept = 0, 0
         self.child, self.result = np.full(2 << 16, -1, np.int32), np.full(1 << 16, -1, np.int32)
         self.ends, self.flat = np.zeros((1 << 16) + 1, np.int64), np.zeros(1 << 18, dtype)
@@ -271,29 +312,60 @@ class Decisions:
             self.result = np.concatenate([self.result, np.full_like(self.result, -1)])
         return new
 
-    def plant(self, chunks: list[str]) -> np.ndarray:
-        new = self._more(len(chunks))
-        self.roots.update(zip(chunks, new.tolist()))
-        return new
+    def plant(self, chunks: list[str], symbol: np.ndarray, rank: np.ndarray, merged: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Numbers of new chunks, whose letters are as ``Pieces._letters_of`` has them."""
+        low = len(self.numbers)
+        high = low + len(chunks)
+        self.numbers.update(zip(chunks, range(low, high)))
+        while high >= len(self.roots):  # the last entry stays -1
+            self.roots = np.concatenate([self.roots, np.full_like(self.roots, -1)])
+            self.plain = np.concatenate([self.plain, np.zeros_like(self.plain)])
+            self.starts = np.append(self.starts, np.zeros(len(self.starts) - 1, np.int64))
+        start = int(self.starts[low])
+        while start + len(symbol) > self.letters.shape[1]:
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)], axis=1)
+        self.letters[:, start : start + len(symbol)] = symbol, rank, merged
+        self.starts[low + 1 : high + 1] = start + np.cumsum(lengths)
+        self.roots[low:high] = self._more(len(chunks))
+        self.plain[low:high] = np.minimum.reduceat(symbol, np.cumsum(lengths) - lengths) >= 0
+        if _LITERAL in self.numbers:
+            self.plain[self.numbers[_LITERAL]] = False
+        return np.arange(low, high)
+
+    def is_plain(self, number: np.ndarray) -> np.ndarray:
+        """Whether a chunk is kept and every letter of it is a piece."""
+        return (number >= 0) & self.plain[number]
+
+    def letters_of(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        low = self.starts[number]
+        lengths = self.starts[number + 1] - low
+        symbol, rank, merged = self.letters[:, _spread(low, lengths)]
+        return symbol, rank, merged, lengths
 
     def keep(self, rows: list[bytes]) -> np.ndarray:
         """Numbers by which ``ids_of`` finds the rows."""
-        added = np.frombuffer(b"".join(rows), self.flat.dtype)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // self.flat.dtype.itemsize
+        return self.keep_flat(np.frombuffer(b"".join(rows), self.flat.dtype), sizes)
+
+    def keep_flat(self, added: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """``keep`` for the ids of all rows in one array."""
         low, start = self.kept, self.ends[self.kept]
-        self.kept += len(rows)
+        self.kept += len(sizes)
         while self.kept >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         while start + len(added) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[start : start + len(added)] = added
-        self.ends[low + 1 : self.kept + 1] = start + np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows))) // self.flat.dtype.itemsize
+        self.ends[low + 1 : self.kept + 1] = start + np.cumsum(sizes)
         return np.arange(low, self.kept)
 
     def learn(self, root: np.ndarray, used: np.ndarray, keyed: np.ndarray, skip: int, result: np.ndarray) -> None:
         node, turn, at = root.copy(), 0, np.flatnonzero(used > 0)
         while len(at):
             way = 2 * node[at] + (_skipped_many(keyed[at], turn, skip) if skip else 0)
-            new = np.unique(way[self.child[way] < 0])
+            new = way[self.child[way] < 0]
+            self.child[new] = np.arange(len(new))
+            new = new[self.child[new] == np.arange(len(new))]  # each once
             made = self._more(len(new))
             self.child[new] = made
             node[at] = self.child[way]
@@ -319,8 +391,7 @@ class Decisions:
     def ids_of(self, result: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = self.ends[result]
         sizes = self.ends[result + 1] - low
-        before = np.cumsum(sizes) - sizes
-        return self.flat[np.repeat(low - before, sizes) + np.arange(int(sizes.sum()))], sizes
+        return self.flat[_spread(low, sizes)], sizes
 
 
 class Merges:
@@ -345,15 +416,26 @@ class Merges:
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = left.astype(np.int64), right.astype(np.int64)
         rank, merged = np.full(len(left), _NONE, np.int32), np.full(len(left), -1, np.int32)
-        asked = left << 32 | right
+        asked, at = left << 32 | right, None
         for turn, (pairs, results) in enumerate(self.tables):
             slots = self._slots(left, right, turn)
-            hit = np.flatnonzero(pairs[slots] == asked)
-            found = results[slots[hit]]
-            rank[hit], merged[hit] = found[:, 0], found[:, 1]
+            there = pairs[slots]
+            hit = there == asked
+            found, place = results[slots[hit]], np.flatnonzero(hit) if at is None else at[hit]
+            rank[place], merged[place] = found[:, 0], found[:, 1]
+            others = np.flatnonzero(~hit & (there >= 0))  # only a pair whose slot another one has can be in a later table
+            if not len(others):
+                break
+            at = others if at is None else at[others]
+            left, right, asked = left[others], right[others], asked[others]
         return rank, merged
 
 
+def _spread(low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places from each ``low`` on, as many as its size."""
+    return np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 def _skipped_many(keyed: np.ndarray, turn: int, skip: int) -> np.ndarray:
     """``_skipped`` for arrays."""
     x = keyed + np.uint64((turn + 1) * GOLDEN & MASK)
@@ -398,7 +480,7 @@ def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
 
     def encoded(batches: Batches) -> Batches:
         own = _pieces(model)
-        for batch in in_slices(batches, 2 << 20):  # every word of a slice is an object for a while
+        for batch in in_slices(batches, 1 << 20):  # every word of a slice is an object for a while
             texts = texts_of(batch.column(text_at))
             keys = [_document_key(i, text, seed) for i, text in zip(batch.column(id_at).to_pylist(), texts)]
             rows = own.encode(texts, keys, skip)
@@ -407,7 +489,7 @@ def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             columns, names = [*batch.columns, ids], [*batch.schema.names, "ids"]
             if decode:
-                columns.append(pa.array([own.decode(np.frombuffer(row, own.dtype).tolist()) for row in rows], pa.string()))
+                columns.append(pa.array(own.decode_many(rows), pa.string()))
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

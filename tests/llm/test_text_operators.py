@@ -259,6 +259,23 @@ def test_every_occurrence_of_a_word_has_its_own_segmentation(spark, frame):
     assert max(shares) < 0.35 and min(shares) > 0.05 and len(set(shares)) > 10
 
 
+def test_chunks_met_before_are_segmented_from_their_stored_letters(monkeypatch):
+    """Whatever decisions fall on it, a known chunk is not read letter by letter again; chunks of unknown letters and long ones are."""
+    own, skip, read = piece_dropout.Pieces(PIECES), int(0.3 * 2**32), []
+    words = sorted({w for t in copies(4, 40) for w in t.split()})
+    odd = ["\u3042\u1234x", "a\U0001f9ff", "x" * 60, "\u2581", "long" * 30]
+    own.encode([" ".join(words + odd)], [1], skip)
+    traced = piece_dropout.Pieces._traced
+    monkeypatch.setattr(piece_dropout.Pieces, "_traced", lambda self, chunks, *others: read.extend(chunks) or traced(self, chunks, *others))
+    texts = [" ".join(words)] * 20
+    again = own.encode(texts, list(range(20)), skip)
+    assert not read
+    assert again == piece_dropout.Pieces(PIECES).encode(texts, list(range(20)), skip) and len(set(again)) == 20
+    mixed = own.encode([" ".join(odd + words)] * 3, [5, 6, 7], skip)
+    assert [own.decode(np.frombuffer(ids, own.dtype).tolist()) for ids in mixed] == [" ".join(odd + words)] * 3
+    assert mixed == piece_dropout.Pieces(PIECES).encode([" ".join(odd + words)] * 3, [5, 6, 7], skip)
+
+
 def test_pieces_of_odd_documents(spark, frame):
     rows = piece_dropout.decode_pieces(piece_dropout.encode_pieces(frame(odd_documents(), SCHEMA), PIECES, seed=3), PIECES).collect()
     assert len(rows) == len(odd_documents()) and all(r.decoded == (r.text or "") for r in rows)
