@@ -27,5 +27,6 @@ def address_key(street_line: Column, zip_code: Column) -> Column:
     spelled = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in STREET_TYPES.items()))
     words = F.split(F.trim(F.regexp_replace(rest, r"\s+", " ")), " ")
     street = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(spelled, w), w)), " ")
-    complete = (number != "") & (street != "") & (F.length(zip_code) == 5)
-    return F.when(complete, F.concat_ws("|", number, street, zip_code))
+    # A missing part makes the whole null, so that each part is worked out once.
+    known = F.when(F.length(zip_code) == 5, zip_code)
+    return F.concat(F.nullif(number, F.lit("")), F.lit("|"), F.nullif(street, F.lit("")), F.lit("|"), known)

@@ -189,19 +189,19 @@ def candidate_pair_counts(records: DataFrame) -> DataFrame:
             for subset in combinations(earlier, size):
                 fields = frozenset(rule).union(*map(frozenset, subset))
                 expanded.append((k + 1, -1 if size % 2 else 1, fields))
-    entries = F.array(
-        *[
-            F.struct(F.lit(rule).alias("match_rule"), F.lit(sign).alias("sign"), F.lit(i).alias("term"), _key(fields).alias("key"))
-            for i, (rule, sign, fields) in enumerate(expanded)
-        ]
+    # Records are counted once by all blocking fields; the groups of each term add up these counts.
+    fields = sorted(frozenset().union(*[term for _, _, term in expanded]))
+    terms = sorted({term for _, _, term in expanded}, key=sorted)
+    number = {term: sum(1 << (len(fields) - 1 - i) for i, f in enumerate(fields) if f not in term) for term in terms}  # as grouping_id has it
+    counted = records.groupBy(*fields).agg(F.count(F.lit(1)).alias("n"))
+    groups = counted.groupingSets([sorted(term) for term in terms], *fields).agg(
+        F.grouping_id().alias("term"), F.sum("n").cast("decimal(38,0)").alias("n")
     )
-    groups = (
-        records.select(F.explode(F.filter(entries, lambda e: e["key"].isNotNull())).alias("e"))
-        .groupBy("e.match_rule", "e.sign", "e.term", "e.key")
-        .agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
-    )
-    pairs = F.sum(F.col("sign") * F.col("n") * (F.col("n") - 1)) / 2
-    return groups.groupBy("match_rule").agg(pairs.cast("long").alias("pairs"))
+    whole = [(F.col("term") == number[term]) & reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in sorted(term)]) for term in terms]
+    same = groups.filter(reduce(lambda a, b: a | b, whole)).groupBy("term").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"))
+    uses = F.array(*[F.struct(F.lit(rule).alias("match_rule"), F.lit(sign).alias("sign"), F.lit(number[term]).alias("term")) for rule, sign, term in expanded])
+    signed = same.select("pairs", F.explode(F.filter(uses, lambda use: use["term"] == F.col("term"))).alias("use"))
+    return signed.groupBy("use.match_rule").agg((F.sum(F.col("use.sign") * F.col("pairs")) / 2).cast("long").alias("pairs"))
 
 
 # --- agreement patterns, counted ---

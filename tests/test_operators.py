@@ -253,6 +253,25 @@ def test_classes_are_linked_by_number_and_named_by_the_least_id(spark, frame, mo
     assert seen[0]["at"] == "bigint" and seen[0]["key"] == "binary"
 
 
+def test_blocking_values_are_counted_once_and_never_glued(spark, frame):
+    """Columns group as they are: values that read alike side by side make no pair, and null differs from ''."""
+    record = "unique_id string, name_normalized string, name_prefix string, zip5 string, site_state string, naics_4digit string, address_key string"
+    glued = [("1", "x", "A\u0001B", None, "C", None, None), ("2", "x", "A", None, "B\u0001C", None, None)]
+    assert [r.pairs for r in linkage.candidate_pair_counts(frame(glued, record)).collect() if r.pairs] == []
+    rows = [(str(i), "x", "ABCD", z, s, n, None) for i, (z, s, n) in enumerate(itertools.product(["1", "", None], ["S", "", None], ["2", "", None]))] * 3
+    equal = lambda l, r, k: l[k] is not None and l[k] == r[k]
+    counts = {}
+    for l, r in itertools.combinations(rows, 2):
+        rule = 1 if equal(l, r, 3) else 2 if equal(l, r, 4) else 3 if equal(l, r, 5) else None
+        counts[rule] = counts.get(rule, 0) + 1
+    counts.pop(None)
+    counted = linkage.candidate_pair_counts(frame(rows, record))
+    assert {r.match_rule: r.pairs for r in counted.collect()} == counts
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Expand"):]  # what is spread over the terms has been counted before
+    assert "Aggregate" in below and "Generate" not in below
+
+
 def test_latest_per_employer_and_page(spark):
     df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, None), ("b", 1, 7.0)], "employer_id string, snapshot_date int, risk_score double")
     assert rows(picks.latest_per_employer(df)) == [("a", 2, None), ("b", 1, 7.0)]
