@@ -135,6 +135,11 @@ class Inputs:
         )
         return serving_rows(with_ein, as_of, SNAPSHOTS[as_of], extra=["ein"])
 
+    def indexed_at(self, day: str) -> DataFrame:
+        """The serving rows of a snapshot for the name index, which reads their names only: older tables are not written just for it."""
+        wanted = day == AS_OF or (self.spark.sparkContext.applicationId, self.sf_dir, f"served-{day}") in _WRITTEN
+        return self.served_at(day) if wanted else self.build_served(day)
+
     @cached_property
     def served(self) -> DataFrame:
         return self.served_at(AS_OF)
@@ -155,7 +160,7 @@ class Inputs:
         if key not in _WRITTEN:
             path = scratch_path(self.spark, "name_index")
             for day in SNAPSHOTS:
-                add_to_index(self.served_at(day), path)
+                add_to_index(self.indexed_at(day), path)
             _WRITTEN[key] = path
         return _WRITTEN[key]
 

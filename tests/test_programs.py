@@ -5,9 +5,11 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.operators import linkage, linkage_update, silver
 from riskloom.operators.components import connected_components
+from riskloom.plans import inputs
 from riskloom.plans.linkage_run import employers, read_linkage, review_rows, run_linkage
 from riskloom.plans.upload import enrich_upload
 from riskloom.sources.commits import CommitLog
@@ -222,3 +224,17 @@ def test_the_queue_needs_only_the_patterns_it_opens(spark, records, k):
     listed = linkage.uncertain_pairs(records, k, evidence)
     assert linkage.review_queue(listed, k).collect() == want and len(want) >= min(k, 7)
     assert listed.count() < all_pairs.count()
+
+
+def test_a_name_index_writes_no_serving_table_of_an_older_snapshot(spark, monkeypatch):
+    """It reads their names only; every snapshot's names are in it all the same."""
+    def served(self, day):
+        return spark.createDataFrame([("Red Bolt",), (f"Cold {day[:4]}",), (None,)], "employer_name string").withColumn("snapshot_date", F.lit(day).cast("date"))
+
+    monkeypatch.setattr(inputs.Inputs, "build_served", served)
+    root = inputs.Inputs(spark, "made-up-folder").name_index
+    found = {(str(r.snapshot), r.name) for r in spark.read.parquet(f"{root}/names").collect()}
+    first = min(inputs.SNAPSHOTS)
+    assert found == {(first, "red bolt")} | {(day, f"cold {day[:4]}") for day in inputs.SNAPSHOTS}
+    written = {name for _, folder, name in inputs._WRITTEN if folder == "made-up-folder"}
+    assert written == {"name_index", f"served-{inputs.AS_OF}"}
