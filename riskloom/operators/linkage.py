@@ -475,6 +475,7 @@ def star_edges(keyed: DataFrame, node: str, touched: str | None = None) -> DataF
     """Edges (node, hub) that connect what the key groups link: each node with the least of its group, or of the group's other side.
 
     With ``touched``, only of groups where this column holds for a member. Groups of one member link nothing.
+    Neither side is broadcast, however short its files are: a class has a row for each of its keys.
     """
     wanted = F.count(F.lit(1)) > 1
     if touched:
@@ -485,7 +486,7 @@ def star_edges(keyed: DataFrame, node: str, touched: str | None = None) -> DataF
         wanted.alias("wanted"),
     ).filter("wanted").drop("wanted")
     hub = F.when(F.col("crosses") & (F.col("side") == 0), F.col("hub_1")).otherwise(F.col("hub_0"))
-    linked = keyed.join(hubs, ["rule", "key"]).select(node, hub.alias("hub"))
+    linked = keyed.join(hubs.hint("merge"), ["rule", "key"]).select(node, hub.alias("hub"))
     return linked.filter(F.col("hub").isNotNull() & (F.col(node) != F.col("hub"))).distinct()
 
 
@@ -516,7 +517,10 @@ def cluster_records(
 
 
 def records_in_classes(records: DataFrame, labelled: DataFrame, evidence: Evidence, threshold: float) -> DataFrame:
-    """(unique_id, cluster_id) from (signature, class_cluster); records of a class stay apart if its common fields do not suffice."""
+    """(unique_id, cluster_id) from (signature, class_cluster); records of a class stay apart if its common fields do not suffice.
+
+    Neither side is broadcast: Spark guesses records from files that compress well, and each gets an id and a hash.
+    """
     masks = [1 << i for i in range(len(FIELDS))]
     coherent = [
         mask
@@ -526,7 +530,7 @@ def records_in_classes(records: DataFrame, labelled: DataFrame, evidence: Eviden
     holds = _mask().isin(coherent) if coherent else F.lit(False)
     return (
         records.select("unique_id", _signature().alias("signature"), holds.alias("holds"))
-        .join(labelled, "signature")
+        .join(labelled.hint("merge"), "signature")
         .select("unique_id", F.when(F.col("holds"), F.col("class_cluster")).otherwise(F.col("unique_id")).alias("cluster_id"))
     )
 

@@ -253,6 +253,37 @@ def test_classes_are_linked_by_number_and_named_by_the_least_id(spark, frame, mo
     assert seen[0]["at"] == "bigint" and seen[0]["key"] == "binary"
 
 
+def broadcast(df):
+    """Whether Spark plans to broadcast files of some KB. What comes from a join is taken for larger."""
+    conf, name = df.sparkSession.conf, "spark.sql.autoBroadcastJoinThreshold"
+    usual = conf.get(name)
+    conf.set(name, "50k")
+    try:
+        return "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        conf.set(name, usual)
+
+
+def written(folder, **tables):
+    """The tables as short Parquet files, which Spark would broadcast."""
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}")
+    return [df.sparkSession.read.parquet(f"{folder}/{name}") for name, df in tables.items()]
+
+
+def test_link_keys_and_records_are_never_broadcast_for_clusters(frame, tmp_path):
+    fields = "unique_id string, name_normalized string, name_prefix string, zip5 string, site_state string, naics_4digit string, address_key string"
+    (records,) = written(tmp_path, records=frame([(f"r{k}", f"N{k % 5} WORKS", f"N{k % 5} W", "1", "TX", "2301", "a") for k in range(40)], fields))
+    evidence = linkage.evidence_of(records)
+    (classes,) = written(tmp_path, classes=linkage.linkage_classes(records))
+    keyed = linkage.link_keys(classes, evidence, linkage.CLUSTER_THRESHOLD, "rep")
+    assert broadcast(keyed.join(records, keyed.rep == records.unique_id))  # files as short as this are, unless told otherwise
+    assert not broadcast(linkage.star_edges(keyed, "rep"))
+    (labelled,) = written(tmp_path, labelled=classes.select("signature", F.col("rep").alias("class_cluster")))
+    found = linkage.records_in_classes(records, labelled, evidence, linkage.CLUSTER_THRESHOLD)
+    assert not broadcast(found) and found.count() == 40
+
+
 def test_blocking_values_are_counted_once_and_never_glued(spark, frame):
     """Columns group as they are: values that read alike side by side make no pair, and null differs from ''."""
     record = "unique_id string, name_normalized string, name_prefix string, zip5 string, site_state string, naics_4digit string, address_key string"
