@@ -536,9 +536,9 @@ def records_in_classes(records: DataFrame, labelled: DataFrame, evidence: Eviden
 
 
 def merge_same_names(clusters: DataFrame, records: DataFrame) -> DataFrame:
-    """Clusters with the same dominant name join the largest of them."""
+    """Clusters with the same dominant name join the largest of them. Records are not broadcast, however short their files are."""
     names = (
-        clusters.join(records.select("unique_id", "name_normalized"), "unique_id")
+        clusters.join(records.select("unique_id", "name_normalized").hint("merge"), "unique_id")
         .groupBy("cluster_id", "name_normalized")
         .agg(F.count(F.lit(1)).alias("members"))
     )

@@ -284,6 +284,16 @@ def test_link_keys_and_records_are_never_broadcast_for_clusters(frame, tmp_path)
     assert not broadcast(found) and found.count() == 40
 
 
+def test_records_are_never_broadcast_when_names_merge(frame, tmp_path):
+    clusters, records = written(
+        tmp_path,
+        clusters=frame([("1", "x"), ("2", "x"), ("3", "y")], "unique_id string, cluster_id string"),
+        records=frame([("1", "ACME"), ("2", "ACME"), ("3", "ACME")], "unique_id string, name_normalized string"),
+    )
+    merged = linkage.merge_same_names(clusters, records)
+    assert not broadcast(merged) and rows(merged) == [("1", "x"), ("2", "x"), ("3", "x")]
+
+
 def test_blocking_values_are_counted_once_and_never_glued(spark, frame):
     """Columns group as they are: values that read alike side by side make no pair, and null differs from ''."""
     record = "unique_id string, name_normalized string, name_prefix string, zip5 string, site_state string, naics_4digit string, address_key string"
