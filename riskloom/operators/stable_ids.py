@@ -18,7 +18,8 @@ def assign_stable_ids(previous_ids: DataFrame, previous_clusters: DataFrame, clu
     is turned away. As all ids rank clusters alike, that is the result of choosing
     one after another. A new id is made of the cluster's least member and ``run``:
     where runs follow each other, each needs a name of its own, or a cluster that
-    lost its id to another could be given the same one as new.
+    lost its id to another could be given the same one as new. Members and ids are not
+    broadcast, however short the files they come from.
     """
     active = previous_ids
     if "superseded_by" in previous_ids.columns:
@@ -31,7 +32,7 @@ def assign_stable_ids(previous_ids: DataFrame, previous_clusters: DataFrame, clu
     )
     wishes = F.array_distinct(F.array_compact(F.array("employer_id", "favourite")))
     state = cut_lineage(
-        sizes.join(active, "cluster_id", "left")
+        sizes.join(active.hint("merge"), "cluster_id", "left")
         .join(favourite, "cluster_id", "left")
         .select("cluster_id", "members", "first_member", wishes.alias("wishes"), F.lit(0).alias("at"))
     )
@@ -58,9 +59,9 @@ def assign_stable_ids(previous_ids: DataFrame, previous_clusters: DataFrame, clu
 
 def _overlap(ids: DataFrame, old_clusters: DataFrame, new_clusters: DataFrame) -> DataFrame:
     """Shared members per (new cluster, old employer id)."""
-    before = old_clusters.join(ids, "cluster_id").select("unique_id", "employer_id")
+    before = old_clusters.join(ids.hint("merge"), "cluster_id").select("unique_id", "employer_id")
     return (
-        before.join(new_clusters, "unique_id")
+        before.join(new_clusters.hint("merge"), "unique_id")
         .groupBy("cluster_id", "employer_id")
         .agg(F.count(F.lit(1)).alias("shared"))
     )
@@ -71,13 +72,13 @@ def retire_ids(
 ) -> DataFrame:
     """(employer_id, cluster_id, superseded_by) of ids no longer in use: the id that took most of their members."""
     retired = previous_ids.select("employer_id", "cluster_id").join(
-        new_ids.select("employer_id").distinct(), "employer_id", "left_anti"
+        new_ids.select("employer_id").distinct().hint("merge"), "employer_id", "left_anti"
     )
     taken = (
-        previous_clusters.join(retired, "cluster_id")
+        previous_clusters.join(retired.hint("merge"), "cluster_id")
         .select("unique_id", F.col("employer_id").alias("old_id"))
-        .join(clusters, "unique_id")
-        .join(new_ids, "cluster_id")
+        .join(clusters.hint("merge"), "unique_id")
+        .join(new_ids.hint("merge"), "cluster_id")
         .groupBy("old_id", "employer_id")
         .agg(F.count(F.lit(1)).alias("shared"))
         .groupBy("old_id")

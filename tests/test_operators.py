@@ -294,6 +294,27 @@ def test_records_are_never_broadcast_when_names_merge(frame, tmp_path):
     assert not broadcast(merged) and rows(merged) == [("1", "x"), ("2", "x"), ("3", "x")]
 
 
+def test_members_and_ids_are_never_broadcast_for_stable_ids(frame, tmp_path, monkeypatch):
+    ids, before, after = written(
+        tmp_path,
+        ids=frame([("e1", "x"), ("e2", "y")], "employer_id string, cluster_id string"),
+        before=frame([("1", "x"), ("2", "x"), ("3", "y")], "unique_id string, cluster_id string"),
+        after=frame([("1", "x"), ("2", "x"), ("3", "x")], "unique_id string, cluster_id string"),
+    )
+    seen, cut = [], stable_ids.cut_lineage
+
+    def kept(df):
+        seen.append(broadcast(df))
+        return cut(df)
+
+    monkeypatch.setattr(stable_ids, "cut_lineage", kept)
+    new = stable_ids.assign_stable_ids(ids, before, after)
+    assert rows(new) == [("e1", "x")] and not seen[0]
+    (active,) = written(tmp_path, active=new)
+    retired = stable_ids.retire_ids(ids, before, active, after)
+    assert not broadcast(retired) and rows(retired) == [("e2", "y", "e1")]
+
+
 def test_blocking_values_are_counted_once_and_never_glued(spark, frame):
     """Columns group as they are: values that read alike side by side make no pair, and null differs from ''."""
     record = "unique_id string, name_normalized string, name_prefix string, zip5 string, site_state string, naics_4digit string, address_key string"
