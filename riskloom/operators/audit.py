@@ -1,4 +1,7 @@
-"""Audit of linkage clusters and review samples."""
+"""Audit of linkage clusters and review samples.
+
+Clusters meet inspections by sorted joins: Spark would broadcast either of them by the size of files that compress well.
+"""
 
 from __future__ import annotations
 
@@ -46,9 +49,9 @@ def over_merged(clusters: DataFrame, inspections: DataFrame, largest: int | None
     sizes = cluster_sizes(clusters)
     if largest is not None:
         sizes = sizes.orderBy(F.desc("members"), "cluster_id").limit(largest)
-    members = clusters.join(sizes, "cluster_id")
+    members = clusters.join(sizes.hint("merge"), "cluster_id")
     named = members.join(
-        inspections.select(F.col("activity_nr").alias("unique_id"), "estab_name", "site_state"), "unique_id"
+        inspections.select(F.col("activity_nr").alias("unique_id"), "estab_name", "site_state").hint("merge"), "unique_id"
     )
     flags = named.groupBy("cluster_id", "members").agg(
         F.count_distinct(first_word(F.col("estab_name"))).alias("first_words"),
@@ -64,7 +67,7 @@ def under_merged(clusters: DataFrame, inspections: DataFrame, k: int | None = No
         F.col("activity_nr").alias("unique_id"), "name_normalized"
     )
     spread = (
-        clusters.join(named, "unique_id")
+        clusters.join(named.hint("merge"), "unique_id")
         .groupBy("name_normalized")
         .agg(F.count_distinct("cluster_id").alias("cluster_count"), F.count_distinct("unique_id").alias("record_count"))
     )

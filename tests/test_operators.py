@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import history, linkage, lookup, picks, prefixes, profile, quality, reports, stable_ids, staging
+from riskloom.operators import audit, history, linkage, lookup, picks, prefixes, profile, quality, reports, stable_ids, staging
 from riskloom.operators.components import connected_components
 from riskloom.operators.matching import best_matches, similar_pairs
 from riskloom.operators.quantiles import exact_percentiles
@@ -315,6 +315,17 @@ def test_members_and_ids_are_never_broadcast_for_stable_ids(frame, tmp_path, mon
     assert not broadcast(retired) and rows(retired) == [("e2", "y", "e1")]
 
 
+def test_clusters_and_inspections_are_never_broadcast_for_audits(frame, tmp_path):
+    clusters, held = written(
+        tmp_path,
+        clusters=frame([(f"r{k}", f"c{k}") for k in range(6)], "unique_id string, cluster_id string"),
+        held=frame([(f"r{k}", "Acme", "ACME STEEL", "TX") for k in range(6)], "activity_nr string, estab_name string, name_normalized string, site_state string"),
+    )
+    spread, watched, merged = audit.under_merged(clusters, held), audit.watch_list(clusters, held, ["ACME"]), audit.over_merged(clusters, held)
+    assert not broadcast(spread) and not broadcast(merged)
+    assert rows(spread) == [("ACME STEEL", 6, 6)] and rows(watched) == [("ACME", 6, 6, 1, True)] and rows(merged) == []
+
+
 def test_blocking_values_are_counted_once_and_never_glued(spark, frame):
     """Columns group as they are: values that read alike side by side make no pair, and null differs from ''."""
     record = "unique_id string, name_normalized string, name_prefix string, zip5 string, site_state string, naics_4digit string, address_key string"
