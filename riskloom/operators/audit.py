@@ -81,7 +81,7 @@ def watch_list(clusters: DataFrame, inspections: DataFrame, companies: list[str]
         "company", F.col("activity_nr").alias("unique_id"), "site_state"
     )
     counted = (
-        named.join(clusters, "unique_id", "left")
+        named.join(clusters.hint("merge"), "unique_id", "left")
         .groupBy("company")
         .agg(
             F.count_distinct("cluster_id").alias("clusters"),

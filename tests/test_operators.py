@@ -322,7 +322,7 @@ def test_clusters_and_inspections_are_never_broadcast_for_audits(frame, tmp_path
         held=frame([(f"r{k}", "Acme", "ACME STEEL", "TX") for k in range(6)], "activity_nr string, estab_name string, name_normalized string, site_state string"),
     )
     spread, watched, merged = audit.under_merged(clusters, held), audit.watch_list(clusters, held, ["ACME"]), audit.over_merged(clusters, held)
-    assert not broadcast(spread) and not broadcast(merged)
+    assert not broadcast(spread) and not broadcast(watched) and not broadcast(merged)
     assert rows(spread) == [("ACME STEEL", 6, 6)] and rows(watched) == [("ACME", 6, 6, 1, True)] and rows(merged) == []
 
 
