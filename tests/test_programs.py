@@ -185,6 +185,25 @@ def test_runs_with_memory_equal_whole_runs(spark, tmp_path):
     assert len(queue) == len(set(queue)) > 5
 
 
+def test_a_run_forms_classes_once_and_links_digests_as_bytes(spark, tmp_path, monkeypatch):
+    formed, keyed, classes_of, star = [], [], linkage.linkage_classes, linkage_update.star_edges
+
+    def kept(rows, *rest, **named):
+        keyed.append(dict(rows.dtypes))
+        return star(rows, *rest, **named)
+
+    monkeypatch.setattr(linkage, "linkage_classes", lambda records: formed.append(1) or classes_of(records))
+    monkeypatch.setattr(linkage_update, "star_edges", kept)
+    root = f"{tmp_path}/linkage"
+    run_linkage(many_records(spark, 1, range(60)), root, queue_size=5, u=U)
+    assert len(formed) == 1 and keyed[0]["label"] == "binary"
+    # What is kept is text as before, and a component bears the least signature of its own.
+    kept_rows = read_linkage(spark, root, "components").collect()
+    assert {r["component"] for r in kept_rows} <= {r["signature"] for r in kept_rows}
+    assert all(r["component"] <= r["signature"] for r in kept_rows)
+    assert {r["signature"] for r in kept_rows} == {r["signature"] for r in read_linkage(spark, root, "classes").collect()}
+
+
 def test_only_groups_of_new_classes_are_linked_again(spark, monkeypatch):
     records, seen = many_records(spark, 1, range(100)), []
     evidence = linkage.Evidence(U)
